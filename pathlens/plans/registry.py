@@ -62,3 +62,203 @@ def q_customer_segments(spark, sf):
 @register("time_series", O.with_base("select * from time_series_data"))
 def q_time_series(spark, sf):
     return derive.time_series(_i(spark, sf), round_to=None)
+
+
+# ----------------------------------------------------------------- reports ----
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import realtime as rt  # noqa: E402
+from ..operators import reports  # noqa: E402
+
+
+def _segments(spark, sf):
+    return derive.customer_segments(fx.customers(spark, sf), _i(spark, sf), AS_OF, round_to=None)
+
+
+def _journeys(spark, sf):
+    return derive.customer_journeys(_i(spark, sf))
+
+
+def _analysis(spark, sf):
+    return derive.touchpoint_analysis(_i(spark, sf), round_to=None)
+
+
+def _series(spark, sf):
+    return derive.time_series(_i(spark, sf), round_to=None)
+
+
+register("segment_summary", O.with_base("""
+select customer_segment, count(*) customer_count, avg(total_revenue) avg_revenue,
+       avg(total_interactions) avg_interactions
+from customer_segments group by customer_segment order by avg_revenue desc"""))(
+    lambda spark, sf: reports.segment_summary(_segments(spark, sf)))
+
+register("segment_counts", O.with_base("""
+select customer_segment, count(*) "count", avg(total_revenue) avg_revenue
+from customer_segments group by customer_segment order by avg_revenue desc"""))(
+    lambda spark, sf: reports.segment_counts(_segments(spark, sf)))
+
+register("overview_metrics", O.with_base("""
+select count(distinct customer_id) total_customers, sum(total_revenue) total_revenue,
+       cast(sum(total_interactions) as bigint) total_interactions,
+       avg(total_revenue) avg_customer_value
+from customer_segments"""))(lambda spark, sf: reports.overview_metrics(_segments(spark, sf)))
+
+register("segment_stats", O.with_base("""
+select customer_segment, count(total_revenue) customer_count, avg(total_revenue) avg_revenue,
+       coalesce(sum(total_revenue), 0.0) total_revenue, avg(total_interactions) avg_interactions,
+       avg(unique_touchpoints_used) avg_touchpoints
+from customer_segments where customer_segment is not null group by customer_segment"""))(
+    lambda spark, sf: reports.segment_stats(_segments(spark, sf)))
+
+_SEG_STATS = """
+seg_stats as (
+  select customer_segment, count(total_revenue) customer_count, avg(total_revenue) avg_revenue,
+         coalesce(sum(total_revenue), 0.0) total_revenue, avg(total_interactions) avg_interactions,
+         avg(unique_touchpoints_used) avg_touchpoints
+  from customer_segments where customer_segment is not null group by customer_segment)"""
+
+register("best_segments", O.with_base("""
+select * from (select 'best_segment' metric, * from seg_stats
+               order by total_revenue desc, customer_segment limit 1)
+union all
+select * from (select 'most_customers' metric, * from seg_stats
+               order by customer_count desc, customer_segment limit 1)""", _SEG_STATS))(
+    lambda spark, sf: reports.best_segments(reports.segment_stats(_segments(spark, sf))))
+
+register("journey_summary", O.with_base("""
+select first_touchpoint, last_touchpoint, count(*) journey_count, avg(total_revenue) avg_revenue,
+       avg(journey_duration_days) avg_duration
+from customer_journeys group by first_touchpoint, last_touchpoint
+order by journey_count desc, first_touchpoint, last_touchpoint limit 10"""))(
+    lambda spark, sf: reports.journey_summary(_journeys(spark, sf)))
+
+register("journey_stats", O.with_base("""
+select avg(total_interactions) avg_length, avg(journey_duration_days) avg_duration,
+       sum(cast(conversion_occurred as bigint)) * 100.0 / count(*) conversion_rate
+from customer_journeys"""))(lambda spark, sf: reports.journey_stats(_journeys(spark, sf)))
+
+for _col in ("first_touchpoint", "last_touchpoint"):
+    register(f"top_{_col.split('_')[0]}_touchpoints", O.with_base(f"""
+select {_col} touchpoint, count(*) customers from customer_journeys
+where {_col} is not null group by {_col}
+order by customers desc, min(customer_id) limit 3"""))(
+        (lambda c: lambda spark, sf: reports.top_touchpoint_counts(_journeys(spark, sf), c))(_col))
+
+register("high_value_journeys", O.with_base("""
+select * from customer_journeys
+where total_revenue > (select quantile_cont(total_revenue, 0.8) from customer_journeys)"""))(
+    lambda spark, sf: reports.high_value_journeys(_journeys(spark, sf)))
+
+register("touchpoint_ranking", O.with_base("""
+select touchpoint, total_revenue, conversion_rate from touchpoint_analysis
+order by total_revenue desc"""))(lambda spark, sf: reports.touchpoint_ranking(_analysis(spark, sf)))
+
+register("top_touchpoints", O.with_base("""
+select touchpoint, total_interactions, total_revenue, conversion_rate from touchpoint_analysis
+order by total_revenue desc, touchpoint limit 5"""))(
+    lambda spark, sf: reports.top_touchpoints(_analysis(spark, sf)))
+
+register("best_touchpoints", O.with_base("""
+select * from (select 'best_revenue' metric, * from touchpoint_analysis
+               order by total_revenue desc, touchpoint limit 1)
+union all
+select * from (select 'best_conversion' metric, * from touchpoint_analysis
+               order by conversion_rate desc, touchpoint limit 1)
+union all
+select * from (select 'most_interactions' metric, * from touchpoint_analysis
+               order by total_interactions desc, touchpoint limit 1)"""))(
+    lambda spark, sf: reports.best_touchpoints(_analysis(spark, sf)))
+
+register("revenue_trend", O.with_base("""
+select sum(daily_revenue) total_revenue, avg(daily_revenue) avg_daily_revenue,
+  (select date from time_series_data order by daily_revenue desc, date limit 1) peak_date,
+  max(daily_revenue) peak_revenue,
+  (select daily_interactions from time_series_data order by daily_revenue desc, date limit 1)
+    peak_interactions,
+  case when (select avg(daily_revenue) from (select daily_revenue from time_series_data
+                                             order by date desc limit 5))
+          > (select avg(daily_revenue) from (select daily_revenue from time_series_data
+                                             order by date limit 5))
+       then 'increasing' else 'decreasing' end trend
+from time_series_data"""))(lambda spark, sf: reports.revenue_trend(_series(spark, sf)))
+
+register("time_series_long", O.with_base("""
+select date, regexp_replace(regexp_replace(col, '^daily_', ''), '_interactions$', '') touchpoint,
+       cast(v as bigint) interactions
+from (unpivot (select date, daily_interactions, """ + ", ".join(
+    f"daily_{tp}_interactions" for tp in derive.config.TOUCHPOINTS) + """
+      from time_series_data) on columns(* exclude (date)) into name col value v)"""))(
+    lambda spark, sf: derive.time_series_long(_series(spark, sf)))
+
+register("table_counts", O.with_base("""
+select (select count(*) from customers) customer_count,
+       (select count(*) from interactions) interaction_count"""))(
+    lambda spark, sf: reports.table_counts(fx.customers(spark, sf), _i(spark, sf)))
+
+
+# ----------------------------------------------------------------- real time --
+# Replay: the real-time table is the interactions with processing time = event time.
+
+AS_OF_MID = "2024-01-15 12:00:00"
+
+
+def _buffer(spark, sf):
+    i = _i(spark, sf)
+    return i.withColumn("processed_timestamp", F.col("timestamp"))
+
+
+def _realtime(spark, sf, with_segment=False):
+    return rt.to_realtime(_i(spark, sf), fx.customers(spark, sf) if with_segment else None,
+                          processed_at=F.col("timestamp"))
+
+
+_RT = """
+realtime as (
+  select i.interaction_id, i.customer_id, touchpoint, "timestamp", revenue, action_taken,
+         coalesce(c.customer_segment, '') customer_segment, "timestamp" processed_timestamp
+  from interactions i left join customers c on i.customer_id = c.customer_id)"""
+
+register("realtime_interactions", O.with_base("select * from realtime", _RT))(
+    lambda spark, sf: _realtime(spark, sf, with_segment=True))
+
+for _suffix, _asof in (("", AS_OF), ("_mid", AS_OF_MID)):
+    _lh = f"\"timestamp\" >= TIMESTAMP '{_asof}' - INTERVAL 1 HOUR"
+    register(f"last_hour_summary{_suffix}", O.with_base(f"""
+select count(*) interactions, sum(revenue) total_revenue,
+       count(distinct customer_id) unique_customers, avg(revenue) avg_revenue
+from interactions where {_lh}"""))(
+        (lambda a: lambda spark, sf: rt.last_hour_summary(_realtime(spark, sf), a))(_asof))
+    register(f"last_hour_touchpoints{_suffix}", O.with_base(f"""
+select touchpoint, count(*) interactions, sum(revenue) revenue,
+       count(distinct customer_id) unique_customers
+from interactions where {_lh} group by touchpoint order by revenue desc"""))(
+        (lambda a: lambda spark, sf: rt.last_hour_touchpoints(_realtime(spark, sf), a))(_asof))
+    register(f"minute_trends{_suffix}", O.with_base(f"""
+select date_trunc('minute', "timestamp") as "minute", count(*) interactions, sum(revenue) revenue
+from interactions where {_lh} group by 1 order by 1"""))(
+        (lambda a: lambda spark, sf: rt.minute_trends(_realtime(spark, sf), a))(_asof))
+
+register("recent_minute_trends", O.with_base(f"""
+select date_trunc('minute', "timestamp") as "minute", count(interaction_id) interactions,
+       sum(revenue) revenue, count(distinct customer_id) unique_customers
+from interactions where "timestamp" > TIMESTAMP '{AS_OF}' - INTERVAL 60 MINUTE group by 1"""))(
+    lambda spark, sf: rt.recent_minute_trends(_buffer(spark, sf), AS_OF))
+
+register("recent_touchpoints", O.with_base(f"""
+select touchpoint, count(interaction_id) interactions, sum(revenue) revenue,
+       count(distinct customer_id) unique_customers
+from interactions where "timestamp" > TIMESTAMP '{AS_OF}' - INTERVAL 30 MINUTE
+group by touchpoint"""))(lambda spark, sf: rt.recent_touchpoints(_buffer(spark, sf), AS_OF))
+
+register("conversion_window", O.with_base(f"""
+select count(*) interactions,
+       count(case when revenue > 0 then 1 end) * 100.0 / count(*) conversion_rate,
+       avg(session_duration_minutes) avg_session_duration
+from interactions where "timestamp" > TIMESTAMP '{AS_OF_MID}' - INTERVAL 5 MINUTE"""))(
+    lambda spark, sf: rt.conversion_window(_buffer(spark, sf), AS_OF_MID))
+
+register("latest_interactions", O.with_base("""
+select * from realtime order by processed_timestamp desc, interaction_id desc limit 20""", _RT))(
+    lambda spark, sf: rt.latest_interactions(_realtime(spark, sf, with_segment=True)))
