@@ -262,3 +262,236 @@ from interactions where "timestamp" > TIMESTAMP '{AS_OF_MID}' - INTERVAL 5 MINUT
 register("latest_interactions", O.with_base("""
 select * from realtime order by processed_timestamp desc, interaction_id desc limit 20""", _RT))(
     lambda spark, sf: rt.latest_interactions(_realtime(spark, sf, with_segment=True)))
+
+
+# ----------------------------------------------------------------- factors ----
+
+from .. import config  # noqa: E402
+from ..functions import scalars as X  # noqa: E402
+from ..operators import enrich as EN  # noqa: E402
+from ..operators import impact  # noqa: E402
+from ..sources import factors as FA  # noqa: E402
+
+# Word pieces common in the test corpus (the default keywords never occur in it).
+PIECES_POSITIVE = ("thble", "ering", "oning")
+PIECES_NEGATIVE = ("thing", "attion", "erble")
+
+
+def _cities(spark, sf):
+    return fx.table(spark, sf, "nation").select(F.col("n_name").alias("city"))
+
+
+def _weather(spark, sf):
+    return FA.weather_factors(_i(spark, sf), _cities(spark, sf))
+
+
+def _market(spark, sf):
+    return FA.market_factors(_i(spark, sf))
+
+
+def _economic(spark, sf):
+    return FA.economic_factors(_i(spark, sf))
+
+
+def _news_all(spark, sf, positive=config.POSITIVE_KEYWORDS, negative=config.NEGATIVE_KEYWORDS):
+    docs = fx.english_documents(spark, sf).withColumn("query", F.lit("all"))
+    return FA.news_sentiment(docs, positive, negative, round_to=2)
+
+
+def _enriched(spark, sf):
+    return EN.enrich(_i(spark, sf), customers=fx.customers(spark, sf),
+                     weather=_weather(spark, sf), market=_market(spark, sf),
+                     news=_news_all(spark, sf), economic=_economic(spark, sf),
+                     facts=FA.city_facts(spark))
+
+
+_H = "hour(factor_time)"
+_D = "dayofmonth(factor_time)"
+_FACTOR_CTES = [f"""
+span as (select date_trunc('hour', min("timestamp")) lo, date_trunc('hour', max("timestamp")) hi
+         from interactions)""", f"""
+weather as (
+  select city, factor_time, cast(15 + ({_H} * 7) % 16 as double) temperature,
+         cast(40 + ({_H} * 3) % 41 as bigint) humidity,
+         ['Clear', 'Clouds', 'Rain', 'Snow'][{_H} % 4 + 1] weather_condition,
+         lower(['Clear', 'Clouds', 'Rain', 'Snow'][{_H} % 4 + 1]) weather_description,
+         ({_H} % 5) * cast(1.5 as double) wind_speed, cast(1000 + {_H} % 21 as bigint) pressure,
+         cast(10 as double) visibility
+  from (select distinct n_name city from nation) c,
+       (select unnest(generate_series(lo, hi, interval 10 minute)) factor_time from span) g)""", f"""
+market as (
+  select 'SPY' symbol, factor_time, cast(420 + ({_H} % 7) - 3 as double) price,
+         cast(({_H} % 7) - 3 as double) change,
+         cast(({_H} % 7) - 3 as double) / cast(4.2 as double) change_percent,
+         cast(1000000 + {_H} * 1000 as bigint) volume,
+         case when ({_H} % 7) - 3 > 0 then 'positive' else 'negative' end market_sentiment
+  from (select unnest(generate_series(lo, hi, interval 10 minute)) factor_time from span) g)""", f"""
+economic as (
+  select factor_time, cast(2 as double) + ({_D} % 5) * cast(0.5 as double) inflation_rate,
+         cast(3 as double) + ({_D} % 4) * cast(0.25 as double) unemployment_rate,
+         cast(80 + ({_H} * 3) % 41 as double) consumer_confidence,
+         cast(-2 + ({_D} % 7) as double) gdp_growth,
+         ({_H} % 6) * cast(0.5 as double) interest_rate
+  from (select unnest(generate_series(lo, hi, interval 60 minute)) factor_time from span) g)"""]
+
+
+def _kw_sql(text, words):
+    return " + ".join(f"cast(contains(lower({text}), '{w}') as integer)" for w in dict.fromkeys(words))
+
+
+def _news_sql(name, query_expr, positive, negative, round_digits=2):
+    score = f"round_even(avg(s), {round_digits})" if round_digits is not None else "avg(s)"
+    return f"""
+{name} as (
+  select query, {score} sentiment_score,
+         case when avg(s) > 0 then 'positive' when avg(s) < 0 then 'negative' else 'neutral' end
+           sentiment_label,
+         count(*) articles_analyzed
+  from (select {query_expr} query,
+               cast(sign(({_kw_sql('text', positive)}) - ({_kw_sql('text', negative)})) as integer) s
+        from documents where lang = 'en') a
+  group by query)"""
+
+
+_NEWS_ALL = _news_sql("news_all", "'all'", config.POSITIVE_KEYWORDS, config.NEGATIVE_KEYWORDS)
+
+_CITY_FACTS = "city_facts as (select * from (values " + ", ".join(
+    f"('{c}', {p}, {m})" for c, p, m, _ in config.CITY_FACTS) + ") t(city, population, median_income))"
+
+_EV_CITY = f"""
+ev_city as (
+  select i.*, coalesce(c.city, '{config.DEFAULT_CITY}') city
+  from interactions i left join customers c on i.customer_id = c.customer_id)"""
+
+_T = config.FACTOR_TOLERANCE_SECONDS
+_ENRICHED = f"""
+enriched as (
+  select e.*,
+    case when e."timestamp" - w.factor_time <= interval {_T} second then w.temperature end
+      weather_temperature,
+    case when e."timestamp" - w.factor_time <= interval {_T} second then w.weather_condition end
+      weather_condition,
+    case when e."timestamp" - w.factor_time <= interval {_T} second then w.humidity end
+      weather_humidity,
+    case when e."timestamp" - m.factor_time <= interval {_T} second then m.market_sentiment end
+      market_sentiment,
+    case when e."timestamp" - m.factor_time <= interval {_T} second then m.change_percent end
+      market_change_percent,
+    (select sentiment_label from news_all) news_sentiment,
+    (select sentiment_score from news_all) news_sentiment_score,
+    case when e."timestamp" - x.factor_time <= interval 3600 second then x.inflation_rate end
+      inflation_rate,
+    case when e."timestamp" - x.factor_time <= interval 3600 second then x.consumer_confidence end
+      consumer_confidence,
+    cast(coalesce(f.population, {config.CITY_DEFAULT[0]}) as bigint) city_population,
+    cast(coalesce(f.median_income, {config.CITY_DEFAULT[1]}) as bigint) city_median_income
+  from ev_city e
+  asof left join weather w on e.city = w.city and e."timestamp" >= w.factor_time
+  asof left join market m on e."timestamp" >= m.factor_time
+  asof left join economic x on e."timestamp" >= x.factor_time
+  left join city_facts f on e.city = f.city)"""
+
+_ENRICH_CTES = (*_FACTOR_CTES, _NEWS_ALL, _CITY_FACTS, _EV_CITY, _ENRICHED)
+
+register("weather_factors", O.with_base("select * from weather", *_FACTOR_CTES))(_weather)
+register("market_factors", O.with_base("select * from market", *_FACTOR_CTES))(_market)
+register("economic_factors", O.with_base("select * from economic", *_FACTOR_CTES))(_economic)
+
+register("enrich_weather", O.with_base(f"""
+select e.*,
+  case when e."timestamp" - w.factor_time <= interval {_T} second then w.temperature end
+    weather_temperature,
+  case when e."timestamp" - w.factor_time <= interval {_T} second then w.weather_condition end
+    weather_condition,
+  case when e."timestamp" - w.factor_time <= interval {_T} second then w.humidity end
+    weather_humidity
+from ev_city e asof left join weather w on e.city = w.city and e."timestamp" >= w.factor_time""",
+    *_FACTOR_CTES, _EV_CITY))(
+    lambda spark, sf: EN.enrich_weather(EN.with_city(_i(spark, sf), fx.customers(spark, sf)),
+                                        _weather(spark, sf)))
+
+register("enrich_market", O.with_base(f"""
+select e.*,
+  case when e."timestamp" - m.factor_time <= interval {_T} second then m.market_sentiment end
+    market_sentiment,
+  case when e."timestamp" - m.factor_time <= interval {_T} second then m.change_percent end
+    market_change_percent
+from interactions e asof left join market m on e."timestamp" >= m.factor_time""", *_FACTOR_CTES))(
+    lambda spark, sf: EN.enrich_market(_i(spark, sf), _market(spark, sf)))
+
+register("enrich_economic", O.with_base("""
+select e.*,
+  case when e."timestamp" - x.factor_time <= interval 3600 second then x.inflation_rate end
+    inflation_rate,
+  case when e."timestamp" - x.factor_time <= interval 3600 second then x.consumer_confidence end
+    consumer_confidence
+from interactions e asof left join economic x on e."timestamp" >= x.factor_time""",
+    *_FACTOR_CTES))(lambda spark, sf: EN.enrich_economic(_i(spark, sf), _economic(spark, sf)))
+
+register("enrich_news", O.with_base("""
+select e.*, (select sentiment_label from news_all) news_sentiment,
+       (select sentiment_score from news_all) news_sentiment_score
+from interactions e""", _NEWS_ALL))(
+    lambda spark, sf: EN.enrich_news(_i(spark, sf), _news_all(spark, sf)))
+
+register("enrich_geo", O.with_base(f"""
+select e.*, cast(coalesce(f.population, {config.CITY_DEFAULT[0]}) as bigint) city_population,
+       cast(coalesce(f.median_income, {config.CITY_DEFAULT[1]}) as bigint) city_median_income
+from ev_city e left join city_facts f on e.city = f.city""", _CITY_FACTS, _EV_CITY))(
+    lambda spark, sf: EN.enrich_geo(EN.with_city(_i(spark, sf), fx.customers(spark, sf)),
+                                    FA.city_facts(spark)))
+
+register("enrich", O.with_base("select * from enriched", *_ENRICH_CTES))(_enriched)
+
+register("news_sentiment", O.with_base("select * from news", _news_sql(
+    "news", "source", config.POSITIVE_KEYWORDS, config.NEGATIVE_KEYWORDS, None)))(
+    lambda spark, sf: FA.news_sentiment(fx.english_documents(spark, sf), round_to=None))
+
+register("news_sentiment_pieces", O.with_base("select * from news", _news_sql(
+    "news", "source", PIECES_POSITIVE, PIECES_NEGATIVE, None)))(
+    lambda spark, sf: FA.news_sentiment(fx.english_documents(spark, sf), PIECES_POSITIVE,
+                                        PIECES_NEGATIVE, round_to=None))
+
+# ----------------------------------------------------------------- impact -----
+
+register("weather_impact", O.with_base("""
+select coalesce(weather_condition, 'Unknown') weather_condition, sum(revenue) total_revenue,
+       count(*) interaction_count, sum(revenue) / count(*) avg_revenue
+from enriched group by 1""", *_ENRICH_CTES))(
+    lambda spark, sf: impact.weather_impact(_enriched(spark, sf)))
+
+register("best_weather", O.with_base("""
+select coalesce(max(c), 'Unknown') best_condition, coalesce(max(a), 0.0) best_avg_revenue from (
+  select c, round_even(avg_rev, 2) a from (
+    select coalesce(weather_condition, 'Unknown') c, sum(revenue) / count(*) avg_rev,
+           min({'t': "timestamp", 'k': interaction_id}) seen
+    from enriched group by 1) order by round_even(avg_rev, 2) desc, seen limit 1)""",
+    *_ENRICH_CTES))(lambda spark, sf: impact.best_weather(_enriched(spark, sf)))
+
+register("market_score", O.with_base("""
+select count(*) matches, count(*) * cast(0.1 as double) correlation_score,
+       case when count(*) > 50 then 'Strong positive correlation'
+            when count(*) > 20 then 'Moderate correlation' else 'Weak correlation' end
+         interpretation
+from enriched where (market_sentiment = 'positive' and revenue > 0)
+                 or (market_sentiment = 'negative' and revenue = 0)""", *_ENRICH_CTES))(
+    lambda spark, sf: impact.market_score(_enriched(spark, sf)))
+
+register("sentiment_impact", O.with_base("""
+select coalesce(news_sentiment, 'neutral') sentiment, count(*) "count", avg(revenue) avg_revenue,
+       count(case when revenue > 0 then 1 end) * cast(100 as double) / count(*) conversion_rate
+from enriched group by 1""", *_ENRICH_CTES))(
+    lambda spark, sf: impact.sentiment_impact(_enriched(spark, sf)))
+
+register("conversion_by_market", O.with_base("""
+select market_sentiment, avg(cast(revenue > 0 as double)) * 100 conversion_rate
+from enriched where market_sentiment is not null group by 1""", *_ENRICH_CTES))(
+    lambda spark, sf: impact.conversion_by_market(_enriched(spark, sf)))
+
+register("revenue_temperature_ols", O.with_base("""
+select weather_condition, count(*) n, regr_slope(revenue, weather_temperature) slope,
+       regr_intercept(revenue, weather_temperature) intercept,
+       regr_r2(revenue, weather_temperature) r2
+from enriched where weather_condition is not null and weather_temperature is not null
+  and revenue is not null group by 1""", *_ENRICH_CTES))(
+    lambda spark, sf: impact.revenue_temperature_ols(_enriched(spark, sf)))
