@@ -93,3 +93,93 @@ LATEST_INTERACTIONS = 20
 # Micro-batch sink defaults: rows per batch and seconds between batches.
 STREAM_BATCH_ROWS = 100
 STREAM_INTERVAL_SECONDS = 30
+
+# Insight answer templates ({name} placeholders; numbers arrive pre-formatted).
+INSIGHT_TOUCHPOINTS = """Touchpoint Performance Analysis:
+
+Best Revenue Generator: {best_touchpoint}
+- Total Revenue: ${best_revenue}
+- Total Interactions: {best_interactions}
+- Conversion Rate: {best_rate}%
+
+Highest Conversion Rate: {conv_touchpoint}
+- Conversion Rate: {conv_rate}%
+- Revenue per Interaction: ${conv_avg_revenue}
+
+Key Insights:
+- {best_touchpoint} is your revenue powerhouse
+- {conv_touchpoint} has the most efficient conversion process
+- Focus optimization efforts on these high-performing channels"""
+
+INSIGHT_SEGMENTS = """Customer Segment Analysis:
+
+Most Valuable Segment: {segment}
+- Total Revenue: ${total_revenue}
+- Customer Count: {customer_count}
+- Average Revenue per Customer: ${avg_revenue}
+- Average Interactions: {avg_interactions}
+
+Strategic Recommendations:
+- Prioritize retention strategies for {segment} customers
+- Develop targeted campaigns to convert other segments to {segment}
+- Analyze what makes {segment} customers more valuable"""
+
+INSIGHT_JOURNEYS = """Customer Journey Analysis:
+
+Journey Characteristics:
+- Average Journey Length: {avg_length} interactions
+- Average Duration: {avg_duration} days
+- Overall Conversion Rate: {conversion_rate}%
+
+Common Journey Patterns:
+- Most Common First Touchpoint: {top_first} ({top_first_count} customers)
+- Most Common Last Touchpoint: {top_last} ({top_last_count} customers)
+
+Optimization Opportunities:
+- Optimize the {top_first} → {top_last} journey path
+- Reduce average journey duration to improve conversion speed
+- Focus on converting more of the {conversion_rate}% of journeys"""
+
+INSIGHT_TRENDS = """Revenue Trends Analysis:
+
+Overall Performance:
+- Total Revenue: ${total_revenue}
+- Average Daily Revenue: ${avg_daily_revenue}
+- Revenue Trend: {trend_title}
+
+Peak Performance:
+- Best Day: {peak_date}
+- Peak Revenue: ${peak_revenue}
+- Peak Interactions: {peak_interactions}
+
+Strategic Insights:
+- Revenue is trending {trend}
+- Analyze what made {peak_date} successful
+- Replicate peak day strategies for consistent growth"""
+
+INSIGHT_RECOMMENDATIONS = """Strategic Recommendations:
+
+Immediate Actions:
+1. Optimize High-Performing Touchpoints: Double down on your best revenue-generating channels
+2. Improve Conversion Funnels: Focus on touchpoints with high traffic but low conversion
+3. Segment-Specific Campaigns: Create targeted campaigns for your most valuable customer segments
+
+Medium-Term Strategies:
+1. Journey Optimization: Streamline customer journeys to reduce friction and time-to-conversion
+2. Cross-Channel Integration: Ensure consistent experience across all touchpoints
+3. Predictive Analytics: Implement models to identify high-value prospects early
+
+Long-Term Growth:
+1. Customer Lifetime Value: Focus on retention and expansion of high-value segments
+2. New Channel Exploration: Test new touchpoints based on customer preferences
+3. Personalization: Implement AI-driven personalization across all customer interactions"""
+
+NO_DATA = {
+    "touchpoint_performance": "No touchpoint data available.",
+    "customer_segments": "No customer segment data available.",
+    "journey_patterns": "No journey data available.",
+    "revenue_trends": "No time series data available.",
+}
+# The three answers joined for a question that matches no topic.
+COMPREHENSIVE_TOPICS = ("touchpoint_performance", "customer_segments", "journey_patterns")
+COMPREHENSIVE_SEPARATOR = "\n\n"

@@ -123,3 +123,36 @@ BASE = ",".join([INTERACTIONS, CUSTOMERS, TOUCHPOINT_ANALYSIS, CUSTOMER_JOURNEYS
 def with_base(select_sql: str, *extra_ctes: str) -> str:
     ctes = BASE + ("," + ",".join(extra_ctes) if extra_ctes else "")
     return f"with {ctes}\n{select_sql}"
+
+import re as _re  # noqa: E402
+
+_PH = _re.compile(r"\{(\w+)\}")
+
+
+def render_sql(template: str, **exprs: str) -> str:
+    """SQL concatenation filling ``{name}`` placeholders with SQL expressions."""
+    parts, pos = [], 0
+    for m in _PH.finditer(template):
+        if m.start() > pos:
+            parts.append("'" + template[pos:m.start()].replace("'", "''") + "'")
+        parts.append(f"coalesce(cast(({exprs[m.group(1)]}) as varchar), 'None')")
+        pos = m.end()
+    if pos < len(template):
+        parts.append("'" + template[pos:].replace("'", "''") + "'")
+    return " || ".join(parts)
+
+
+def money(x: str) -> str:
+    return f"format('{{:,.2f}}', {x})"
+
+
+def grouped_int(x: str) -> str:
+    return f"format('{{:,}}', cast({x} as bigint))"
+
+
+def one_decimal(x: str) -> str:
+    return f"format('{{:.1f}}', {x})"
+
+
+def two_decimals(x: str) -> str:
+    return f"format('{{:.2f}}', {x})"

@@ -495,3 +495,150 @@ select weather_condition, count(*) n, regr_slope(revenue, weather_temperature) s
 from enriched where weather_condition is not null and weather_temperature is not null
   and revenue is not null group by 1""", *_ENRICH_CTES))(
     lambda spark, sf: impact.revenue_temperature_ols(_enriched(spark, sf)))
+
+
+# ----------------------------------------------------------------- text -------
+
+from ..functions import text as TX  # noqa: E402
+from ..operators import insights as INS  # noqa: E402
+
+register("parse_weather", O.with_base("""
+select city, factor_time, temperature, humidity, weather_condition, weather_description,
+       wind_speed, pressure, visibility * 1000 / 1000 visibility from weather""", *_FACTOR_CTES))(
+    lambda spark, sf: FA.weather_payloads(_weather(spark, sf)).select(
+        "city", "factor_time", TX.parse_weather(F.col("payload")).alias("w")).select(
+        "city", "factor_time", "w.*"))
+
+register("parse_quote", O.with_base("""
+select symbol, factor_time, price, change, change_percent, volume, market_sentiment
+from market""", *_FACTOR_CTES))(
+    lambda spark, sf: FA.quote_payloads(_market(spark, sf)).select(
+        "symbol", "factor_time", TX.parse_quote(F.col("payload")).alias("q")).select(
+        "symbol", "factor_time", "q.*"))
+
+register("market_advice", O.with_base(f"""
+select symbol, factor_time, change_percent,
+       case when change_percent > 0 then '{config.ADVICE_UP}' else '{config.ADVICE_DOWN}' end
+         market_direction,
+       case when change_percent > {config.ADVICE_PREMIUM_ABOVE} then '{config.ADVICE_PREMIUM}'
+            when change_percent < {config.ADVICE_VALUE_BELOW} then '{config.ADVICE_VALUE}' end
+         market_advice
+from market""", *_FACTOR_CTES))(
+    lambda spark, sf: _market(spark, sf).select(
+        "symbol", "factor_time", "change_percent",
+        X.market_direction("change_percent").alias("market_direction"),
+        X.market_advice("change_percent").alias("market_advice")))
+
+
+def _route_sql(col):
+    cases = " ".join(
+        "when " + " or ".join(f"contains(lower({col}), '{w}')" for w in words) + f" then '{t}'"
+        for t, words in config.QUESTION_TOPICS)
+    return f"case {cases} else '{config.DEFAULT_TOPIC}' end"
+
+
+_QUESTIONS = """
+questions as (select conv_id, turn, text question from conversations where role = 'user')"""
+
+register("route_questions", O.with_base(f"""
+select conv_id, turn, question, {_route_sql('question')} topic from questions""", _QUESTIONS))(
+    lambda spark, sf: INS.route_questions(fx.user_questions(spark, sf)))
+
+_INSIGHT_TP = f"""
+ins_tp as (
+  select 'touchpoint_performance' topic, coalesce(max({O.render_sql(
+      config.INSIGHT_TOUCHPOINTS,
+      best_touchpoint="r.touchpoint", best_revenue=O.money("r.total_revenue"),
+      best_interactions=O.grouped_int("r.total_interactions"),
+      best_rate=O.one_decimal("r.conversion_rate"), conv_touchpoint="c.touchpoint",
+      conv_rate=O.one_decimal("c.conversion_rate"),
+      conv_avg_revenue=O.two_decimals("coalesce(c.avg_revenue_per_interaction, 0.0)"))}),
+      '{config.NO_DATA["touchpoint_performance"]}') answer
+  from (select * from touchpoint_analysis order by total_revenue desc, touchpoint limit 1) r,
+       (select * from touchpoint_analysis order by conversion_rate desc, touchpoint limit 1) c)"""
+
+_INSIGHT_SEG = f"""
+ins_seg as (
+  select 'customer_segments' topic, coalesce(max({O.render_sql(
+      config.INSIGHT_SEGMENTS, segment="customer_segment",
+      total_revenue=O.money("total_revenue"), customer_count=O.grouped_int("customer_count"),
+      avg_revenue=O.money("avg_revenue"),
+      avg_interactions="format('{:,.1f}', avg_interactions)")}),
+      '{config.NO_DATA["customer_segments"]}') answer
+  from (select * from seg_stats where total_revenue is not null
+        order by total_revenue desc, customer_segment limit 1))"""
+
+_INSIGHT_JOUR = f"""
+ins_jour as (
+  select 'journey_patterns' topic, coalesce(max({O.render_sql(
+      config.INSIGHT_JOURNEYS, avg_length=O.one_decimal("avg_length"),
+      avg_duration=O.one_decimal("avg_duration"),
+      conversion_rate=O.one_decimal("conversion_rate"),
+      top_first="coalesce(f.touchpoint, 'Unknown')",
+      top_first_count="coalesce(cast(f.customers as varchar), '0')",
+      top_last="coalesce(l.touchpoint, 'Unknown')",
+      top_last_count="coalesce(cast(l.customers as varchar), '0')")}),
+      '{config.NO_DATA["journey_patterns"]}') answer
+  from (select avg(total_interactions) avg_length, avg(journey_duration_days) avg_duration,
+               sum(cast(conversion_occurred as bigint)) * 100.0 / count(*) conversion_rate
+        from customer_journeys) s
+  left join (select first_touchpoint touchpoint, count(*) customers from customer_journeys
+             group by 1 order by 2 desc, min(customer_id) limit 1) f on true
+  left join (select last_touchpoint touchpoint, count(*) customers from customer_journeys
+             group by 1 order by 2 desc, min(customer_id) limit 1) l on true
+  where avg_length is not null)"""
+
+_INSIGHT_TREND = f"""
+trend as (
+  select sum(daily_revenue) total_revenue, avg(daily_revenue) avg_daily_revenue,
+    (select date from time_series_data order by daily_revenue desc, date limit 1) peak_date,
+    max(daily_revenue) peak_revenue,
+    (select daily_interactions from time_series_data order by daily_revenue desc, date limit 1)
+      peak_interactions,
+    case when (select avg(daily_revenue) from (select daily_revenue from time_series_data
+                                               order by date desc limit 5))
+            > (select avg(daily_revenue) from (select daily_revenue from time_series_data
+                                               order by date limit 5))
+         then 'increasing' else 'decreasing' end trend
+  from time_series_data),
+ins_trend as (
+  select 'revenue_trends' topic, coalesce(max({O.render_sql(
+      config.INSIGHT_TRENDS, total_revenue=O.money("total_revenue"),
+      avg_daily_revenue=O.money("avg_daily_revenue"),
+      trend_title="upper(substr(trend, 1, 1)) || substr(trend, 2)", trend="trend",
+      peak_date="strftime(peak_date, '%Y-%m-%d')", peak_revenue=O.money("peak_revenue"),
+      peak_interactions=O.grouped_int("peak_interactions"))}),
+      '{config.NO_DATA["revenue_trends"]}') answer
+  from trend where peak_date is not null)"""
+
+_REC = config.INSIGHT_RECOMMENDATIONS.replace("'", "''")
+_INSIGHTS = f"""
+insights as (
+  select * from ins_tp union all select * from ins_seg union all select * from ins_jour
+  union all select * from ins_trend union all select 'recommendations', '{_REC}'
+  union all select '{config.DEFAULT_TOPIC}',
+    (select answer from ins_tp) || '{config.COMPREHENSIVE_SEPARATOR}' || (select answer from ins_seg)
+    || '{config.COMPREHENSIVE_SEPARATOR}' || (select answer from ins_jour))"""
+
+_INSIGHT_CTES = (_SEG_STATS, _INSIGHT_TP, _INSIGHT_SEG, _INSIGHT_JOUR, _INSIGHT_TREND, _INSIGHTS)
+
+
+def _insights(spark, sf):
+    return INS.insight_table(_analysis(spark, sf), reports.segment_stats(_segments(spark, sf)),
+                             _journeys(spark, sf), _series(spark, sf))
+
+
+register("insight_touchpoints", O.with_base("select * from ins_tp", *_INSIGHT_CTES))(
+    lambda spark, sf: INS.insight_touchpoints(_analysis(spark, sf)))
+register("insight_segments", O.with_base("select * from ins_seg", *_INSIGHT_CTES))(
+    lambda spark, sf: INS.insight_segments(reports.segment_stats(_segments(spark, sf))))
+register("insight_journeys", O.with_base("select * from ins_jour", *_INSIGHT_CTES))(
+    lambda spark, sf: INS.insight_journeys(_journeys(spark, sf)))
+register("insight_trends", O.with_base("select * from ins_trend", *_INSIGHT_CTES))(
+    lambda spark, sf: INS.insight_trends(_series(spark, sf)))
+register("insights", O.with_base("select * from insights", *_INSIGHT_CTES))(_insights)
+register("answer_questions", O.with_base(f"""
+select q.topic, q.conv_id, q.turn, q.question, i.answer
+from (select conv_id, turn, question, {_route_sql('question')} topic from questions) q
+left join insights i on q.topic = i.topic""", _QUESTIONS, *_INSIGHT_CTES))(
+    lambda spark, sf: INS.answer_questions(fx.user_questions(spark, sf), _insights(spark, sf)))

@@ -104,3 +104,25 @@ def news_sentiment(articles: DataFrame,
     return agg.select("query", score.alias("sentiment_score"),
                       sentiment_label("mean").alias("sentiment_label"),
                       F.col("n").alias("articles_analyzed"))
+
+
+def weather_payloads(weather: DataFrame) -> DataFrame:
+    """Weather readings as provider-style JSON documents (city, factor_time, payload)."""
+    doc = F.struct(
+        F.struct(F.col("temperature").alias("temp"), "humidity", "pressure").alias("main"),
+        F.array(F.struct(F.col("weather_condition").alias("main"),
+                         F.col("weather_description").alias("description"))).alias("weather"),
+        F.struct(F.col("wind_speed").alias("speed")).alias("wind"),
+        (F.col("visibility") * 1000).alias("visibility"))
+    return weather.select("city", "factor_time", F.to_json(doc).alias("payload"))
+
+
+def quote_payloads(market: DataFrame) -> DataFrame:
+    """Market readings as provider-style quote JSON (numbers as text, percent with '%')."""
+    quote = F.struct(
+        F.col("price").cast("string").alias("05. price"),
+        F.col("volume").cast("string").alias("06. volume"),
+        F.col("change").cast("string").alias("09. change"),
+        F.concat(F.col("change_percent").cast("string"), F.lit("%")).alias("10. change percent"))
+    return market.select("symbol", "factor_time",
+                         F.to_json(F.struct(quote.alias("Global Quote"))).alias("payload"))
