@@ -642,3 +642,113 @@ select q.topic, q.conv_id, q.turn, q.question, i.answer
 from (select conv_id, turn, question, {_route_sql('question')} topic from questions) q
 left join insights i on q.topic = i.topic""", _QUESTIONS, *_INSIGHT_CTES))(
     lambda spark, sf: INS.answer_questions(fx.user_questions(spark, sf), _insights(spark, sf)))
+
+
+# ----------------------------------------------------------------- cleaning ---
+
+from ..functions.columns import coerce_numeric  # noqa: E402
+from ..operators import clean as CL  # noqa: E402
+
+
+def _as_text(df, cols=None):
+    return df.select(*[F.col(c).cast("string").alias(c) if cols is None or c in cols else F.col(c)
+                       for c in df.columns])
+
+
+register("clean_interactions", O.with_base("""
+select interaction_id, customer_id, touchpoint, "timestamp", session_duration_minutes,
+       coalesce(pages_viewed, 0) pages_viewed, action_taken, revenue,
+       coalesce(campaign_id, '') campaign_id
+from interactions"""))(
+    lambda spark, sf: CL.clean_interactions(_as_text(
+        _i(spark, sf), {"session_duration_minutes", "pages_viewed", "revenue", "timestamp"})))
+
+register("clean_customers", O.with_base("""
+select customer_id, c_name, coalesce(city, '') city, customer_segment, lifetime_value,
+       registration_date from customers"""))(
+    lambda spark, sf: CL.clean_customers(_as_text(
+        fx.customers(spark, sf), {"lifetime_value", "registration_date"})))
+
+register("coerce_touchpoint_analysis", O.with_base("select * from touchpoint_analysis"))(
+    lambda spark, sf: coerce_numeric(_as_text(_analysis(spark, sf))))
+
+register("coerce_time_series", O.with_base("select * from time_series_data"))(
+    lambda spark, sf: coerce_numeric(_as_text(_series(spark, sf))))
+
+
+# ----------------------------------------------------------------- streaming --
+
+from ..streaming import jobs as ST  # noqa: E402
+
+
+def _stream(spark, sf):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return ST.read_interactions_stream(spark, sf, file_glob="events.parquet")
+
+
+def _windowed(df):
+    return df.select(F.col("window.start").alias("window_start"),
+                     F.col("window.end").alias("window_end"),
+                     *[c for c in df.columns if c != "window"])
+
+
+_TP_STREAM = ", ".join(f"count(case when touchpoint = '{tp}' then 1 end) {tp}_interactions"
+                       for tp in config.TOUCHPOINTS)
+
+register("stream_daily_totals", O.with_base(f"""
+select date_trunc('day', "timestamp") window_start,
+       date_trunc('day', "timestamp") + interval 1 day window_end,
+       count(*) interactions, sum(revenue) revenue, {_TP_STREAM}
+from interactions group by 1, 2"""))(
+    lambda spark, sf: _windowed(ST.run_available(ST.stream_daily_totals(_stream(spark, sf)),
+                                                 ["window"], name="daily"))
+    .drop("active_customers_approx"))
+
+_SLIDE = """
+slid as (
+  select i.*, date_trunc('minute', "timestamp") - k * interval 1 minute window_start
+  from interactions i, (select unnest(generate_series(0, {last})) k) ks)"""
+
+register("stream_conversion_window", O.with_base("""
+select window_start, window_start + interval 5 minute window_end, count(*) interactions,
+       count(case when revenue > 0 then 1 end) * 100.0 / count(*) conversion_rate,
+       avg(session_duration_minutes) avg_session_duration
+from slid group by 1, 2""", _SLIDE.format(last=4)))(
+    lambda spark, sf: _windowed(ST.run_available(ST.stream_conversion_window(_stream(spark, sf)),
+                                                 ["window"], name="conversion")))
+
+register("stream_minute_trends", O.with_base("""
+select date_trunc('minute', "timestamp") window_start,
+       date_trunc('minute', "timestamp") + interval 1 minute window_end,
+       count(*) interactions, sum(revenue) revenue
+from interactions group by 1, 2"""))(
+    lambda spark, sf: _windowed(ST.run_available(ST.stream_minute_trends(_stream(spark, sf)),
+                                                 ["window"], name="minutes"))
+    .drop("unique_customers_approx"))
+
+register("stream_touchpoints", O.with_base("""
+select window_start, window_start + interval 30 minute window_end, touchpoint,
+       count(*) interactions, sum(revenue) revenue
+from slid group by 1, 2, 3""", _SLIDE.format(last=29)))(
+    lambda spark, sf: _windowed(ST.run_available(ST.stream_touchpoints(_stream(spark, sf)),
+                                                 ["window", "touchpoint"], name="touchpoints"))
+    .drop("unique_customers_approx"))
+
+register("stream_active_customers", O.with_base("""
+select date_trunc('day', "timestamp") window_start,
+       date_trunc('day', "timestamp") + interval 1 day window_end,
+       count(distinct customer_id) active_customers, count(*) interactions
+from interactions group by 1, 2
+having date_trunc('day', "timestamp") + interval 1 day
+       <= (select max("timestamp") - interval 1 hour from interactions)"""))(
+    lambda spark, sf: _windowed(ST.run_available(ST.stream_active_customers(_stream(spark, sf)),
+                                                 ["window"], output_mode="append",
+                                                 name="active")))
+
+register("stream_enrich", O.with_base("select * from enriched", *_ENRICH_CTES))(
+    lambda spark, sf: ST.run_available(
+        ST.stream_enrich(_stream(spark, sf), customers=fx.customers(spark, sf),
+                         weather=_weather(spark, sf), market=_market(spark, sf),
+                         news=_news_all(spark, sf), economic=_economic(spark, sf),
+                         facts=FA.city_facts(spark)),
+        ["interaction_id"], output_mode="append", name="enrich"))
