@@ -70,8 +70,8 @@ def parse_weather(payload: Column) -> Column:
     return F.struct(
         w["main"]["temp"].alias("temperature"),
         w["main"]["humidity"].alias("humidity"),
-        w["weather"][0]["main"].alias("weather_condition"),
-        w["weather"][0]["description"].alias("weather_description"),
+        F.get(w["weather"], 0)["main"].alias("weather_condition"),
+        F.get(w["weather"], 0)["description"].alias("weather_description"),
         w["wind"]["speed"].alias("wind_speed"),
         w["main"]["pressure"].alias("pressure"),
         (F.coalesce(w["visibility"], F.lit(0.0)) / 1000).alias("visibility"))

@@ -68,7 +68,7 @@ def best_segments(stats: DataFrame) -> DataFrame:
     return picks.select(F.explode(F.array(
         F.struct(F.lit("best_segment").alias("metric"), F.col("best_segment").alias("r")),
         F.struct(F.lit("most_customers").alias("metric"), F.col("most_customers").alias("r")),
-    )).alias("e")).select("e.metric", "e.r.*")
+    )).alias("e")).where(F.col("e.r").isNotNull()).select("e.metric", "e.r.*")
 
 
 # ------------------------------------------------------------- touchpoints ----
@@ -94,7 +94,7 @@ def best_touchpoints(analysis: DataFrame) -> DataFrame:
     return picks.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("r"))
         for m in ("best_revenue", "best_conversion", "most_interactions")])).alias("e")
-    ).select("e.metric", "e.r.*")
+    ).where(F.col("e.r").isNotNull()).select("e.metric", "e.r.*")
 
 
 # ------------------------------------------------------------- journeys -------
