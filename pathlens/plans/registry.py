@@ -683,6 +683,10 @@ from ..streaming import jobs as ST  # noqa: E402
 
 def _stream(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    from ..session import SESSION_DEFAULTS
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(key, "") or ""):
+        spark.conf.set(key, SESSION_DEFAULTS[key])
     return ST.read_interactions_stream(spark, sf, file_glob="events.parquet")
 
 
