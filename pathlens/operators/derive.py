@@ -133,7 +133,7 @@ def customer_behavior(interactions: DataFrame, round_to: int | None = 2) -> Data
 def customer_segments(customers: DataFrame, interactions: DataFrame, as_of,
                       round_to: int | None = 2,
                       accuracy: int = quantiles.DEFAULT_ACCURACY,
-                      checkpoint: bool = False) -> DataFrame:
+                      checkpoint: bool = True) -> DataFrame:
     """A4: customers + behaviour + recency + three tertile scores (W1), left join.
 
     ``as_of`` replaces the wall clock (H1). Tertile cut points are exact

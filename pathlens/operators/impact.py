@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -78,3 +78,50 @@ def revenue_temperature_ols(enriched: DataFrame) -> DataFrame:
                  F.regr_slope(y, x).alias("slope"),
                  F.regr_intercept(y, x).alias("intercept"),
                  F.regr_r2(y, x).alias("r2")))
+
+
+def running_conversion_rate(enriched: DataFrame, label: str = "news_sentiment",
+                            default: str = "neutral", chunk_seconds: int = 3600) -> DataFrame:
+    """H5: the original's order-dependent "conversion rate" per label, reproduced exactly.
+
+    Rows of a label are taken in (time, id) order; at the k-th row the rate becomes
+    ``((k-1) r + 1) / k`` if it converts, else stays. With ``r0 = 0`` the end value
+    is ``sum_j (1/k_j) * prod_{i>j} (k_i - 1)/k_i`` over converting rows j, i. It is
+    computed without gathering a label's rows anywhere:
+
+    * positions k: row numbers inside (label, hour) chunks plus the chunk's offset
+      (running count over the small per-chunk table);
+    * the products: exp of suffix sums of ``log((k-1)/k)``, inside the chunk by a
+      window and across later chunks through the per-chunk table.
+
+    The true rate (conversions / count) is ``sentiment_impact``'s ``conversion_rate``.
+    """
+    lab = F.coalesce(F.col(label), F.lit(default)).alias("label")
+    chunk = F.floor(F.unix_micros("timestamp") / F.lit(chunk_seconds * 1_000_000)).alias("chunk")
+    rows = enriched.select(lab, chunk, "timestamp", F.col("interaction_id").cast("string").alias("id"),
+                           is_conversion("revenue").alias("conv"))
+    sizes = rows.groupBy("label", "chunk").agg(F.count("*").alias("n"))
+    by_chunk = Window.partitionBy("label").orderBy("chunk")
+    offsets = sizes.select("label", "chunk", (F.sum("n").over(by_chunk) - F.col("n")).alias("offset"))
+    in_chunk = Window.partitionBy("label", "chunk").orderBy("timestamp", "id")
+    after = in_chunk.rowsBetween(1, Window.unboundedFollowing)
+    whole = Window.partitionBy("label", "chunk")
+    # the per-chunk table is small (labels x time chunks): broadcast it back
+    k = (rows.join(F.broadcast(offsets), ["label", "chunk"])
+         .withColumn("k", F.col("offset") + F.row_number().over(in_chunk)))
+    log_a = F.when(F.col("conv") & (F.col("k") > 1), F.log((F.col("k") - 1) / F.col("k"))) \
+        .otherwise(F.lit(0.0))
+    k = k.withColumn("la", log_a)
+    k = (k.withColumn("after", F.coalesce(F.sum("la").over(after), F.lit(0.0)))
+         .withColumn("chunk_log", F.sum("la").over(whole)))
+    partial = (k.groupBy("label", "chunk")
+               .agg(F.sum(F.when(F.col("conv"), F.exp("after") / F.col("k"))
+                          .otherwise(F.lit(0.0))).alias("p"),
+                    F.first("chunk_log").alias("chunk_log"), F.count("*").alias("n"),
+                    F.count(F.when(F.col("conv"), 1)).alias("conversions")))
+    later = by_chunk.rowsBetween(1, Window.unboundedFollowing)
+    combined = partial.withColumn("later_log", F.coalesce(F.sum("chunk_log").over(later), F.lit(0.0)))
+    return (combined.groupBy("label")
+            .agg(F.sum("n").alias("count"), F.sum("conversions").alias("conversions"),
+                 F.sum(F.col("p") * F.exp("later_log")).alias("running_rate"))
+            .withColumnRenamed("label", "sentiment"))

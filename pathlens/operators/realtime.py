@@ -102,3 +102,15 @@ def conversion_window(buffer: DataFrame, as_of,
 def latest_interactions(buffer: DataFrame, n: int = config.LATEST_INTERACTIONS) -> DataFrame:
     """K5: the last ``n`` interactions by arrival (top-k, no full sort)."""
     return buffer.orderBy(F.desc("processed_timestamp"), F.desc("interaction_id")).limit(n)
+
+
+ENRICHED_DISPLAY = ("interaction_id", "touchpoint", "revenue", "weather_condition",
+                    "weather_temperature", "market_sentiment", "news_sentiment")
+
+
+def enriched_recent(enriched: DataFrame, n: int = 10,
+                    order_column: str = "processed_timestamp") -> DataFrame:
+    """The display columns that exist, for the latest ``n`` enriched rows."""
+    cols = [c for c in ENRICHED_DISPLAY if c in enriched.columns]
+    order = order_column if order_column in enriched.columns else "timestamp"
+    return (enriched.orderBy(F.desc(order), F.desc("interaction_id")).limit(n).select(*cols))

@@ -756,3 +756,38 @@ register("stream_enrich", O.with_base("select * from enriched", *_ENRICH_CTES))(
                          news=_news_all(spark, sf), economic=_economic(spark, sf),
                          facts=FA.city_facts(spark)),
         ["interaction_id"], output_mode="append", name="enrich"))
+
+
+# ----------------------------------------------------------------- H5 ---------
+
+def _running_sql(source, label_expr):
+    return f"""
+rr as (
+  select {label_expr} label, "timestamp", interaction_id, coalesce(revenue > 0, false) conv,
+         row_number() over (partition by {label_expr} order by "timestamp", interaction_id) k
+  from {source}),
+rr2 as (select *, case when conv and k > 1 then ln((k - 1) / k) else 0 end la from rr),
+rr3 as (
+  select *, coalesce(sum(la) over (partition by label order by "timestamp", interaction_id
+                                   rows between 1 following and unbounded following), 0) after
+  from rr2)"""
+
+
+_RR_SELECT = """
+select label sentiment, count(*) "count", count(case when conv then 1 end) conversions,
+       sum(case when conv then exp(after) / k else 0 end) running_rate
+from rr3 group by 1"""
+
+register("sentiment_running_rate", O.with_base(
+    _RR_SELECT, *_ENRICH_CTES, _running_sql("enriched", "coalesce(news_sentiment, 'neutral')")))(
+    lambda spark, sf: impact.running_conversion_rate(_enriched(spark, sf)))
+
+register("touchpoint_running_rate", O.with_base(
+    _RR_SELECT, _running_sql("interactions", "coalesce(touchpoint, 'neutral')")))(
+    lambda spark, sf: impact.running_conversion_rate(_i(spark, sf), label="touchpoint"))
+
+register("enriched_recent", O.with_base("""
+select interaction_id, touchpoint, revenue, weather_condition, weather_temperature,
+       market_sentiment, news_sentiment
+from enriched order by "timestamp" desc, interaction_id desc limit 10""", *_ENRICH_CTES))(
+    lambda spark, sf: rt.enriched_recent(_enriched(spark, sf)))

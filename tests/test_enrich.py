@@ -120,3 +120,33 @@ def test_payload_parsing_defaults(spark):
         (420.5, -1.25, -0.30, 77)
     assert rows[0].market_sentiment == "negative"
     assert (rows[1].price, rows[1].change_percent, rows[1].volume) == (0.0, 0.0, 0)
+
+
+def _sequential_rate(flags):
+    r, k = 0.0, 0
+    for f in flags:
+        k += 1
+        if f:
+            r = (r * (k - 1) + 1) / k
+    return r
+
+
+@pytest.mark.parametrize("chunk_seconds", [60, 3600, 10 ** 9])
+def test_running_rate_matches_sequential_rule(spark, chunk_seconds):
+    import random
+    rnd = random.Random(3)
+    rows = []
+    for i in range(600):
+        lab = rnd.choice(["positive", "negative", None])
+        rows.append((str(i), lab, t("2024-01-01 00:00:00") + __import__("datetime").timedelta(seconds=37 * i),
+                     rnd.choice([0.0, 0.0, 0.0, 5.0])))
+    rows[0] = ("0", "positive", rows[0][2], 9.0)        # first row converts (k = 1)
+    df = spark.createDataFrame(rows, "interaction_id string, news_sentiment string, "
+                                     "timestamp timestamp, revenue double")
+    got = {r.sentiment: r for r in impact.running_conversion_rate(df, chunk_seconds=chunk_seconds).collect()}
+    for lab in ["positive", "negative", None]:
+        flags = [rv > 0 for _, l_, _, rv in sorted(rows, key=lambda x: (x[2], x[0])) if l_ == lab]
+        g = got[lab or "neutral"]
+        assert g["count"] == len(flags) and g.conversions == sum(flags)
+        assert g.running_rate == pytest.approx(_sequential_rate(flags), rel=1e-9)
+        assert g.running_rate > sum(flags) / len(flags)     # biased upward (H5)

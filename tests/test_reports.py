@@ -72,3 +72,22 @@ def test_realtime_bounds(spark):
     assert tp == {"web": 1}                 # strict: 30 min old row excluded, later row kept
     assert [x.interaction_id for x in rt.latest_interactions(r, 2).collect()] == ["3", "4"]
     assert r.first().customer_segment == ""
+
+
+def test_snapshot_parts_and_empty_input(spark):
+    from pathlens.plans.snapshot import snapshot
+    from pyspark.sql import functions as F
+    df = interactions(spark, [("1", 1, "email", "2024-01-30 23:50:00", 1.0),
+                              ("2", 2, "web", "2024-01-30 22:00:00", 0.0)])
+    buf = df.withColumn("processed_timestamp", F.col("timestamp"))
+    enr = buf.withColumn("weather_condition", F.lit("Rain")).withColumn(
+        "news_sentiment", F.lit(None).cast("string")).withColumn("market_sentiment", F.lit("positive"))
+    snap = snapshot(buf, enr, "2024-01-31 00:00:00")
+    assert snap["minute_trends"].count() == 1 and snap["recent_interactions"].count() == 1
+    assert snap["market_score"].first().matches == 1
+    assert snap["enriched_interactions"].columns == ["interaction_id", "touchpoint", "revenue",
+                                                     "weather_condition", "market_sentiment",
+                                                     "news_sentiment"]
+    empty = snapshot(buf.limit(0), enr.limit(0), "2024-01-31 00:00:00")
+    assert empty["minute_trends"].count() == 0
+    assert empty["best_weather"].first().best_condition == "Unknown"
