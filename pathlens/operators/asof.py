@@ -9,14 +9,18 @@ matches at most one reading through a plain equi-join (no per-event aggregation)
   buckets, so each reading is copied into those (the factor side grows by <= 2x);
 * events join on (key, bucket) plus the interval bounds. Unmatched events stay.
 
-The factor side is broadcast only after its row count is checked against
-``broadcast_rows``; above it the join is a shuffle on (key, bucket), which spreads
-a single global key over all buckets, and AQE splits skewed buckets.
+``prepare`` builds the interval table once (``Intervals``); it can be written to
+the shared checkpoint folder (``materialize``) so that repeated joins, e.g. every
+micro-batch of a stream, only read it. The interval side is broadcast only after
+its row count is checked against ``broadcast_rows``; above it the join shuffles
+on (key, bucket), which spreads even a single global key over all buckets, and
+AQE splits skewed buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,39 +33,72 @@ def size_checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def asof_join(events: DataFrame, readings: DataFrame, *, event_time: str = "timestamp",
-              reading_time: str = "factor_time", by: Sequence[tuple[str, str]] = (),
-              values: Sequence[tuple[str, str]] = (), tolerance_seconds: int = 300,
-              broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
-    """Left as-of join.
+@dataclass(frozen=True)
+class Intervals:
+    """Validity intervals of readings, keyed by (key columns, time bucket)."""
+    df: DataFrame
+    keys: tuple[str, ...]
+    values: tuple[str, ...]
+    tolerance_seconds: int
 
-    ``by``: (event column, reading column) key pairs (empty: one global series).
-    ``values``: (reading column, output name) pairs added to the events.
-    A reading exactly ``tolerance_seconds`` old still matches.
-    """
+    def materialize(self) -> "Intervals":
+        """Write the interval table to the shared checkpoint folder (cuts lineage)."""
+        from ..session import checkpoint_dir
+        checkpoint_dir(self.df.sparkSession)
+        return replace(self, df=self.df.checkpoint(eager=True))
+
+
+def prepare(readings: DataFrame, *, reading_time: str = "factor_time",
+            by: Sequence[str] = (), values: Sequence[tuple[str, str]] = (),
+            tolerance_seconds: int = 300) -> Intervals:
+    """Readings -> validity intervals. ``by``: key columns of the readings;
+    ``values``: (reading column, output name) pairs."""
     width = tolerance_seconds * 1_000_000
-    rkeys = [f"__k{i}" for i in range(len(by))]
-    r = readings.select(*[F.col(rc).alias(k) for (_, rc), k in zip(by, rkeys)],
+    keys = tuple(f"__k{i}" for i in range(len(by)))
+    r = readings.select(*[F.col(c).alias(k) for c, k in zip(by, keys)],
                         F.col(reading_time).alias("__rt"),
                         F.struct(*[F.col(v).alias(o) for v, o in values]).alias("__v"))
     # one reading per (key, time); duplicates resolve to the greatest value
-    r = r.groupBy(*rkeys, "__rt").agg(F.max("__v").alias("__v"))
-    nxt = F.lead("__rt").over(Window.partitionBy(*rkeys).orderBy("__rt"))
+    r = r.groupBy(*keys, "__rt").agg(F.max("__v").alias("__v"))
+    nxt = F.lead("__rt").over(Window.partitionBy(*keys).orderBy("__rt"))
     rt_us = F.unix_micros("__rt")
     r = (r.withColumn("__next", nxt)
          .withColumn("__bucket", F.explode(F.sequence(
              F.floor(rt_us / width), F.floor((rt_us + F.lit(width)) / width)))))
+    return Intervals(r, keys, tuple(o for _, o in values), tolerance_seconds)
+
+
+def join(events: DataFrame, intervals: Intervals, *, event_time: str = "timestamp",
+         by: Sequence[str] = (), broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
+    """Left-join prepared intervals; ``by``: event key columns matching the reading keys."""
+    width = intervals.tolerance_seconds * 1_000_000
+    r = intervals.df
     if broadcast_rows:
         r = size_checked_broadcast(r, broadcast_rows)
     ev_t = F.col(event_time)
-    ev_bucket = F.floor(F.unix_micros(ev_t) / width)
-    cond: list[Column] = [events[ec] == r[k] for (ec, _), k in zip(by, rkeys)]
-    cond += [ev_bucket == r["__bucket"], ev_t >= r["__rt"],
-             ev_t <= r["__rt"] + F.make_dt_interval(secs=F.lit(tolerance_seconds)),
+    cond: list[Column] = [events[ec] == r[k] for ec, k in zip(by, intervals.keys)]
+    cond += [F.floor(F.unix_micros(ev_t) / width) == r["__bucket"], ev_t >= r["__rt"],
+             ev_t <= r["__rt"] + F.make_dt_interval(secs=F.lit(intervals.tolerance_seconds)),
              r["__next"].isNull() | (ev_t < r["__next"])]
     cond_all = cond[0]
     for c in cond[1:]:
         cond_all = cond_all & c
     joined = events.join(r, cond_all, "left")
     return joined.select(*[events[c] for c in events.columns],
-                         *[F.col(f"__v.{o}").alias(o) for _, o in values])
+                         *[F.col(f"__v.{o}").alias(o) for o in intervals.values])
+
+
+def asof_join(events: DataFrame, readings: DataFrame, *, event_time: str = "timestamp",
+              reading_time: str = "factor_time", by: Sequence[tuple[str, str]] = (),
+              values: Sequence[tuple[str, str]] = (), tolerance_seconds: int = 300,
+              broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
+    """Left as-of join in one call.
+
+    ``by``: (event column, reading column) key pairs (empty: one global series).
+    ``values``: (reading column, output name) pairs added to the events.
+    A reading exactly ``tolerance_seconds`` old still matches.
+    """
+    iv = prepare(readings, reading_time=reading_time, by=[rc for _, rc in by], values=values,
+                 tolerance_seconds=tolerance_seconds)
+    return join(events, iv, event_time=event_time, by=[ec for ec, _ in by],
+                broadcast_rows=broadcast_rows)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from .asof import asof_join
+from . import asof
 
 
 def with_city(events: DataFrame, customers: DataFrame | None = None,
@@ -28,32 +28,49 @@ def with_city(events: DataFrame, customers: DataFrame | None = None,
             .select(*events.columns, "city"))
 
 
-def enrich_weather(events: DataFrame, weather: DataFrame,
-                   tolerance_seconds: int = config.FACTOR_TOLERANCE_SECONDS) -> DataFrame:
-    """Temperature, condition, humidity of the event's city, as of the event."""
-    return asof_join(events, weather, by=[("city", "city")],
-                     values=[("temperature", "weather_temperature"),
-                             ("weather_condition", "weather_condition"),
-                             ("humidity", "weather_humidity")],
-                     tolerance_seconds=tolerance_seconds)
+WEATHER_VALUES = (("temperature", "weather_temperature"), ("weather_condition", "weather_condition"),
+                  ("humidity", "weather_humidity"))
+MARKET_VALUES = (("market_sentiment", "market_sentiment"), ("change_percent", "market_change_percent"))
+ECONOMIC_VALUES = (("inflation_rate", "inflation_rate"), ("consumer_confidence", "consumer_confidence"))
+ECONOMIC_TOLERANCE_SECONDS = 3600
 
 
-def enrich_market(events: DataFrame, market: DataFrame,
-                  tolerance_seconds: int = config.FACTOR_TOLERANCE_SECONDS) -> DataFrame:
+def weather_intervals(weather: DataFrame,
+                      tolerance_seconds: int = config.FACTOR_TOLERANCE_SECONDS) -> asof.Intervals:
+    return asof.prepare(weather, by=["city"], values=WEATHER_VALUES,
+                        tolerance_seconds=tolerance_seconds)
+
+
+def market_intervals(market: DataFrame,
+                     tolerance_seconds: int = config.FACTOR_TOLERANCE_SECONDS) -> asof.Intervals:
+    return asof.prepare(market, values=MARKET_VALUES, tolerance_seconds=tolerance_seconds)
+
+
+def economic_intervals(economic: DataFrame,
+                       tolerance_seconds: int = ECONOMIC_TOLERANCE_SECONDS) -> asof.Intervals:
+    return asof.prepare(economic, values=ECONOMIC_VALUES, tolerance_seconds=tolerance_seconds)
+
+
+def _iv(x, make):
+    return x if isinstance(x, asof.Intervals) else make(x)
+
+
+def enrich_weather(events: DataFrame, weather) -> DataFrame:
+    """Temperature, condition, humidity of the event's city, as of the event.
+
+    ``weather``: readings (city, factor_time, ...) or prepared ``Intervals``.
+    """
+    return asof.join(events, _iv(weather, weather_intervals), by=["city"])
+
+
+def enrich_market(events: DataFrame, market) -> DataFrame:
     """Market sentiment and change percent as of the event."""
-    return asof_join(events, market,
-                     values=[("market_sentiment", "market_sentiment"),
-                             ("change_percent", "market_change_percent")],
-                     tolerance_seconds=tolerance_seconds)
-
-
-def enrich_economic(events: DataFrame, economic: DataFrame,
-                    tolerance_seconds: int = 3600) -> DataFrame:
-    """Inflation and consumer confidence as of the event."""
-    return asof_join(events, economic,
-                     values=[("inflation_rate", "inflation_rate"),
-                             ("consumer_confidence", "consumer_confidence")],
-                     tolerance_seconds=tolerance_seconds)
+    return asof.join(events, _iv(market, market_intervals))
+
+
+def enrich_economic(events: DataFrame, economic) -> DataFrame:
+    """Inflation and consumer confidence as of the event (hourly, 1 h life)."""
+    return asof.join(events, _iv(economic, economic_intervals))
 
 
 def enrich_news(events: DataFrame, news: DataFrame) -> DataFrame:

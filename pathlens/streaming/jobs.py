@@ -102,9 +102,23 @@ def stream_active_customers(stream: DataFrame, window: str = "1 day") -> DataFra
 def stream_enrich(stream: DataFrame, *, customers: DataFrame | None, weather: DataFrame,
                   market: DataFrame, news: DataFrame, economic: DataFrame,
                   facts: DataFrame) -> DataFrame:
-    """T5: enrichment as stream-static joins (same as-of join as batch, no state)."""
-    return EN.enrich(stream, customers=customers, weather=weather, market=market, news=news,
-                     economic=economic, facts=facts)
+    """T5: enrichment as stream-static joins (same as-of join as batch, no state).
+
+    The static sides (reading intervals, the customer-city lookup, the news
+    reading) are written to the shared checkpoint folder once, so micro-batches
+    only read them.
+    """
+    cities = None
+    if customers is not None:
+        cities = customers.select("customer_id", "city")
+        checkpoint_dir(cities.sparkSession)
+        cities = cities.checkpoint(eager=True)
+    return EN.enrich(stream, customers=cities,
+                     weather=EN.weather_intervals(weather).materialize(),
+                     market=EN.market_intervals(market).materialize(),
+                     news=news.checkpoint(eager=True),
+                     economic=EN.economic_intervals(economic).materialize(),
+                     facts=facts)
 
 
 def stream_factor_impact(enriched: DataFrame) -> dict[str, DataFrame]:
