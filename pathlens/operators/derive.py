@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import quantiles
-from ..functions.scalars import (event_order, is_conversion, json_counts, nan_to_null,
-                                 path_text, whole_days_between)
+from ..functions.scalars import (is_conversion, json_counts, nan_to_null, path_text,
+                                 whole_days_between)
 
 
 def rounded(c: Column, round_to: int | None) -> Column:
@@ -56,11 +56,15 @@ def touchpoint_analysis(interactions: DataFrame, round_to: int | None = 2) -> Da
 def customer_journeys(interactions: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     """A2: one row per customer with the ordered path and journey facts.
 
-    The ordered path is built in two levels so no task sorts a whole customer:
-    rows are first sorted and joined inside (customer, time chunk) groups, then
-    each customer concatenates its chunk texts in time order. The per-customer
-    step holds one short text per chunk; the final text is the output itself.
-    Counts, sums, first/last and the touchpoint tally are partial aggregates.
+    One scan, two partially aggregated shuffles, no join:
+
+    1. (customer, time chunk) groups sort their rows and produce the chunk's path
+       text, count, revenue, first/last row and a small channel tally (count and
+       first-seen row per channel, computed with array functions on the sorted
+       chunk), so no task ever sorts a whole customer;
+    2. per customer, chunk texts are concatenated in time order and the chunk
+       tallies merged. That step holds one short text and a few tally entries per
+       chunk; the final path text is the output itself.
     """
     i = interactions.where(F.col("customer_id").isNotNull())
     order = F.struct(F.col("timestamp").alias("t"),
@@ -69,31 +73,44 @@ def customer_journeys(interactions: DataFrame, chunk_seconds: int = 3600) -> Dat
     chunk = F.floor(F.unix_micros("timestamp") / F.lit(chunk_seconds * 1_000_000))
     # Python sum over the path: a missing revenue makes the journey total NaN
     rev_nan = F.coalesce(F.col("revenue"), F.lit(float("nan")))
+    seq = F.col("seq")
+    channels = F.filter(F.array_distinct(F.transform(seq, lambda e: e["tp"])),
+                        lambda tp: tp.isNotNull())
+    chunk_tally = F.transform(channels, lambda tp: F.struct(
+        tp.alias("tp"),
+        F.size(F.filter(seq, lambda e: e["tp"] == tp)).alias("n"),
+        F.get(F.filter(seq, lambda e: e["tp"] == tp), 0).dropFields("tp").alias("seen")))
     chunks = (i.groupBy("customer_id", chunk.alias("chunk"))
               .agg(F.count("*").alias("n"), F.sum(rev_nan).alias("rev"),
                    F.array_sort(F.collect_list(order)).alias("seq"))
               .select("customer_id", "n", "rev",
-                      F.col("seq")[0].alias("first"),
-                      F.element_at("seq", -1).alias("last"),
-                      path_text(F.transform("seq", lambda e: e["tp"])).alias("part")))
+                      seq[0].alias("first"),
+                      F.element_at(seq, -1).alias("last"),
+                      path_text(F.transform(seq, lambda e: e["tp"])).alias("part"),
+                      chunk_tally.alias("tally")))
     per_customer = (chunks.groupBy("customer_id")
                     .agg(F.sum("n").alias("total_interactions"),
                          F.sum("rev").alias("total_revenue"),
                          F.min("first").alias("first"), F.max("last").alias("last"),
                          F.sort_array(F.collect_list(F.struct(F.col("first").alias("o"),
                                                               F.col("part").alias("p"))))
-                          .alias("parts")))
-    tally = (i.where(F.col("touchpoint").isNotNull())
-             .groupBy("customer_id", "touchpoint")
-             .agg(F.count("*").alias("n"), F.min(event_order()).alias("seen")))
-    counts = (tally.groupBy("customer_id")
-              .agg(F.count("*").alias("unique_touchpoints"),
-                   F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"),
-                                                        F.col("seen"), F.col("touchpoint"),
-                                                        F.col("n")))).alias("entries")))
+                          .alias("parts"),
+                         F.flatten(F.collect_list("tally")).alias("tallies")))
+    tallies = F.col("tallies")
+    merged = F.transform(
+        F.array_distinct(F.transform(tallies, lambda e: e["tp"])),
+        lambda tp: F.struct(
+            F.aggregate(F.filter(tallies, lambda e: e["tp"] == tp), F.lit(0),
+                        lambda acc, e: acc + e["n"]).alias("n"),
+            F.array_min(F.transform(F.filter(tallies, lambda e: e["tp"] == tp),
+                                    lambda e: e["seen"])).alias("seen"),
+            tp.alias("touchpoint")))
+    entries = F.array_sort(F.transform(merged, lambda m: F.struct(
+        (-m["n"]).alias("neg"), m["seen"].alias("seen"), m["touchpoint"].alias("touchpoint"),
+        m["n"].alias("n"))))
     parts = F.filter("parts", lambda e: F.length(e["p"]) > 0)
     total = F.col("total_revenue")
-    return (per_customer.join(counts, "customer_id", "left")
+    return (per_customer.withColumn("entries", entries)
             .select("customer_id",
                     path_text(F.transform(parts, lambda e: e["p"])).alias("journey_path"),
                     "total_interactions",
@@ -103,12 +120,10 @@ def customer_journeys(interactions: DataFrame, chunk_seconds: int = 3600) -> Dat
                      .otherwise(F.lit(0)).cast("long").alias("journey_duration_days"),
                     F.col("first.tp").alias("first_touchpoint"),
                     F.col("last.tp").alias("last_touchpoint"),
-                    F.coalesce(F.col("unique_touchpoints"), F.lit(0)).cast("long")
-                     .alias("unique_touchpoints"),
+                    F.size("entries").cast("long").alias("unique_touchpoints"),
                     F.when(F.isnan(total), F.lit(False)).otherwise(total > 0)
                      .alias("conversion_occurred"),
-                    F.coalesce(json_counts(F.col("entries"), "touchpoint", "n"),
-                               F.lit("{}")).alias("touchpoint_counts")))
+                    json_counts(F.col("entries"), "touchpoint", "n").alias("touchpoint_counts")))
 
 
 # ---------------------------------------------------------------- A3/A4 -------
