@@ -106,8 +106,9 @@ def running_conversion_rate(enriched: DataFrame, label: str = "news_sentiment",
     in_chunk = Window.partitionBy("label", "chunk").orderBy("timestamp", "id")
     after = in_chunk.rowsBetween(1, Window.unboundedFollowing)
     whole = Window.partitionBy("label", "chunk")
-    # the per-chunk table is small (labels x time chunks): broadcast it back
-    k = (rows.join(F.broadcast(offsets), ["label", "chunk"])
+    # rows are hash-partitioned on (label, chunk) for the window below anyway, so
+    # joining the per-chunk offsets on the same keys adds no shuffle of the rows
+    k = (rows.join(offsets, ["label", "chunk"])
          .withColumn("k", F.col("offset") + F.row_number().over(in_chunk)))
     log_a = F.when(F.col("conv") & (F.col("k") > 1), F.log((F.col("k") - 1) / F.col("k"))) \
         .otherwise(F.lit(0.0))

@@ -791,3 +791,29 @@ select interaction_id, touchpoint, revenue, weather_condition, weather_temperatu
        market_sentiment, news_sentiment
 from enriched order by "timestamp" desc, interaction_id desc limit 10""", *_ENRICH_CTES))(
     lambda spark, sf: rt.enriched_recent(_enriched(spark, sf)))
+
+
+# ----------------------------------------------------------------- T6 ---------
+
+def _enriched_stream(spark, sf):
+    return ST.stream_enrich(_stream(spark, sf), customers=fx.customers(spark, sf),
+                            weather=_weather(spark, sf), market=_market(spark, sf),
+                            news=_news_all(spark, sf), economic=_economic(spark, sf),
+                            facts=FA.city_facts(spark))
+
+
+register("stream_weather_impact", O.with_base("""
+select coalesce(weather_condition, 'Unknown') weather_condition, sum(revenue) total_revenue,
+       count(*) interaction_count, sum(revenue) / count(*) avg_revenue
+from enriched group by 1""", *_ENRICH_CTES))(
+    lambda spark, sf: ST.run_available(
+        ST.stream_factor_impact(_enriched_stream(spark, sf))["weather_impact"],
+        ["weather_condition"], name="weather_impact"))
+
+register("stream_sentiment_impact", O.with_base("""
+select coalesce(news_sentiment, 'neutral') sentiment, count(*) "count", avg(revenue) avg_revenue,
+       count(case when revenue > 0 then 1 end) * cast(100 as double) / count(*) conversion_rate
+from enriched group by 1""", *_ENRICH_CTES))(
+    lambda spark, sf: ST.run_available(
+        ST.stream_factor_impact(_enriched_stream(spark, sf))["sentiment_impact"],
+        ["sentiment"], name="sentiment_impact"))

@@ -128,3 +128,21 @@ def test_streaming_equals_batch_on_sample(spark):
     a = sorted((r.window.start, r.interactions, round(r.conversion_rate, 9)) for r in got.collect())
     b = sorted((r.window.start, r.interactions, round(r.conversion_rate, 9)) for r in batch.collect())
     assert a == b and len(a) > 0
+
+
+def test_write_realtime_sink(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "events")
+    os.makedirs(src)
+    _write_events(os.path.join(src, "events_1.parquet"), [
+        (1, "2024-01-01 10:00:00", 1, "purchase", 5.0, 0),
+        (2, "2024-01-02 10:30:00", 2, "view", 1.0, 1)])
+    customers = spark.createDataFrame([(1, "GOLD")], "customer_id long, customer_segment string")
+    stream = ST.read_interactions_stream(spark, src, file_glob="events_*.parquet")
+    out = os.path.join(tmp_dir, "realtime")
+    q = ST.write_realtime(stream, out, os.path.join(tmp_dir, "ck"), customers=customers,
+                          available_now=True)
+    q.awaitTermination()
+    rows = {r.interaction_id: r for r in spark.read.parquet(out).collect()}
+    assert set(rows) == {"1", "2"}
+    assert rows["1"].customer_segment == "GOLD" and rows["2"].customer_segment == ""
+    assert rows["1"].processed_timestamp is not None and str(rows["2"].date) == "2024-01-02"
