@@ -15,8 +15,17 @@ from pyspark.sql import functions as F
 from ..config import TOUCHPOINTS
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A supplied table; the relation (file listing, footer schema) is reused per session."""
+    path = os.path.abspath(os.path.join(sf_dir, f"{name}.parquet"))
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _TABLES[key] = spark.read.parquet(path)
+    return df
 
 
 def _touchpoint_of(k):
