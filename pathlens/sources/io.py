@@ -63,11 +63,14 @@ def _has_rows(spark: SparkSession, name: str, path: str | None) -> bool:
 
 
 def write_table(df: DataFrame, name: str, write_disposition: str = "WRITE_TRUNCATE",
-                path: str | None = None, partition_by: list[str] | None = None) -> None:
+                path: str | None = None, partition_by: list[str] | None = None,
+                bucket_by: tuple[int, list[str]] | None = None) -> None:
     """S3: conform to the table's schema and write it.
 
     WRITE_TRUNCATE replaces, WRITE_APPEND adds, WRITE_EMPTY fails only when the
-    table already holds rows.
+    table already holds rows. ``bucket_by=(n, ["customer_id"])`` stores a catalog
+    table bucketed (and sorted) on the key, so later joins and aggregations on it
+    with another table bucketed the same way need no shuffle.
     """
     mode = WRITE_MODES.get(write_disposition, write_disposition)
     spark = df.sparkSession
@@ -80,7 +83,13 @@ def write_table(df: DataFrame, name: str, write_disposition: str = "WRITE_TRUNCA
     w = out.write.mode(mode).format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    if path is not None:
+    if bucket_by:
+        n, cols = bucket_by
+        w = w.bucketBy(n, *cols).sortBy(*cols)
+        if path is not None:
+            w = w.option("path", path)
+        w.saveAsTable(name)
+    elif path is not None:
         w.save(path)
     else:
         w.saveAsTable(name)

@@ -146,3 +146,26 @@ def test_write_realtime_sink(spark, tmp_dir):
     assert set(rows) == {"1", "2"}
     assert rows["1"].customer_segment == "GOLD" and rows["2"].customer_segment == ""
     assert rows["1"].processed_timestamp is not None and str(rows["2"].date) == "2024-01-02"
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from pathlens.session import cluster_conf
+    conf = cluster_conf(100 * 1024 ** 4, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    i = spark.createDataFrame([(f"I{n}", n % 50, "email") for n in range(500)],
+                              "interaction_id string, customer_id long, touchpoint string")
+    c = spark.createDataFrame([(n, f"city{n}") for n in range(50)], "customer_id long, city string")
+    spark.sql("DROP TABLE IF EXISTS b_interactions")
+    spark.sql("DROP TABLE IF EXISTS b_customers")
+    io.write_table(i, "b_interactions", bucket_by=(4, ["customer_id"]))
+    io.write_table(c, "b_customers", bucket_by=(4, ["customer_id"]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("b_interactions").join(spark.table("b_customers"), "customer_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert j.count() == 500
+        assert "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
