@@ -169,3 +169,16 @@ def test_bucketed_tables_join_without_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_build_warehouse_end_to_end(spark, tmp_dir):
+    from pathlens.plans.batch import build_warehouse
+    raw = os.path.join(tmp_dir, "raw")
+    _write_raw(raw)
+    tables = build_warehouse(spark, raw, os.path.join(tmp_dir, "wh"), "2024-01-31 00:00:00",
+                             database="pl_build")
+    assert set(tables) == {"customers", "interactions", "customer_journeys", "touchpoint_analysis",
+                           "customer_segments", "time_series_data"}
+    assert spark.table("pl_build.customer_segments").count() == 2
+    i = spark.table("pl_build.interactions")
+    assert dict(i.dtypes)["revenue"] == "double" and i.where("revenue = 0").count() == 2
