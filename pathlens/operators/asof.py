@@ -60,9 +60,19 @@ def prepare(readings: DataFrame, *, reading_time: str = "factor_time",
                         F.struct(*[F.col(v).alias(o) for v, o in values]).alias("__v"))
     # one reading per (key, time); duplicates resolve to the greatest value
     r = r.groupBy(*keys, "__rt").agg(F.max("__v").alias("__v"))
-    nxt = F.lead("__rt").over(Window.partitionBy(*keys).orderBy("__rt"))
+    # next reading of the same key, without sorting a whole series in one task:
+    # inside (key, day) partitions by a window, and for each day's last reading the
+    # first reading of the next day that has one (a small per-day table)
+    r = r.withColumn("__day", F.floor(F.unix_micros("__rt") / F.lit(86_400_000_000)))
+    in_day = F.lead("__rt").over(Window.partitionBy(*keys, "__day").orderBy("__rt"))
+    days = r.groupBy(*keys, "__day").agg(F.min("__rt").alias("__first"))
+    days = days.select(*keys, "__day", F.lead("__first").over(
+        Window.partitionBy(*keys).orderBy("__day")).alias("__next_day"))
     rt_us = F.unix_micros("__rt")
-    r = (r.withColumn("__next", nxt)
+    r = (r.withColumn("__in_day", in_day)
+         .join(days, [*keys, "__day"], "left")
+         .select(*keys, "__rt", "__v",
+                 F.coalesce("__in_day", "__next_day").alias("__next"))
          .withColumn("__bucket", F.explode(F.sequence(
              F.floor(rt_us / width), F.floor((rt_us + F.lit(width)) / width)))))
     return Intervals(r, keys, tuple(o for _, o in values), tolerance_seconds)

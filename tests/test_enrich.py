@@ -150,3 +150,19 @@ def test_running_rate_matches_sequential_rule(spark, chunk_seconds):
         assert g["count"] == len(flags) and g.conversions == sum(flags)
         assert g.running_rate == pytest.approx(_sequential_rate(flags), rel=1e-9)
         assert g.running_rate > sum(flags) / len(flags)     # biased upward (H5)
+
+
+def test_asof_across_days_and_gap_days(spark):
+    rd = spark.createDataFrame([(t("2024-01-01 23:59:00"), 1.0), (t("2024-01-02 00:00:30"), 2.0),
+                                (t("2024-01-02 23:58:00"), 3.0), (t("2024-01-04 00:01:00"), 4.0)],
+                               "factor_time timestamp, v double")
+    ev = spark.createDataFrame([
+        ("a", t("2024-01-02 00:00:10")),   # previous day's reading, next one not yet valid
+        ("b", t("2024-01-02 00:01:00")),   # the 00:00:30 reading
+        ("c", t("2024-01-02 23:59:59")),   # 23:58 reading, 119 s old
+        ("d", t("2024-01-03 00:02:59")),   # 23:58 reading is 299 s old: still valid
+        ("e", t("2024-01-03 00:03:01")),   # 301 s old, next reading two days later: none
+        ("f", t("2024-01-04 00:05:00")),
+    ], "id string, timestamp timestamp")
+    got = {r.id: r.v for r in asof_join(ev, rd, values=[("v", "v")]).collect()}
+    assert got == {"a": 1.0, "b": 2.0, "c": 3.0, "d": 3.0, "e": None, "f": 4.0}
