@@ -180,6 +180,10 @@ NO_DATA = {
     "journey_patterns": "No journey data available.",
     "revenue_trends": "No time series data available.",
 }
+# Header and order of the full insight summary (all five answers).
+SUMMARY_HEADER = "# Customer Behavior Insights Dashboard\n\n"
+SUMMARY_TOPICS = ("touchpoint_performance", "customer_segments", "journey_patterns",
+                  "revenue_trends", "recommendations")
 # The three answers joined for a question that matches no topic.
 COMPREHENSIVE_TOPICS = ("touchpoint_performance", "customer_segments", "journey_patterns")
 COMPREHENSIVE_SEPARATOR = "\n\n"

@@ -118,5 +118,16 @@ def insight_table(analysis: DataFrame, segment_stats: DataFrame, journeys: DataF
 
 
 def answer_questions(questions: DataFrame, answers: DataFrame, column: str = "question") -> DataFrame:
-    """Route every question and attach its topic's answer (J: broadcast of <= 6 rows)."""
-    return route_questions(questions, column).join(F.broadcast(answers), "topic", "left")
+    """Route every question and attach its topic's answer (broadcast of <= 6 rows)."""
+    return (route_questions(questions, column).join(F.broadcast(answers), "topic", "left")
+            .withColumn("success", F.lit(True)))
+
+
+def insights_summary(answers: DataFrame) -> DataFrame:
+    """All five answers under one header, each followed by a blank line (one row)."""
+    order = F.array(*[F.lit(t) for t in config.SUMMARY_TOPICS])
+    parts = (answers.where(F.col("topic").isin(*config.SUMMARY_TOPICS))
+             .agg(F.array_sort(F.collect_list(F.struct(
+                 F.array_position(order, F.col("topic")).alias("i"), "answer"))).alias("a")))
+    return parts.select(F.concat(F.lit(config.SUMMARY_HEADER), F.array_join(
+        F.transform("a", lambda e: F.concat(e["answer"], F.lit("\n\n"))), "")).alias("summary"))

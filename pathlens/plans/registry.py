@@ -638,7 +638,7 @@ register("insight_trends", O.with_base("select * from ins_trend", *_INSIGHT_CTES
     lambda spark, sf: INS.insight_trends(_series(spark, sf)))
 register("insights", O.with_base("select * from insights", *_INSIGHT_CTES))(_insights)
 register("answer_questions", O.with_base(f"""
-select q.topic, q.conv_id, q.turn, q.question, i.answer
+select q.topic, q.conv_id, q.turn, q.question, i.answer, true success
 from (select conv_id, turn, question, {_route_sql('question')} topic from questions) q
 left join insights i on q.topic = i.topic""", _QUESTIONS, *_INSIGHT_CTES))(
     lambda spark, sf: INS.answer_questions(fx.user_questions(spark, sf), _insights(spark, sf)))
@@ -817,3 +817,9 @@ from enriched group by 1""", *_ENRICH_CTES))(
     lambda spark, sf: ST.run_available(
         ST.stream_factor_impact(_enriched_stream(spark, sf))["sentiment_impact"],
         ["sentiment"], name="sentiment_impact"))
+
+_SUMMARY_PARTS = " || ".join(
+    f"(select answer from insights where topic = '{t}') || '\n\n'" for t in config.SUMMARY_TOPICS)
+register("insights_summary", O.with_base(
+    f"select '{config.SUMMARY_HEADER}' || {_SUMMARY_PARTS} summary", *_INSIGHT_CTES))(
+    lambda spark, sf: INS.insights_summary(_insights(spark, sf)))
