@@ -25,7 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows per column the band is the whole value histogram.
+# Up to this many rows per column (or 10 x accuracy, if larger) the band is the
+# whole value histogram.
 EXACT_BELOW = 1_000_000
 DEFAULT_ACCURACY = 100_000
 
@@ -62,7 +63,9 @@ def quantile_row(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
     # bind the subquery result once as a column; every later use reads the column
     long = long.withColumn("s", per_col.select("m").scalar()[F.col("j")])
     n = F.col("s.n")
-    small = n <= F.lit(EXACT_BELOW)
+    # the sketch's rank error (n / accuracy) keeps the needed ranks inside the band
+    # only when n is well above the accuracy; below that use every distinct value
+    small = n <= F.lit(max(EXACT_BELOW, 10 * accuracy))
     lo = [F.when(small, F.lit(float("-inf"))).otherwise(F.col("s.p")[i]) for i in lo_idx]
     hi = [F.when(small, F.lit(float("inf"))).otherwise(F.col("s.p")[i]) for i in hi_idx]
     in_band = None
