@@ -64,6 +64,14 @@ REALTIME_INTERACTIONS = _struct(
     _f("customer_segment", S), _f("processed_timestamp", TS),
 )
 
+# A live event as produced upstream (timestamp as ISO text).
+LIVE_EVENT = _struct(
+    _f("interaction_id", S), _f("customer_id", S), _f("touchpoint", S), _f("timestamp", S),
+    _f("session_duration_minutes", L), _f("pages_viewed", L), _f("action_taken", S),
+    _f("product_category", S), _f("revenue", D), _f("device_type", S), _f("campaign_id", S),
+    _f("customer_segment", S), _f("customer_age", L),
+)
+
 SCHEMAS: dict[str, T.StructType] = {
     "customers": CUSTOMERS,
     "interactions": INTERACTIONS,

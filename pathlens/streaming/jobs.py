@@ -43,13 +43,42 @@ def read_events_stream(spark: SparkSession, folder: str, file_glob: str = "event
     return r.parquet(folder)
 
 
+def _stamp(s: DataFrame, stamp: bool) -> DataFrame:
+    # processing time of the micro-batch that receives the row
+    return s.withColumn("processed_timestamp", F.current_timestamp()) if stamp else s
+
+
 def read_interactions_stream(spark: SparkSession, folder: str, file_glob: str = "events*.parquet",
                              watermark: str = DEFAULT_WATERMARK,
-                             max_files_per_trigger: int | None = None) -> DataFrame:
+                             max_files_per_trigger: int | None = None,
+                             stamp_processing_time: bool = False) -> DataFrame:
     """Interactions stream with event-time watermark, replays dropped by id (H8)."""
     s = interactions_from_events(read_events_stream(spark, folder, file_glob, max_files_per_trigger))
-    return (s.withWatermark("timestamp", watermark)
-            .dropDuplicatesWithinWatermark(["interaction_id"]))
+    s = (s.withWatermark("timestamp", watermark)
+         .dropDuplicatesWithinWatermark(["interaction_id"]))
+    return _stamp(s, stamp_processing_time)
+
+
+def read_live_events_stream(spark: SparkSession, folder: str, fmt: str = "json",
+                            watermark: str = DEFAULT_WATERMARK,
+                            max_files_per_trigger: int | None = None,
+                            stamp_processing_time: bool = False) -> DataFrame:
+    """S10 for upstream live events (JSON lines or header CSV with the live-event schema).
+
+    The schema is declared, so the stream can start on an empty folder; the ISO
+    text timestamp becomes a timestamp; replays are dropped by id within the
+    watermark.
+    """
+    from ..schemas import LIVE_EVENT
+    r = spark.readStream.schema(LIVE_EVENT)
+    if fmt == "csv":
+        r = r.option("header", True)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    s = r.format(fmt).load(folder).withColumn("timestamp", F.to_timestamp("timestamp"))
+    s = (s.withWatermark("timestamp", watermark)
+         .dropDuplicatesWithinWatermark(["interaction_id"]))
+    return _stamp(s, stamp_processing_time)
 
 
 def stream_daily_totals(stream: DataFrame,

@@ -182,3 +182,28 @@ def test_build_warehouse_end_to_end(spark, tmp_dir):
     assert spark.table("pl_build.customer_segments").count() == 2
     i = spark.table("pl_build.interactions")
     assert dict(i.dtypes)["revenue"] == "double" and i.where("revenue = 0").count() == 2
+
+
+def test_live_event_json_stream(spark, tmp_dir):
+    import json as _json
+    src = os.path.join(tmp_dir, "live")
+    os.makedirs(src)
+    stream = ST.read_live_events_stream(spark, src)          # starts on an empty folder
+    events = [
+        {"interaction_id": "A1", "customer_id": "CUST_1", "touchpoint": "website",
+         "timestamp": "2024-01-05T10:00:00", "session_duration_minutes": 3, "pages_viewed": 2,
+         "action_taken": "purchase", "product_category": "Books", "revenue": 25.0,
+         "device_type": "mobile", "campaign_id": None, "customer_segment": "Premium", "customer_age": 30},
+        {"interaction_id": "A2", "customer_id": "CUST_2", "touchpoint": "email",
+         "timestamp": "2024-01-05T11:00:00", "session_duration_minutes": 1, "pages_viewed": None,
+         "action_taken": "view", "product_category": "Books", "revenue": 0.0,
+         "device_type": None, "campaign_id": "CAMP_1", "customer_segment": "Basic", "customer_age": 41},
+    ]
+    with open(os.path.join(src, "batch1.json"), "w") as f:
+        for e in events + events[:1]:                          # includes a replayed duplicate
+            f.write(_json.dumps(e) + "\n")
+    got = ST.run_available(ST.stream_conversion_window(stream, minutes=60, slide_minutes=60),
+                           ["window"], name="live").collect()
+    by_start = {r.window.start.hour: r for r in got}
+    assert by_start[10].interactions == 1 and by_start[10].conversion_rate == 100.0
+    assert by_start[11].interactions == 1 and by_start[11].conversion_rate == 0.0
