@@ -126,6 +126,32 @@ def customer_journeys(interactions: DataFrame, chunk_seconds: int = 3600) -> Dat
                     json_counts(F.col("entries"), "touchpoint", "n").alias("touchpoint_counts")))
 
 
+def journey_segments(interactions: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+    """The journeys' skew-safe form: one row per (customer, time chunk) with the
+    ordered path piece, its size, revenue and first/last touchpoint.
+
+    ``customer_journeys.journey_path`` is these pieces joined in ``segment_start``
+    order. A customer with a huge share of all rows spreads over many rows here
+    instead of forming one giant row.
+    """
+    i = interactions.where(F.col("customer_id").isNotNull())
+    order = F.struct(F.col("timestamp").alias("t"),
+                     F.col("interaction_id").cast("string").alias("k"),
+                     F.col("touchpoint").alias("tp"))
+    width = chunk_seconds * 1_000_000
+    chunk = F.floor(F.unix_micros("timestamp") / F.lit(width))
+    seq = F.col("seq")
+    return (i.groupBy("customer_id", chunk.alias("chunk"))
+            .agg(F.count("*").alias("interactions"), F.sum("revenue").alias("revenue"),
+                 F.array_sort(F.collect_list(order)).alias("seq"))
+            .select("customer_id",
+                    F.timestamp_micros(F.col("chunk") * F.lit(width)).alias("segment_start"),
+                    path_text(F.transform(seq, lambda e: e["tp"])).alias("segment_path"),
+                    "interactions", "revenue",
+                    seq[0]["tp"].alias("first_touchpoint"),
+                    F.element_at(seq, -1)["tp"].alias("last_touchpoint")))
+
+
 # ---------------------------------------------------------------- A3/A4 -------
 
 def customer_behavior(interactions: DataFrame, round_to: int | None = 2) -> DataFrame:

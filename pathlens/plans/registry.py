@@ -823,3 +823,13 @@ _SUMMARY_PARTS = " || ".join(
 register("insights_summary", O.with_base(
     f"select '{config.SUMMARY_HEADER}' || {_SUMMARY_PARTS} summary", *_INSIGHT_CTES))(
     lambda spark, sf: INS.insights_summary(_insights(spark, sf)))
+
+register("journey_segments", O.with_base("""
+select customer_id, make_timestamp(cast(floor(epoch_us("timestamp") / 3600000000.0) as bigint)
+                                   * 3600000000) segment_start,
+       string_agg(touchpoint, ' -> ' order by "timestamp", interaction_id) segment_path,
+       count(*) interactions, sum(revenue) revenue,
+       first(touchpoint order by "timestamp", interaction_id) first_touchpoint,
+       first(touchpoint order by "timestamp" desc, interaction_id desc) last_touchpoint
+from interactions where customer_id is not null group by 1, 2"""))(
+    lambda spark, sf: derive.journey_segments(_i(spark, sf)))

@@ -125,3 +125,15 @@ def test_segments_keep_inactive_customers(spark):
     assert rows[3].total_interactions is None and rows[3].frequency_score is None
     assert rows[1].recency_days == 0        # 1 minute ago: 0 whole days (H3)
     assert rows[2].recency_days == 1
+
+
+def test_journey_path_is_concatenated_segments(spark):
+    rows = [(str(i), i % 4, ["a", "b", "c"][i % 3],
+             f"2024-01-{1 + i % 3:02d} {(7 * i) % 24:02d}:{i % 60:02d}:00", float(i % 2)) for i in range(120)]
+    df = interactions(spark, rows)
+    segs = {}
+    for r in derive.journey_segments(df).collect():
+        segs.setdefault(r.customer_id, []).append((r.segment_start, r.segment_path))
+    paths = {r.customer_id: r.journey_path for r in derive.customer_journeys(df).collect()}
+    for c, parts in segs.items():
+        assert paths[c] == " -> ".join(p for _, p in sorted(parts))
