@@ -7,6 +7,8 @@ Spark side does (see ``pathlens.sources.fixtures``).
 
 from __future__ import annotations
 
+import re as _re
+
 from .. import config
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -124,8 +126,6 @@ def with_base(select_sql: str, *extra_ctes: str) -> str:
     ctes = BASE + ("," + ",".join(extra_ctes) if extra_ctes else "")
     return f"with {ctes}\n{select_sql}"
 
-import re as _re  # noqa: E402
-
 _PH = _re.compile(r"\{(\w+)\}")
 
 

@@ -11,9 +11,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .. import config
+from ..functions import scalars as X
+from ..functions import text as TX
+from ..functions.columns import coerce_numeric
+from ..operators import clean as CL
 from ..operators import derive
+from ..operators import enrich as EN
+from ..operators import impact
+from ..operators import insights as INS
+from ..operators import realtime as rt
+from ..operators import reports
+from ..sources import factors as FA
 from ..sources import fixtures as fx
+from ..streaming import jobs as ST
 from . import oracle_sql as O
 
 AS_OF = "2024-01-31 00:00:00"
@@ -66,11 +79,6 @@ def q_time_series(spark, sf):
 
 # ----------------------------------------------------------------- reports ----
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from ..operators import realtime as rt  # noqa: E402
-from ..operators import reports  # noqa: E402
-
 
 def _segments(spark, sf):
     return derive.customer_segments(fx.customers(spark, sf), _i(spark, sf), AS_OF, round_to=None)
@@ -188,7 +196,7 @@ register("time_series_long", O.with_base("""
 select date, regexp_replace(regexp_replace(col, '^daily_', ''), '_interactions$', '') touchpoint,
        cast(v as bigint) interactions
 from (unpivot (select date, daily_interactions, """ + ", ".join(
-    f"daily_{tp}_interactions" for tp in derive.config.TOUCHPOINTS) + """
+    f"daily_{tp}_interactions" for tp in config.TOUCHPOINTS) + """
       from time_series_data) on columns(* exclude (date)) into name col value v)"""))(
     lambda spark, sf: derive.time_series_long(_series(spark, sf)))
 
@@ -266,11 +274,6 @@ select * from realtime order by processed_timestamp desc, interaction_id desc li
 
 # ----------------------------------------------------------------- factors ----
 
-from .. import config  # noqa: E402
-from ..functions import scalars as X  # noqa: E402
-from ..operators import enrich as EN  # noqa: E402
-from ..operators import impact  # noqa: E402
-from ..sources import factors as FA  # noqa: E402
 
 # Word pieces common in the test corpus (the default keywords never occur in it).
 PIECES_POSITIVE = ("thble", "ering", "oning")
@@ -499,8 +502,6 @@ from enriched where weather_condition is not null and weather_temperature is not
 
 # ----------------------------------------------------------------- text -------
 
-from ..functions import text as TX  # noqa: E402
-from ..operators import insights as INS  # noqa: E402
 
 register("parse_weather", O.with_base("""
 select city, factor_time, temperature, humidity, weather_condition, weather_description,
@@ -646,9 +647,6 @@ left join insights i on q.topic = i.topic""", _QUESTIONS, *_INSIGHT_CTES))(
 
 # ----------------------------------------------------------------- cleaning ---
 
-from ..functions.columns import coerce_numeric  # noqa: E402
-from ..operators import clean as CL  # noqa: E402
-
 
 def _as_text(df, cols=None):
     return df.select(*[F.col(c).cast("string").alias(c) if cols is None or c in cols else F.col(c)
@@ -678,8 +676,6 @@ register("coerce_time_series", O.with_base("select * from time_series_data"))(
 
 # ----------------------------------------------------------------- streaming --
 
-from ..streaming import jobs as ST  # noqa: E402
-
 
 def _stream(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
