@@ -81,6 +81,29 @@ def read_live_events_stream(spark: SparkSession, folder: str, fmt: str = "json",
     return _stamp(s, stamp_processing_time)
 
 
+def parse_live_events(records: DataFrame, column: str = "value") -> DataFrame:
+    """Live-event JSON text (e.g. a Kafka record value) -> typed live-event columns."""
+    from ..schemas import LIVE_EVENT
+    e = F.from_json(F.col(column).cast("string"), LIVE_EVENT)
+    return (records.select(e.alias("e")).select("e.*")
+            .withColumn("timestamp", F.to_timestamp("timestamp")))
+
+
+def read_live_events_kafka(spark: SparkSession, servers: str, topic: str,
+                           watermark: str = DEFAULT_WATERMARK,
+                           starting_offsets: str = "latest") -> DataFrame:
+    """S10 from a Kafka topic of live-event JSON (needs the Spark Kafka connector).
+
+    Offsets are tracked in the query checkpoint, so a restarted or failed query
+    resumes without loss; replays are dropped by id within the watermark.
+    """
+    raw = (spark.readStream.format("kafka")
+           .option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+           .option("startingOffsets", starting_offsets).load())
+    return (parse_live_events(raw).withWatermark("timestamp", watermark)
+            .dropDuplicatesWithinWatermark(["interaction_id"]))
+
+
 def stream_daily_totals(stream: DataFrame,
                         touchpoints: Sequence[str] = config.TOUCHPOINTS) -> DataFrame:
     """Per day: interactions, revenue, active customers (approx), per-touchpoint counts."""

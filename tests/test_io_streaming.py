@@ -207,3 +207,14 @@ def test_live_event_json_stream(spark, tmp_dir):
     by_start = {r.window.start.hour: r for r in got}
     assert by_start[10].interactions == 1 and by_start[10].conversion_rate == 100.0
     assert by_start[11].interactions == 1 and by_start[11].conversion_rate == 0.0
+
+
+def test_parse_live_events_from_record_values(spark):
+    recs = spark.createDataFrame([
+        ('{"interaction_id": "A1", "customer_id": "C1", "touchpoint": "email", '
+         '"timestamp": "2024-01-05T10:00:00", "revenue": 2.5, "customer_age": 30}',),
+        ('not json',)], "value string")
+    rows = ST.parse_live_events(recs).collect()
+    assert rows[0].interaction_id == "A1" and str(rows[0].timestamp) == "2024-01-05 10:00:00"
+    assert rows[0].revenue == 2.5 and rows[0].pages_viewed is None
+    assert rows[1].interaction_id is None
