@@ -22,15 +22,28 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 2_000_000
 
 
-def size_checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it holds at most ``max_rows`` rows (counted), else leave it."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def size_checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
+                           keep: bool = False) -> DataFrame:
+    """Broadcast ``df`` if it holds at most ``max_rows`` rows (counted), else leave it.
+
+    With ``keep`` the counted rows are persisted (memory and disk, recomputable
+    from lineage if an executor is lost) when small, so the broadcast reads them
+    instead of recomputing; identical plans share the persisted copy.
+    """
+    if keep:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    if keep:
+        df = df.unpersist()
+    return df
 
 
 @dataclass(frozen=True)
@@ -84,7 +97,7 @@ def join(events: DataFrame, intervals: Intervals, *, event_time: str = "timestam
     width = intervals.tolerance_seconds * 1_000_000
     r = intervals.df
     if broadcast_rows:
-        r = size_checked_broadcast(r, broadcast_rows)
+        r = size_checked_broadcast(r, broadcast_rows, keep=True)
     ev_t = F.col(event_time)
     cond: list[Column] = [events[ec] == r[k] for ec, k in zip(by, intervals.keys)]
     cond += [F.floor(F.unix_micros(ev_t) / width) == r["__bucket"], ev_t >= r["__rt"],
