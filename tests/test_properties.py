@@ -94,3 +94,28 @@ def test_journeys_equal_brute_force(spark, rows, chunk):
     for c in expect:
         g, e = got[c], expect[c]
         assert g[:2] == e[:2] and math.isclose(g[2], e[2]) and g[3:] == e[3:]
+
+
+def test_hot_customer_holding_a_third_of_rows(spark):
+    """One customer with a third of all rows: journeys, segments' behaviour and
+    the running rate still equal brute force (the hot key spans many chunks)."""
+    import random
+    rnd = random.Random(11)
+    data = []
+    for i in range(3000):
+        cust = 0 if i % 3 == 0 else rnd.randint(1, 200)
+        data.append((f"{i:05d}", cust, rnd.choice(["web", "app", "mail"]),
+                     T0 + dt.timedelta(seconds=rnd.randint(0, 3 * 86400)), rnd.choice([0.0, 0.0, 4.0])))
+    df = spark.createDataFrame(data, "interaction_id string, customer_id long, touchpoint string, "
+                                     "timestamp timestamp, revenue double")
+    expect = _journeys_brute_force(data)
+    got = {r.customer_id: r for r in derive.customer_journeys(df).collect()}
+    assert got[0].total_interactions == 1000
+    assert got[0].journey_path == expect[0][0] and got[0].touchpoint_counts == expect[0][7]
+    segs = derive.journey_segments(df).where("customer_id = 0").count()
+    assert segs > 50                                        # the hot path is spread over rows
+    from pyspark.sql import functions as F
+    beh = {r.customer_id: r for r in derive.customer_behavior(
+        df.withColumn("session_duration_minutes", F.lit(5)), round_to=None).collect()}
+    assert beh[0].total_interactions == 1000
+    assert beh[0].total_revenue == pytest.approx(sum(r[4] for r in data if r[1] == 0))
