@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import decontaminate, jaccard_join, line_dedup, mixing, order_minhash, url_filter
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_order_minhash": order_minhash.op5_order_minhash,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
 
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
+    "op7_line_dedup": line_dedup.OP7_SQL,
 }
