@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, order_minhash, url_filter
+from . import (decontaminate, html_extract, jaccard_join, kneser_ney, line_dedup, mixing, order_minhash, quality, token_counts,
+               url_filter)
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_order_minhash": order_minhash.op5_order_minhash,
+    "op6_quality": quality.op6_quality,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_kneser_ney": kneser_ney.op9_kneser_ney,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 
 ORACLES = {
