@@ -124,7 +124,7 @@ def frequent_histories(texts: DataFrame, shards: int) -> np.ndarray:
         for _, history in _token_groups(batches):
             h, n = np.unique(history, return_counts=True)
             often = n >= len(history) / (4 * shards)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(h[often], 0).view(np.int64)),
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(h[often], np.uint64(0)).view(np.int64)),
                                               pa.array(np.append(n[often], len(history)).astype(np.int64)),
                                               pa.array(np.append(np.zeros(often.sum(), bool), True))], names=["h", "n", "total"])
 
