@@ -3,17 +3,19 @@
 ``pd.qcut`` and ``Series.quantile`` use linear interpolation between order
 statistics. Spark's exact ``percentile`` merges every distinct value into a single
 aggregation buffer, which does not scale; ``percentile_approx`` is bounded but
-approximate. ``quantile_row`` gets the exact answer with bounded single-task work:
-
-1. one pass: ``count`` and ``percentile_approx`` at ``q +- delta`` (GK sketch,
-   partial aggregation, bounded memory) give a value band that provably contains
-   the order statistics needed for ``q`` once ``n`` is large;
-2. second pass: rows are grouped by value inside the band and counted below it
-   (map-side combine); only the distinct values inside the band reach the final
-   step, about ``6 n / accuracy`` of them (every distinct value when n is small);
-3. the two order statistics come from a running count over that band.
-
-Several columns are handled in the same two passes (rows are unpivoted to
+approximate. ``quantile_row`` gets the exact answer with bounded single-task work,
+the same way at every size:
+
+1. ``count`` and ``percentile_approx`` at a few points around each ``q`` (partial
+   aggregation, bounded memory) give split values, close together near ``q``;
+2. rows are counted exactly per interval between split values; running counts over
+   that small table tell which interval holds each order statistic that is needed.
+   Nothing is assumed of the sketch: a poor one only makes intervals larger;
+3. the values of those intervals are counted (map-side combine), and a running count
+   inside each picks the order statistics. With a sketch of accuracy ``a`` an
+   interval holds about ``6 n / a`` rows.
+
+Several columns are handled in the same passes (rows are unpivoted to
 ``(column, value)``). Results are one-row DataFrames; callers attach them as
 scalar subqueries (``DataFrame.scalar()``), so no join touches the data.
 """
@@ -25,9 +27,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows per column (or 10 x accuracy, if larger) the band is the
-# whole value histogram.
-EXACT_BELOW = 1_000_000
 DEFAULT_ACCURACY = 100_000
 
 
@@ -43,65 +42,61 @@ def quantile_row(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
     semantics); an all-null column gives nulls.
     """
     names = list(columns)
-    k = len(qs)
-    delta = 3.0 / accuracy
-    probes = sorted({_clamp(q - delta) for q in qs} | {_clamp(q + delta) for q in qs})
-    lo_idx = [probes.index(_clamp(q - delta)) for q in qs]
-    hi_idx = [probes.index(_clamp(q + delta)) for q in qs]
-
+    probes = sorted({_clamp(q + sign * step * 3.0 / accuracy)
+                     for q in qs for sign in (-1, 1) for step in (1, 16, 256, 4096)})
     long = (df.select(F.explode(F.array(*[
                 F.struct(F.lit(j).alias("j"), F.col(c).cast("double").alias("x"))
                 for j, c in enumerate(names)])).alias("e"))
             .select("e.j", "e.x")
             .where(F.col("x").isNotNull() & ~F.isnan("x")))
 
-    # pass 1: size and sketch per column -> one small row (scalar subquery)
-    sketch = long.groupBy("j").agg(F.count("*").alias("n"),
-                                   F.percentile_approx("x", probes, accuracy).alias("p"))
+    # pass 1: size and split values per column -> one small row (scalar subquery), bound
+    # once as a column; every later use reads the column
+    sketch = long.groupBy("j").agg(
+        F.count("*").alias("n"),
+        F.array_sort(F.array_distinct(F.percentile_approx("x", probes, accuracy))).alias("splits"))
     per_col = sketch.agg(F.map_from_entries(F.collect_list(
-        F.struct("j", F.struct("n", "p")))).alias("m"))
-    # bind the subquery result once as a column; every later use reads the column
+        F.struct("j", F.struct("n", "splits")))).alias("m"))
     long = long.withColumn("s", per_col.select("m").scalar()[F.col("j")])
-    n = F.col("s.n")
-    # the sketch's rank error (n / accuracy) keeps the needed ranks inside the band
-    # only when n is well above the accuracy; below that use every distinct value
-    small = n <= F.lit(max(EXACT_BELOW, 10 * accuracy))
-    lo = [F.when(small, F.lit(float("-inf"))).otherwise(F.col("s.p")[i]) for i in lo_idx]
-    hi = [F.when(small, F.lit(float("inf"))).otherwise(F.col("s.p")[i]) for i in hi_idx]
-    in_band = None
-    for a, b in zip(lo, hi):
-        cond = F.col("x").between(a, b)
-        in_band = cond if in_band is None else (in_band | cond)
-
-    # pass 2: values inside a band keep their value; other rows collapse into at
-    # most k + 1 count-only groups per column (map-side combined)
-    hist = (long.groupBy("j", n.alias("n"), F.when(in_band, F.col("x")).alias("bx"),
-                         *[(F.col("x") < a).alias(f"b{i}") for i, a in enumerate(lo)])
-            .agg(F.count("*").alias("c")))
-    n = F.col("n")
-    whole = Window.partitionBy("j")
-    running = (Window.partitionBy("j").orderBy("bx")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cums = []
-    for i in range(k):
-        in_i = F.col("bx").isNotNull() & ~F.col(f"b{i}")
-        cums.append((F.sum(F.when(F.col(f"b{i}"), F.col("c")).otherwise(0)).over(whole)
-                     + F.sum(F.when(in_i, F.col("c")).otherwise(0)).over(running))
-                    .alias(f"cum{i}"))
-    ranked = hist.select("j", "n", "bx", *[f"b{i}" for i in range(k)], *cums)
-    picks = []
-    for i, q in enumerate(qs):
-        pos = (n - 1).cast("double") * F.lit(float(q))
-        r_lo = F.floor(pos)
-        r_hi = F.least(r_lo + 1, n - 1)
-        in_i = F.col("bx").isNotNull() & ~F.col(f"b{i}")
-        # value at 0-based rank r: the smallest value whose running count exceeds r
-        a = F.min(F.when(in_i & (F.col(f"cum{i}") > r_lo), F.col("bx")))
-        b = F.min(F.when(in_i & (F.col(f"cum{i}") > r_hi), F.col("bx")))
-        picks.append(_lerp(a, b, F.first(pos - r_lo)).alias(f"q{i}"))
-    per_j = ranked.groupBy("j").agg(*picks)
+    interval = F.size(F.filter("s.splits", lambda v: v < F.col("x")))
+
+    # pass 2: exact counts per interval (a few dozen rows per column)
+    counts = (long.groupBy("j", F.col("s.n").alias("n"), interval.alias("i"))
+              .agg(F.count("*").alias("c")))
+    before = F.sum("c").over(Window.partitionBy("j").orderBy("i")) - F.col("c")
+    held = counts.select("j", "n", F.struct("i", before.alias("before"), "c").alias("v"))
+    ranks = [(n_, F.floor((F.col("n") - 1) * F.lit(float(q))) + up)
+             for k, q in enumerate(qs) for n_, up in ((f"a{k}", 0), (f"b{k}", 1))]
+    picked = held.groupBy("j", "n").agg(F.collect_list("v").alias("vs"))
+
+    def holding(rank: Column) -> Column:
+        return F.get(F.filter("vs", lambda v: (v["before"] <= rank) & (rank < v["before"] + v["c"])), 0)
+
+    picked = picked.select("j", "n", *[holding(F.least(r, F.col("n") - 1)).alias(n_) for n_, r in ranks])
+    per_col = picked.agg(F.map_from_entries(F.collect_list(
+        F.struct("j", F.struct("n", *[n_ for n_, _ in ranks])))).alias("m"))
+
+    # pass 3: the values of the intervals that hold a needed order statistic
+    close = (long.select("j", "x", interval.alias("i"))
+             .withColumn("t", per_col.select("m").scalar()[F.col("j")]))
+    needed = F.array(*[F.col(f"t.{n_}.i") for n_, _ in ranks])
+    hist = (close.where(F.array_contains(needed, F.col("i")))
+            .groupBy("j", "i", "x").agg(F.count("*").alias("c"), F.first("t").alias("t")))
+    upto = F.sum("c").over(Window.partitionBy("j", "i").orderBy("x"))
+    ranked = hist.select("j", "i", "x", "c", "t", upto.alias("upto"))
+    values, parts = {}, []
+    for n_, r in ranks:
+        q = float(qs[int(n_[1:])])
+        rank = F.least(F.floor((F.col("t.n") - 1) * F.lit(q)) + (1 if n_[0] == "b" else 0), F.col("t.n") - 1)
+        at = rank - F.col(f"t.{n_}.before")
+        values[n_] = F.max(F.when((F.col("i") == F.col(f"t.{n_}.i")) & (F.col("upto") > at)
+                                  & (F.col("upto") - F.col("c") <= at), F.col("x")))
+    for k, q in enumerate(qs):
+        pos = (F.first("t.n") - 1).cast("double") * F.lit(float(q))
+        parts.append(_lerp(values[f"a{k}"], values[f"b{k}"], pos - F.floor(pos)).alias(f"q{k}"))
+    per_j = ranked.groupBy("j").agg(*parts)
     packed = per_j.agg(F.map_from_entries(F.collect_list(
-        F.struct("j", F.struct(*[f"q{i}" for i in range(k)])))).alias("m"))
+        F.struct("j", F.struct(*[f"q{k}" for k in range(len(qs))])))).alias("m"))
     return packed.select(*[F.col("m")[j].alias(c) for j, c in enumerate(names)])
 
 

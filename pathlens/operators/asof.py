@@ -9,12 +9,12 @@ matches at most one reading through a plain equi-join (no per-event aggregation)
   buckets, so each reading is copied into those (the factor side grows by <= 2x);
 * events join on (key, bucket) plus the interval bounds. Unmatched events stay.
 
-``prepare`` builds the interval table once (``Intervals``); it can be written to
-the shared checkpoint folder (``materialize``) so that repeated joins, e.g. every
-micro-batch of a stream, only read it. The interval side is broadcast only after
-its row count is checked against ``broadcast_rows``; above it the join shuffles
+``prepare`` builds the interval table (``Intervals``); it can be written to the
+shared checkpoint folder (``materialize``) so that repeated joins, e.g. every
+micro-batch of a stream, only read it. The join carries no hint: adaptive execution
+broadcasts the interval side when its measured bytes allow, else both sides shuffle
 on (key, bucket), which spreads even a single global key over all buckets, and
-AQE splits skewed buckets.
+skewed buckets are split.
 """
 
 from __future__ import annotations
@@ -22,30 +22,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 2_000_000
-
-
-def size_checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
-                           keep: bool = False) -> DataFrame:
-    """Broadcast ``df`` if it holds at most ``max_rows`` rows (counted), else leave it.
-
-    With ``keep`` the counted rows are persisted (memory and disk, recomputable
-    from lineage if an executor is lost) when small, so the broadcast reads them
-    instead of recomputing; identical plans share the persisted copy.
-    """
-    if keep:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    if keep:
-        df = df.unpersist()
-    return df
-
-
 @dataclass(frozen=True)
 class Intervals:
     """Validity intervals of readings, keyed by (key columns, time bucket)."""
@@ -92,12 +71,10 @@ def prepare(readings: DataFrame, *, reading_time: str = "factor_time",
 
 
 def join(events: DataFrame, intervals: Intervals, *, event_time: str = "timestamp",
-         by: Sequence[str] = (), broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
+         by: Sequence[str] = ()) -> DataFrame:
     """Left-join prepared intervals; ``by``: event key columns matching the reading keys."""
     width = intervals.tolerance_seconds * 1_000_000
     r = intervals.df
-    if broadcast_rows:
-        r = size_checked_broadcast(r, broadcast_rows, keep=True)
     ev_t = F.col(event_time)
     cond: list[Column] = [events[ec] == r[k] for ec, k in zip(by, intervals.keys)]
     cond += [F.floor(F.unix_micros(ev_t) / width) == r["__bucket"], ev_t >= r["__rt"],
@@ -113,8 +90,7 @@ def join(events: DataFrame, intervals: Intervals, *, event_time: str = "timestam
 
 def asof_join(events: DataFrame, readings: DataFrame, *, event_time: str = "timestamp",
               reading_time: str = "factor_time", by: Sequence[tuple[str, str]] = (),
-              values: Sequence[tuple[str, str]] = (), tolerance_seconds: int = 300,
-              broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
+              values: Sequence[tuple[str, str]] = (), tolerance_seconds: int = 300) -> DataFrame:
     """Left as-of join in one call.
 
     ``by``: (event column, reading column) key pairs (empty: one global series).
@@ -123,5 +99,4 @@ def asof_join(events: DataFrame, readings: DataFrame, *, event_time: str = "time
     """
     iv = prepare(readings, reading_time=reading_time, by=[rc for _, rc in by], values=values,
                  tolerance_seconds=tolerance_seconds)
-    return join(events, iv, event_time=event_time, by=[ec for ec, _ in by],
-                broadcast_rows=broadcast_rows)
+    return join(events, iv, event_time=event_time, by=[ec for ec, _ in by])

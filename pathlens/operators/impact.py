@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalars import event_order, is_conversion
+from ..session import written
 
 
 def weather_impact(enriched: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def revenue_temperature_ols(enriched: DataFrame) -> DataFrame:
 
 
 def running_conversion_rate(enriched: DataFrame, label: str = "news_sentiment",
-                            default: str = "neutral", chunk_seconds: int = 3600) -> DataFrame:
+                            default: str = "neutral", chunks: int | None = None) -> DataFrame:
     """H5: the original's order-dependent "conversion rate" per label, reproduced exactly.
 
     Rows of a label are taken in (time, id) order; at the k-th row the rate becomes
@@ -89,39 +90,42 @@ def running_conversion_rate(enriched: DataFrame, label: str = "news_sentiment",
     is ``sum_j (1/k_j) * prod_{i>j} (k_i - 1)/k_i`` over converting rows j, i. It is
     computed without gathering a label's rows anywhere:
 
-    * positions k: row numbers inside (label, hour) chunks plus the chunk's offset
-      (running count over the small per-chunk table);
-    * the products: exp of suffix sums of ``log((k-1)/k)``, inside the chunk by a
-      window and across later chunks through the per-chunk table.
+    * rows are cut into balanced ranges of (label, time, id), so one label or one busy
+      hour spreads over as many chunks as its rows need; the narrow rows with their
+      chunk are written once;
+    * positions k: row numbers inside a chunk plus the rows of the label's earlier
+      chunks (running count over the small per-chunk table);
+    * the products: exp of suffix sums of ``log((k-1)/k)``, as running sums over the
+      reversed order, inside the chunk and over the per-chunk table.
 
     The true rate (conversions / count) is ``sentiment_impact``'s ``conversion_rate``.
     """
     lab = F.coalesce(F.col(label), F.lit(default)).alias("label")
-    chunk = F.floor(F.unix_micros("timestamp") / F.lit(chunk_seconds * 1_000_000)).alias("chunk")
-    rows = enriched.select(lab, chunk, "timestamp", F.col("interaction_id").cast("string").alias("id"),
+    rows = enriched.select(lab, "timestamp", F.col("interaction_id").cast("string").alias("id"),
                            is_conversion("revenue").alias("conv"))
+    parts = chunks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(rows.repartitionByRange(parts, "label", "timestamp", "id")
+                   .withColumn("chunk", F.spark_partition_id()), "running-rate")
     sizes = rows.groupBy("label", "chunk").agg(F.count("*").alias("n"))
     by_chunk = Window.partitionBy("label").orderBy("chunk")
     offsets = sizes.select("label", "chunk", (F.sum("n").over(by_chunk) - F.col("n")).alias("offset"))
     in_chunk = Window.partitionBy("label", "chunk").orderBy("timestamp", "id")
-    after = in_chunk.rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy("label", "chunk")
-    # rows are hash-partitioned on (label, chunk) for the window below anyway, so
-    # joining the per-chunk offsets on the same keys adds no shuffle of the rows
+    later = (Window.partitionBy("label", "chunk").orderBy(F.desc("k"))
+             .rowsBetween(Window.unboundedPreceding, -1))
     k = (rows.join(offsets, ["label", "chunk"])
          .withColumn("k", F.col("offset") + F.row_number().over(in_chunk)))
     log_a = F.when(F.col("conv") & (F.col("k") > 1), F.log((F.col("k") - 1) / F.col("k"))) \
         .otherwise(F.lit(0.0))
     k = k.withColumn("la", log_a)
-    k = (k.withColumn("after", F.coalesce(F.sum("la").over(after), F.lit(0.0)))
-         .withColumn("chunk_log", F.sum("la").over(whole)))
+    k = k.withColumn("after", F.coalesce(F.sum("la").over(later), F.lit(0.0)))
     partial = (k.groupBy("label", "chunk")
                .agg(F.sum(F.when(F.col("conv"), F.exp("after") / F.col("k"))
                           .otherwise(F.lit(0.0))).alias("p"),
-                    F.first("chunk_log").alias("chunk_log"), F.count("*").alias("n"),
+                    F.sum("la").alias("chunk_log"), F.count("*").alias("n"),
                     F.count(F.when(F.col("conv"), 1)).alias("conversions")))
-    later = by_chunk.rowsBetween(1, Window.unboundedFollowing)
-    combined = partial.withColumn("later_log", F.coalesce(F.sum("chunk_log").over(later), F.lit(0.0)))
+    later_chunks = (Window.partitionBy("label").orderBy(F.desc("chunk"))
+                    .rowsBetween(Window.unboundedPreceding, -1))
+    combined = partial.withColumn("later_log", F.coalesce(F.sum("chunk_log").over(later_chunks), F.lit(0.0)))
     return (combined.groupBy("label")
             .agg(F.sum("n").alias("count"), F.sum("conversions").alias("conversions"),
                  F.sum(F.col("p") * F.exp("later_log")).alias("running_rate"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC wall clock (timestamps are compared across
 # engines), adaptive execution (runtime coalescing, skew-join splitting,
@@ -77,6 +78,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: computed once, its lineage
+    cut, its measured size known to the planner."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cluster_conf(input_bytes: int, total_cores: int,
                  target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Sizing for a cluster run over ``input_bytes`` of Parquet with ``total_cores`` cores.

@@ -86,17 +86,13 @@ def _numpy_q(values, qs):
     return [float(np.quantile(v, q)) for q in qs]
 
 
-@pytest.mark.parametrize("force_band", [False, True])
-def test_exact_quantiles_match_numpy(spark, monkeypatch, force_band):
+@pytest.mark.parametrize("accuracy", [quantiles.DEFAULT_ACCURACY, 50])
+def test_exact_quantiles_match_numpy(spark, accuracy):
     rng = np.random.default_rng(7)
     vals = list(np.round(rng.gamma(2.0, 30.0, 3000), 1)) + [5.0] * 400 + [None, float("nan")]
     df = spark.createDataFrame([(float(x) if x is not None else None,) for x in vals], "x double")
     qs = [0.0, 1 / 3, 0.5, 2 / 3, 0.8, 1.0]
-    if force_band:  # exercise the sketch band path on small data
-        monkeypatch.setattr(quantiles, "EXACT_BELOW", 0)
-        row = quantiles.quantile_row(df, ["x"], qs, accuracy=50).first()
-    else:
-        row = quantiles.quantile_row(df, ["x"], qs).first()
+    row = quantiles.quantile_row(df, ["x"], qs, accuracy=accuracy).first()
     got = [row["x"][f"q{i}"] for i in range(len(qs))]
     assert got == pytest.approx(_numpy_q(vals, qs), rel=1e-12)
 

@@ -14,8 +14,10 @@ def _readings(spark, rows):
                                  "city string, factor_time timestamp, v double")
 
 
-@pytest.mark.parametrize("broadcast_rows", [None, 1000])
-def test_asof_tolerance_and_candidates(spark, broadcast_rows):
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_asof_tolerance_and_candidates(spark, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", threshold)
     ev = spark.createDataFrame([
         ("exact", "X", t("2024-01-01 00:05:00")),     # reading 300 s old -> match
         ("late", "X", t("2024-01-01 00:05:01")),      # 301 s old -> none
@@ -27,8 +29,9 @@ def test_asof_tolerance_and_candidates(spark, broadcast_rows):
     rd = _readings(spark, [("X", "2024-01-01 00:00:00", 1.0), ("X", "2024-01-01 00:59:00", 2.0),
                            ("X", "2024-01-01 01:00:00", 3.0), ("Y", "2024-01-01 00:00:00", 9.0)])
     out = {r.id: r.v for r in asof_join(ev, rd, by=[("city", "city")], values=[("v", "v")],
-                                        tolerance_seconds=300,
-                                        broadcast_rows=broadcast_rows).collect()}
+                                        tolerance_seconds=300).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert out == {"exact": 1.0, "late": None, "two": 3.0, "none": None, "other": 9.0,
                    "nullkey": None}
 
@@ -131,8 +134,8 @@ def _sequential_rate(flags):
     return r
 
 
-@pytest.mark.parametrize("chunk_seconds", [60, 3600, 10 ** 9])
-def test_running_rate_matches_sequential_rule(spark, chunk_seconds):
+@pytest.mark.parametrize("chunks", [1, 4, 50])
+def test_running_rate_matches_sequential_rule(spark, chunks):
     import random
     rnd = random.Random(3)
     rows = []
@@ -143,7 +146,7 @@ def test_running_rate_matches_sequential_rule(spark, chunk_seconds):
     rows[0] = ("0", "positive", rows[0][2], 9.0)        # first row converts (k = 1)
     df = spark.createDataFrame(rows, "interaction_id string, news_sentiment string, "
                                      "timestamp timestamp, revenue double")
-    got = {r.sentiment: r for r in impact.running_conversion_rate(df, chunk_seconds=chunk_seconds).collect()}
+    got = {r.sentiment: r for r in impact.running_conversion_rate(df, chunks=chunks).collect()}
     for lab in ["positive", "negative", None]:
         flags = [rv > 0 for _, l_, _, rv in sorted(rows, key=lambda x: (x[2], x[0])) if l_ == lab]
         g = got[lab or "neutral"]
@@ -152,6 +155,20 @@ def test_running_rate_matches_sequential_rule(spark, chunk_seconds):
         assert g.running_rate > sum(flags) / len(flags)     # biased upward (H5)
 
 
+def test_running_rate_of_one_hot_label_and_hour_is_linear(spark):
+    import time
+    df = spark.range(200_000).select(
+        F.col("id").cast("string").alias("interaction_id"), F.lit("positive").alias("news_sentiment"),
+        F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 1000).alias("timestamp"),
+        F.when(F.col("id") % 5 == 0, 1.0).otherwise(0.0).alias("revenue"))
+    began = time.time()
+    r = impact.running_conversion_rate(df).first()
+    assert time.time() - began < 60
+    assert (r["count"], r.conversions) == (200_000, 40_000)
+    ids = sorted(range(200_000), key=lambda i: (i, str(i)))
+    assert r.running_rate == pytest.approx(_sequential_rate(i % 5 == 0 for i in ids), rel=1e-9)
+
+
 def test_asof_across_days_and_gap_days(spark):
     rd = spark.createDataFrame([(t("2024-01-01 23:59:00"), 1.0), (t("2024-01-02 00:00:30"), 2.0),
                                 (t("2024-01-02 23:58:00"), 3.0), (t("2024-01-04 00:01:00"), 4.0)],
