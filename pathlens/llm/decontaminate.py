@@ -4,9 +4,9 @@
 with its documents, its sorted terms and, term by term, the ascending word positions. ``search``
 looks benchmark windows up in each shard: starting from the window's rarest term there, the
 position lists, each moved back by its term's offset, are intersected until none is left or all
-terms agree (an exact phrase); a window whose terms all lie within a stretch of ``within`` words
-is a proximity match. Terms are 64-bit word hashes, so a false phrase needs all of its terms to
-collide.
+terms agree (an exact phrase); a window is a proximity match where all its terms stand less than
+``within`` words from an occurrence of its first. Terms are 64-bit word hashes, so a false phrase
+needs all of its terms to collide.
 
 Nothing is dealt by term, so a frequent word or passage costs each shard in proportion to its own
 text. Windows travel in blocks of at most about ``BLOCK_WINDOWS``; each block is one pass over
@@ -95,41 +95,14 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return named.mapInArrow(cut, "item string, n int, terms array<bigint>")
 
 
-def _in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(among, values)
-    return among[np.minimum(at, len(among) - 1)] == values
-
-
-def phrase_starts(lists: list[np.ndarray]) -> np.ndarray:
-    """Positions where the phrase starts, ``lists[j]`` holding the positions of its j-th term."""
-    order = sorted(range(len(lists)), key=lambda j: len(lists[j]))
-    starts = lists[order[0]] - order[0]
-    for j in order[1:]:
-        starts = starts[_in_sorted(starts + j, lists[j])]
-        if not len(starts):
-            break
-    return starts
-
-
-def near_positions(lists: list[np.ndarray], within: int) -> np.ndarray:
-    """Positions of the rarest term that lie, with all other terms, in a stretch of ``within`` words."""
-    lists = sorted(lists, key=len)
-    anchors = lists[0]
-    for other in lists[1:]:
-        left = np.searchsorted(other, anchors - within, side="right")
-        anchors = anchors[left < np.searchsorted(other, anchors + within)]
-    kept = []
-    for p in anchors:
-        close = [x[np.searchsorted(x, p - within, side="right"):np.searchsorted(x, p + within)] for x in lists[1:]]
-        begins = np.unique(np.concatenate([[p], *close]))
-        begins = begins[begins <= p]
-        fits = p < begins + within
-        for x in close:
-            at = np.searchsorted(x, begins)
-            fits &= (at < len(x)) & (x[np.minimum(at, len(x) - 1)] < begins + within)
-        if fits.any():
-            kept.append(p)
-    return np.array(kept, np.int64)
+def _held(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(among, keys)
+    return among[np.minimum(at, len(among) - 1)] == keys
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [begin, begin + count), one range after the other."""
+    return np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
@@ -144,37 +117,72 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
 
 
 def _search_shard(row: dict, block: tuple, within: int) -> tuple[dict, dict, dict]:
-    """Per document ordinal: hit word ranges, items with an exact window, items with a near one."""
+    """Per document ordinal: hit word ranges, items with an exact window, items with a near one.
+
+    A posting is the number ``list * span + position``, so that the lists of all terms are one
+    sorted array, and one search intersects the lists of all windows with their candidates.
+    Positions leave a gap between documents that no phrase or stretch bridges.
+    """
     item_of, vocabulary, at, lengths = block
     terms = row["term"].view(np.uint64)
-    ends = np.cumsum(row["n_positions"])
-    place = np.searchsorted(terms, vocabulary)
-    held = place < len(terms)
-    held[held] = terms[place[held]] == vocabulary[held]
-    possible = (held[at] | (np.arange(at.shape[1]) >= lengths[:, None])).all(axis=1)
-    first = np.concatenate([[0], np.cumsum(row["n_words"])])
+    place = np.minimum(np.searchsorted(terms, vocabulary), max(0, len(terms) - 1))
+    held = terms[place] == vocabulary if len(terms) else np.zeros(len(vocabulary), bool)
+    column = np.arange(at.shape[1])
+    possible = (held[at] | (column >= lengths[:, None])).all(axis=1)
     hits, items, near = {}, {}, {}
-
-    def positions(term):
-        k = place[term]
-        return row["position"][ends[k] - row["n_positions"][k]:ends[k]].astype(np.int64)
-
-    for w in np.flatnonzero(possible):
-        n = int(lengths[w])
-        lists = [positions(t) for t in at[w, :n]]
-        starts = phrase_starts(lists)
-        doc = np.searchsorted(first, starts, side="right") - 1
-        whole = starts + n <= first[doc + 1] if len(starts) else np.zeros(0, bool)
-        for s, d in zip(starts[whole].tolist(), doc[whole].tolist(), strict=True):
-            hits.setdefault(d, []).append((s - int(first[d]), s - int(first[d]) + n))
-            items.setdefault(d, set()).add(item_of[w])
-        if within:
-            distinct = [lists[j] for j in sorted({int(t): j for j, t in enumerate(at[w, :n])}.values())]
-            by_doc = near_positions([x + within * np.searchsorted(first[1:], x, side="right") for x in distinct], within)
-            anchor = min(distinct, key=len)
-            moved = anchor + within * np.searchsorted(first[1:], anchor, side="right")
-            for p in anchor[np.isin(moved, by_doc)].tolist():
-                near.setdefault(int(np.searchsorted(first, p, side="right")) - 1, set()).add(item_of[w])
+    if not possible.any():
+        return hits, items, near
+    window, n_terms = at[possible], lengths[possible]
+    owner = [item_of[w] for w in np.flatnonzero(possible)]
+    used, window = np.unique(np.where(column < n_terms[:, None], window, window[:, :1]), return_inverse=True)
+    window = window.reshape(len(n_terms), -1)
+    sizes = row["n_positions"][place[used]].astype(np.int64)
+    begin = (np.cumsum(row["n_positions"]) - row["n_positions"])[place[used]]
+    position = row["position"][_ranges(begin, sizes)].astype(np.int64)
+    n_docs, gap = len(row["n_words"]), 2 * max(within, at.shape[1])
+    first = np.concatenate([[0], np.cumsum(row["n_words"])[:-1]]) + gap * np.arange(1, n_docs + 1)
+    position = position + gap * (1 + np.repeat(np.arange(n_docs), row["n_words"])[position])
+    span = int(row["n_words"].sum()) + gap * (n_docs + 2)
+    begin = np.cumsum(sizes) - sizes
+    posting = np.repeat(np.arange(len(used)), sizes) * span + position
+
+    order = np.argsort(np.where(column < n_terms[:, None], sizes[window], np.iinfo(np.int64).max), axis=1, kind="stable")
+    rarest = window[np.arange(len(window)), order[:, 0]]
+    of = np.repeat(np.arange(len(window)), sizes[rarest])
+    rare_at = position[_ranges(begin[rarest], sizes[rarest])]
+
+    w, start = of, rare_at - order[of, 0]
+    for r in range(1, at.shape[1]):
+        offset = order[w, r]
+        agrees = (r >= n_terms[w]) | _held(window[w, offset] * span + start + offset, posting)
+        w, start = w[agrees], start[agrees]
+    doc = np.searchsorted(first, start, side="right") - 1
+    for k, d, s in zip(w.tolist(), doc.tolist(), (start - first[doc]).tolist(), strict=True):
+        hits.setdefault(d, []).append((s, s + int(n_terms[k])))
+        items.setdefault(d, set()).add(owner[k])
+
+    def all_close(w, centre, reach):
+        """Which centres have every term of their window at most ``reach`` words away."""
+        kept = np.arange(len(w))
+        for r in range(at.shape[1]):
+            term = window[w[kept], order[w[kept], r]] * span
+            at_least = np.searchsorted(posting, term + centre[kept] - reach)
+            close = posting[np.minimum(at_least, len(posting) - 1)]
+            kept = kept[(r >= n_terms[w[kept]]) | ((at_least < len(posting)) & (close <= term + centre[kept] + reach))]
+        return kept
+
+    if within:
+        reach = within - 1
+        kept = all_close(of, rare_at, 2 * reach)
+        w, centre = of[kept], rare_at[kept]
+        lead = window[w, 0] * span
+        low = np.searchsorted(posting, lead + centre - reach)
+        count = np.searchsorted(posting, lead + centre + reach, side="right") - low
+        w, centre = np.repeat(w, count), position[_ranges(low, count)]
+        kept = all_close(w, centre, reach)
+        doc = np.searchsorted(first, centre[kept], side="right") - 1
+        for k, d in set(zip(w[kept].tolist(), doc.tolist(), strict=True)):
+            near.setdefault(d, set()).add(owner[k])
     return hits, items, near
 
 
