@@ -58,11 +58,6 @@ MARKET_LABEL_WEAK = "Weak correlation"
 # Market advice thresholds on change percent.
 ADVICE_PREMIUM_ABOVE = 2
 ADVICE_VALUE_BELOW = -2
-ADVICE_PREMIUM = "Promote premium products - customers feeling confident!"
-ADVICE_VALUE = "Focus on value deals and discounts"
-ADVICE_UP = "Market is up - expect higher conversion rates!"
-ADVICE_DOWN = "Market is down - customers may be more cautious"
-
 # Question routing: topic and its keywords, checked in this order; first match wins.
 QUESTION_TOPICS = (
     ("touchpoint_performance", ("touchpoint", "channel", "performance")),
@@ -94,94 +89,59 @@ LATEST_INTERACTIONS = 20
 STREAM_BATCH_ROWS = 100
 STREAM_INTERVAL_SECONDS = 30
 
-# Insight answer templates ({name} placeholders; numbers arrive pre-formatted).
-INSIGHT_TOUCHPOINTS = """Touchpoint Performance Analysis:
-
-Best Revenue Generator: {best_touchpoint}
-- Total Revenue: ${best_revenue}
-- Total Interactions: {best_interactions}
-- Conversion Rate: {best_rate}%
-
-Highest Conversion Rate: {conv_touchpoint}
-- Conversion Rate: {conv_rate}%
-- Revenue per Interaction: ${conv_avg_revenue}
-
-Key Insights:
-- {best_touchpoint} is your revenue powerhouse
-- {conv_touchpoint} has the most efficient conversion process
-- Focus optimization efforts on these high-performing channels"""
+# ---------------------------------------------------------------------------
+# OWN WORDING: advice and answers. The numbers that fill the slots follow the original's
+# rules; the sentences around them are this library's.
+# ---------------------------------------------------------------------------
 
-INSIGHT_SEGMENTS = """Customer Segment Analysis:
+ADVICE_PREMIUM = "The market has risen clearly: put premium offers forward."
+ADVICE_VALUE = "The market has fallen clearly: put discounts and value offers forward."
+ADVICE_UP = "The market is rising; conversions may follow."
+ADVICE_DOWN = "The market is not rising; buyers may hold back."
 
-Most Valuable Segment: {segment}
-- Total Revenue: ${total_revenue}
-- Customer Count: {customer_count}
-- Average Revenue per Customer: ${avg_revenue}
-- Average Interactions: {avg_interactions}
+# {name} placeholders; numbers arrive formatted.
+INSIGHT_TOUCHPOINTS = """Touchpoints
 
-Strategic Recommendations:
-- Prioritize retention strategies for {segment} customers
-- Develop targeted campaigns to convert other segments to {segment}
-- Analyze what makes {segment} customers more valuable"""
+Most revenue: {best_touchpoint} (${best_revenue} from {best_interactions} interactions, {best_rate}% of them conversions).
+Highest conversion rate: {conv_touchpoint} ({conv_rate}%, ${conv_avg_revenue} per interaction).
 
-INSIGHT_JOURNEYS = """Customer Journey Analysis:
+{best_touchpoint} carries the revenue and {conv_touchpoint} converts best; changes to these two have the largest effect."""
 
-Journey Characteristics:
-- Average Journey Length: {avg_length} interactions
-- Average Duration: {avg_duration} days
-- Overall Conversion Rate: {conversion_rate}%
+INSIGHT_SEGMENTS = """Segments
 
-Common Journey Patterns:
-- Most Common First Touchpoint: {top_first} ({top_first_count} customers)
-- Most Common Last Touchpoint: {top_last} ({top_last_count} customers)
+Most revenue: {segment} (${total_revenue} from {customer_count} customers).
+Per customer in {segment}: ${avg_revenue} and {avg_interactions} interactions on average.
 
-Optimization Opportunities:
-- Optimize the {top_first} → {top_last} journey path
-- Reduce average journey duration to improve conversion speed
-- Focus on converting more of the {conversion_rate}% of journeys"""
+Keep the customers of {segment}, and look for customers elsewhere who behave like them."""
 
-INSIGHT_TRENDS = """Revenue Trends Analysis:
+INSIGHT_JOURNEYS = """Journeys
 
-Overall Performance:
-- Total Revenue: ${total_revenue}
-- Average Daily Revenue: ${avg_daily_revenue}
-- Revenue Trend: {trend_title}
+A journey has {avg_length} interactions over {avg_duration} days on average; {conversion_rate}% of journeys convert.
+They most often begin at {top_first} ({top_first_count} customers) and end at {top_last} ({top_last_count} customers).
 
-Peak Performance:
-- Best Day: {peak_date}
-- Peak Revenue: ${peak_revenue}
-- Peak Interactions: {peak_interactions}
+The way from {top_first} to {top_last} deserves the first look; {conversion_rate}% is the rate to raise."""
 
-Strategic Insights:
-- Revenue is trending {trend}
-- Analyze what made {peak_date} successful
-- Replicate peak day strategies for consistent growth"""
+INSIGHT_TRENDS = """Revenue
 
-INSIGHT_RECOMMENDATIONS = """Strategic Recommendations:
+Total: ${total_revenue}, or ${avg_daily_revenue} a day. Direction: {trend_title}.
+Best day: {peak_date}, with ${peak_revenue} from {peak_interactions} interactions.
 
-Immediate Actions:
-1. Optimize High-Performing Touchpoints: Double down on your best revenue-generating channels
-2. Improve Conversion Funnels: Focus on touchpoints with high traffic but low conversion
-3. Segment-Specific Campaigns: Create targeted campaigns for your most valuable customer segments
+Daily revenue is {trend}; find out what happened on {peak_date}."""
 
-Medium-Term Strategies:
-1. Journey Optimization: Streamline customer journeys to reduce friction and time-to-conversion
-2. Cross-Channel Integration: Ensure consistent experience across all touchpoints
-3. Predictive Analytics: Implement models to identify high-value prospects early
+INSIGHT_RECOMMENDATIONS = """Recommendations
 
-Long-Term Growth:
-1. Customer Lifetime Value: Focus on retention and expansion of high-value segments
-2. New Channel Exploration: Test new touchpoints based on customer preferences
-3. Personalization: Implement AI-driven personalization across all customer interactions"""
+Now: give the touchpoints that earn most more room, and mend those with many visits and few sales.
+Next: shorten journeys that take long, and treat every channel as one visit.
+Later: measure what a customer is worth over time, and offer what fits that customer."""
 
 NO_DATA = {
-    "touchpoint_performance": "No touchpoint data available.",
-    "customer_segments": "No customer segment data available.",
-    "journey_patterns": "No journey data available.",
-    "revenue_trends": "No time series data available.",
+    "touchpoint_performance": "There are no touchpoints to report on.",
+    "customer_segments": "There are no segments to report on.",
+    "journey_patterns": "There are no journeys to report on.",
+    "revenue_trends": "There are no days to report on.",
 }
-# Header and order of the full insight summary (all five answers).
-SUMMARY_HEADER = "# Customer Behavior Insights Dashboard\n\n"
+SUMMARY_HEADER = "# What the interactions show\n\n"
+# Order of the full summary (all five answers).
 SUMMARY_TOPICS = ("touchpoint_performance", "customer_segments", "journey_patterns",
                   "revenue_trends", "recommendations")
 # The three answers joined for a question that matches no topic.

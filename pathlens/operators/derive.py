@@ -1,7 +1,9 @@
 """The four derived tables: journeys, touchpoint analysis, segments, daily series.
 
 All are partial (map-side combined) aggregations keyed by a column of the
-interactions, so a shuffle moves one row per group per map task, never raw rows.
+interactions, so a shuffle moves one row per group per map task. Only the journey's
+path text and channel tally need the rows of a chunk; reports that do not read these
+columns do not shuffle them either (column pruning drops the lists).
 """
 
 from __future__ import annotations
@@ -53,9 +55,13 @@ def touchpoint_analysis(interactions: DataFrame, round_to: int | None = 2) -> Da
 
 # ---------------------------------------------------------------- A2 ----------
 
-def customer_journeys(interactions: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def customer_journeys(interactions: DataFrame, chunk_seconds: int = 3600,
+                      with_path: bool = True) -> DataFrame:
     """A2: one row per customer with the ordered path and journey facts.
 
+    ``with_path=False`` leaves ``journey_path`` out: one text per customer cannot hold a
+    customer with a huge share of all rows; ``journey_segments`` has such paths in pieces.
+
     One scan, two partially aggregated shuffles, no join:
 
     1. (customer, time chunk) groups sort their rows and produce the chunk's path
@@ -82,10 +88,9 @@ def customer_journeys(interactions: DataFrame, chunk_seconds: int = 3600) -> Dat
         F.get(F.filter(seq, lambda e: e["tp"] == tp), 0).dropFields("tp").alias("seen")))
     chunks = (i.groupBy("customer_id", chunk.alias("chunk"))
               .agg(F.count("*").alias("n"), F.sum(rev_nan).alias("rev"),
+                   F.min(order).alias("first"), F.max(order).alias("last"),
                    F.array_sort(F.collect_list(order)).alias("seq"))
-              .select("customer_id", "n", "rev",
-                      seq[0].alias("first"),
-                      F.element_at(seq, -1).alias("last"),
+              .select("customer_id", "n", "rev", "first", "last",
                       path_text(F.transform(seq, lambda e: e["tp"])).alias("part"),
                       chunk_tally.alias("tally")))
     per_customer = (chunks.groupBy("customer_id")
@@ -110,9 +115,9 @@ def customer_journeys(interactions: DataFrame, chunk_seconds: int = 3600) -> Dat
         m["n"].alias("n"))))
     parts = F.filter("parts", lambda e: F.length(e["p"]) > 0)
     total = F.col("total_revenue")
+    path = [path_text(F.transform(parts, lambda e: e["p"])).alias("journey_path")] if with_path else []
     return (per_customer.withColumn("entries", entries)
-            .select("customer_id",
-                    path_text(F.transform(parts, lambda e: e["p"])).alias("journey_path"),
+            .select("customer_id", *path,
                     "total_interactions",
                     total.alias("total_revenue"),
                     F.when(F.col("total_interactions") > 1,
@@ -126,6 +131,12 @@ def customer_journeys(interactions: DataFrame, chunk_seconds: int = 3600) -> Dat
                     json_counts(F.col("entries"), "touchpoint", "n").alias("touchpoint_counts")))
 
 
+def customer_revenue(interactions: DataFrame) -> DataFrame:
+    """(customer_id, total_revenue) as ``customer_journeys`` has it, without the journey."""
+    return (interactions.where(F.col("customer_id").isNotNull()).groupBy("customer_id")
+            .agg(F.sum(F.coalesce(F.col("revenue"), F.lit(float("nan")))).alias("total_revenue")))
+
+
 def journey_segments(interactions: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     """The journeys' skew-safe form: one row per (customer, time chunk) with the
     ordered path piece, its size, revenue and first/last touchpoint.

@@ -1,8 +1,8 @@
 """Enrichment of interactions with external factors.
 
 Events first get a city (their own, else their customer's, else the default,
-H16). Weather is joined as-of per city, market and economic readings as-of on
-their single series, news as a global scalar, city facts by a lookup join.
+H16). Weather is joined as-of per city, market, news and economic readings as-of on
+their single series, city facts by a lookup join.
 Every step is a left join: no interaction is ever dropped (J9).
 """
 
@@ -32,7 +32,9 @@ WEATHER_VALUES = (("temperature", "weather_temperature"), ("weather_condition",
                   ("humidity", "weather_humidity"))
 MARKET_VALUES = (("market_sentiment", "market_sentiment"), ("change_percent", "market_change_percent"))
 ECONOMIC_VALUES = (("inflation_rate", "inflation_rate"), ("consumer_confidence", "consumer_confidence"))
+NEWS_VALUES = (("sentiment_label", "news_sentiment"), ("sentiment_score", "news_sentiment_score"))
 ECONOMIC_TOLERANCE_SECONDS = 3600
+NEWS_TOLERANCE_SECONDS = 86_400
 
 
 def weather_intervals(weather: DataFrame,
@@ -51,6 +53,10 @@ def economic_intervals(economic: DataFrame,
     return asof.prepare(economic, values=ECONOMIC_VALUES, tolerance_seconds=tolerance_seconds)
 
 
+def news_intervals(news: DataFrame, tolerance_seconds: int = NEWS_TOLERANCE_SECONDS) -> asof.Intervals:
+    return asof.prepare(news, values=NEWS_VALUES, tolerance_seconds=tolerance_seconds)
+
+
 def _iv(x, make):
     return x if isinstance(x, asof.Intervals) else make(x)
 
@@ -73,17 +79,9 @@ def enrich_economic(events: DataFrame, economic) -> DataFrame:
     return asof.join(events, _iv(economic, economic_intervals))
 
 
-def enrich_news(events: DataFrame, news: DataFrame) -> DataFrame:
-    """The news label and score of one query, attached as a scalar.
-
-    ``news`` is one row (``news_sentiment`` output for the query of interest);
-    it is bound once as a scalar subquery, so no join touches the events.
-    """
-    row = news.select(F.struct("sentiment_label", "sentiment_score").alias("s")).scalar()
-    return (events.withColumn("__news", row)
-            .withColumn("news_sentiment", F.col("__news.sentiment_label"))
-            .withColumn("news_sentiment_score", F.col("__news.sentiment_score"))
-            .drop("__news"))
+def enrich_news(events: DataFrame, news) -> DataFrame:
+    """Label and score of the news reading as of the event (daily, 1 day life)."""
+    return asof.join(events, _iv(news, news_intervals))
 
 
 def enrich_geo(events: DataFrame, facts: DataFrame) -> DataFrame:

@@ -37,14 +37,14 @@ def market_score(enriched: DataFrame) -> DataFrame:
     The label uses exact integer thresholds (count > 50 / > 20); the original added
     0.1 repeatedly, whose rounding error can flip the label exactly at 5.0 / 2.0.
     """
-    s = F.col("market_sentiment")
-    agree = ((s == "positive") & is_conversion("revenue")) | \
-            ((s == "negative") & (F.col("revenue") == 0))
-    n = F.count(F.when(agree, 1))
+    return _scored(enriched.agg(F.count(F.when(_agrees(), 1)).alias("matches")))
+
+
+def _scored(matches: DataFrame) -> DataFrame:
     step = config.MARKET_SCORE_STEP
     strong = int(round(config.MARKET_STRONG_ABOVE / step))
     moderate = int(round(config.MARKET_MODERATE_ABOVE / step))
-    return enriched.agg(n.alias("matches")).select(
+    return matches.select(
         "matches",
         (F.col("matches") * F.lit(step)).alias("correlation_score"),
         F.when(F.col("matches") > strong, F.lit(config.MARKET_LABEL_STRONG))
@@ -62,6 +62,34 @@ def sentiment_impact(enriched: DataFrame) -> DataFrame:
                  .alias("conversion_rate")))
 
 
+def _agrees():
+    s = F.col("market_sentiment")
+    return ((s == "positive") & is_conversion("revenue")) | ((s == "negative") & (F.col("revenue") == 0))
+
+
+def partial_impact(enriched: DataFrame) -> DataFrame:
+    """Sums for A19-A21 per (weather condition, news label): they add up over batches."""
+    return (enriched.groupBy(F.coalesce("weather_condition", F.lit("Unknown")).alias("weather_condition"),
+                             F.coalesce("news_sentiment", F.lit("neutral")).alias("sentiment"))
+            .agg(F.count("*").alias("n"), F.sum("revenue").alias("revenue"),
+                 F.count("revenue").alias("revenue_n"),
+                 F.count(F.when(is_conversion("revenue"), 1)).alias("conversions"),
+                 F.count(F.when(_agrees(), 1)).alias("matches")))
+
+
+def combined_impact(sums: DataFrame) -> dict[str, DataFrame]:
+    """A19-A21 from the sums of ``partial_impact``."""
+    weather = (sums.groupBy("weather_condition")
+               .agg(F.sum("revenue").alias("total_revenue"), F.sum("n").alias("interaction_count"))
+               .withColumn("avg_revenue", F.col("total_revenue") / F.col("interaction_count")))
+    sentiment = (sums.groupBy("sentiment")
+                 .agg(F.sum("n").alias("count"),
+                      (F.sum("revenue") / F.sum("revenue_n")).alias("avg_revenue"),
+                      (F.sum("conversions") * F.lit(100.0) / F.sum("n")).alias("conversion_rate")))
+    score = _scored(sums.agg(F.coalesce(F.sum("matches"), F.lit(0)).alias("matches")))
+    return {"weather_impact": weather, "sentiment_impact": sentiment, "market_score": score}
+
+
 def conversion_by_market(enriched: DataFrame) -> DataFrame:
     """Conversion % per market sentiment."""
     return (enriched.where(F.col("market_sentiment").isNotNull())

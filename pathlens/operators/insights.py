@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import grouped_int, money, one_decimal, render, two_decimals
+from ..session import written
 from . import reports
 
 
-def route(question: Column) -> Column:
-    """Topic of a question; default ``comprehensive``."""
+def route(question: Column, topics=config.QUESTION_TOPICS) -> Column:
+    """Topic of a question by ``topics`` (topic, words), first match wins; default
+    ``comprehensive``."""
     low = F.lower(question)
     expr = None
-    for topic, words in config.QUESTION_TOPICS:
+    for topic, words in topics:
         hit = None
         for w in words:
             c = F.contains(low, F.lit(w))
@@ -29,8 +31,9 @@ def route(question: Column) -> Column:
     return expr.otherwise(F.lit(config.DEFAULT_TOPIC))
 
 
-def route_questions(questions: DataFrame, column: str = "question") -> DataFrame:
-    return questions.withColumn("topic", route(F.col(column)))
+def route_questions(questions: DataFrame, column: str = "question",
+                    topics=config.QUESTION_TOPICS) -> DataFrame:
+    return questions.withColumn("topic", route(F.col(column), topics))
 
 
 def _one_row(df: DataFrame, text: Column, topic: str) -> DataFrame:
@@ -100,13 +103,21 @@ def insight_trends(series: DataFrame) -> DataFrame:
 
 def insight_table(analysis: DataFrame, segment_stats: DataFrame, journeys: DataFrame,
                   series: DataFrame) -> DataFrame:
-    """Six rows (topic, answer): four rendered, the constant one, the combined default."""
+    """Six rows (topic, answer): four rendered, the constant one, the combined default.
+
+    The journeys (their narrow columns), segment statistics and daily series are written
+    once, as are the five answers, which the combined one reads again."""
     spark = analysis.sparkSession
+    journeys = written(journeys.select("customer_id", "total_interactions", "journey_duration_days", "first_touchpoint",
+                                       "last_touchpoint", "conversion_occurred"), "journeys")
+    analysis, segment_stats, series = (written(analysis, "analysis"), written(segment_stats, "segment-stats"),
+                                       written(series, "series"))
     parts = (insight_touchpoints(analysis).unionByName(insight_segments(segment_stats))
              .unionByName(insight_journeys(journeys)).unionByName(insight_trends(series))
              .unionByName(spark.range(1).select(
                  F.lit("recommendations").alias("topic"),
                  F.lit(config.INSIGHT_RECOMMENDATIONS).alias("answer"))))
+    parts = written(parts, "answers")
     order = F.array(*[F.lit(t) for t in config.COMPREHENSIVE_TOPICS])
     combined = (parts.where(F.col("topic").isin(*config.COMPREHENSIVE_TOPICS))
                 .agg(F.array_sort(F.collect_list(F.struct(
@@ -117,9 +128,10 @@ def insight_table(analysis: DataFrame, segment_stats: DataFrame, journeys: DataF
     return parts.unionByName(combined)
 
 
-def answer_questions(questions: DataFrame, answers: DataFrame, column: str = "question") -> DataFrame:
+def answer_questions(questions: DataFrame, answers: DataFrame, column: str = "question",
+                     topics=config.QUESTION_TOPICS) -> DataFrame:
     """Route every question and attach its topic's answer (broadcast of <= 6 rows)."""
-    return (route_questions(questions, column).join(F.broadcast(answers), "topic", "left")
+    return (route_questions(questions, column, topics).join(F.broadcast(answers), "topic", "left")
             .withColumn("success", F.lit(True)))
 
 

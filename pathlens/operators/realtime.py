@@ -6,11 +6,14 @@ parquet scan as pushed filters; processing-time ones filter ``processed_timestam
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalars import is_conversion
+from ..session import written
 
 
 def _ts(x) -> Column:
@@ -37,13 +40,16 @@ def to_realtime(interactions: DataFrame, customers: DataFrame | None = None,
 
 def last_hour(df: DataFrame, as_of, hours: int = config.LAST_HOUR_HOURS,
               column: str = "timestamp") -> DataFrame:
-    """``column >= as_of - hours`` (no upper bound, as in the original)."""
-    return df.where(F.col(column) >= _ts(as_of) - F.make_dt_interval(hours=F.lit(hours)))
+    """``as_of - hours <= column <= as_of``. With a wall clock "now" closes the window by
+    itself; a replay has to."""
+    return df.where((F.col(column) >= _ts(as_of) - F.make_dt_interval(hours=F.lit(hours)))
+                    & (F.col(column) <= _ts(as_of)))
 
 
 def recent(df: DataFrame, as_of, minutes: int, column: str = "processed_timestamp") -> DataFrame:
-    """``column > as_of - minutes`` (strict)."""
-    return df.where(F.col(column) > _ts(as_of) - F.make_dt_interval(mins=F.lit(minutes)))
+    """``as_of - minutes < column <= as_of`` (strict below)."""
+    return df.where((F.col(column) > _ts(as_of) - F.make_dt_interval(mins=F.lit(minutes)))
+                    & (F.col(column) <= _ts(as_of)))
 
 
 def last_hour_summary(realtime: DataFrame, as_of) -> DataFrame:
@@ -94,7 +100,7 @@ def conversion_window(buffer: DataFrame, as_of,
     """T2 at one instant: conversion % and mean session over the last ``minutes``."""
     return recent(buffer, as_of, minutes).agg(
         F.count("*").alias("interactions"),
-        (F.count(F.when(is_conversion("revenue"), 1)) * F.lit(100.0) / F.count("*"))
+        F.try_divide(F.count(F.when(is_conversion("revenue"), 1)) * F.lit(100.0), F.count("*"))
         .alias("conversion_rate"),
         F.avg("session_duration_minutes").alias("avg_session_duration"))
 
@@ -108,9 +114,21 @@ ENRICHED_DISPLAY = ("interaction_id", "touchpoint", "revenue", "weather_conditio
                     "weather_temperature", "market_sentiment", "news_sentiment")
 
 
+def _latest(df: DataFrame, n: int, order_column: str) -> DataFrame:
+    order = order_column if order_column in df.columns else "timestamp"
+    return df.orderBy(F.desc(order), F.desc("interaction_id")).limit(n)
+
+
 def enriched_recent(enriched: DataFrame, n: int = 10,
                     order_column: str = "processed_timestamp") -> DataFrame:
-    """The display columns that exist, for the latest ``n`` enriched rows."""
+    """P11 over stored enriched rows: the display columns that exist, for the latest ``n``."""
     cols = [c for c in ENRICHED_DISPLAY if c in enriched.columns]
-    order = order_column if order_column in enriched.columns else "timestamp"
-    return (enriched.orderBy(F.desc(order), F.desc("interaction_id")).limit(n).select(*cols))
+    return _latest(enriched, n, order_column).select(*cols)
+
+
+def recent_enriched(events: DataFrame, enrich: Callable[[DataFrame], DataFrame], n: int = 10,
+                    order_column: str = "processed_timestamp") -> DataFrame:
+    """P11 from events: the latest ``n`` are taken first (top-k), and only they are enriched.
+    Enrichment neither drops nor repeats an event, so the rows are the same."""
+    out = enrich(written(_latest(events, n, order_column), "latest"))
+    return enriched_recent(out, n, order_column)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import quantiles
 from ..functions.scalars import nan_to_null
+from ..session import written
 
 
 # ------------------------------------------------------------- segments -------
@@ -129,9 +130,14 @@ def top_touchpoint_counts(journeys: DataFrame, column: str,
 
 
 def high_value_journeys(journeys: DataFrame, q: float = config.HIGH_VALUE_QUANTILE,
-                        accuracy: int = quantiles.DEFAULT_ACCURACY) -> DataFrame:
-    """P10: journeys whose revenue exceeds the exact ``q`` quantile of revenue."""
-    cut = quantiles.quantile_scalars(journeys, ["total_revenue"], [q], accuracy)
+                        accuracy: int = quantiles.DEFAULT_ACCURACY,
+                        revenue: DataFrame | None = None) -> DataFrame:
+    """P10: journeys whose revenue exceeds the exact ``q`` quantile of revenue.
+
+    ``revenue`` (one total_revenue per journey) spares computing the journeys for the cut;
+    it is written once, as the exact quantile reads it several times."""
+    source = journeys.select("total_revenue") if revenue is None else written(revenue.select("total_revenue"), "revenue")
+    cut = quantiles.quantile_scalars(source, ["total_revenue"], [q], accuracy)
     tmp = "__high_value_cut"
     return (journeys.withColumn(tmp, cut["total_revenue"]["q0"])
             .where(F.col("total_revenue") > F.col(tmp)).drop(tmp))

@@ -29,9 +29,12 @@ interactions as (
          case when event_id % 5 < 2 then concat('CAMP_', cast(event_id % 50 as varchar)) end campaign_id
   from (select *, cast(json_extract_string(props, '$.k') as int) k from events) e)"""
 
-CUSTOMERS = """
+_CITY = "case n_nationkey " + " ".join(
+    f"when {k} then '{name}'" for k, (name, *_) in enumerate(config.CITY_FACTS)) + " else n_name end"
+
+CUSTOMERS = f"""
 customers as (
-  select c_custkey customer_id, c_name, n_name city, c_mktsegment customer_segment,
+  select c_custkey customer_id, c_name, {_CITY} city, c_mktsegment customer_segment,
          c_acctbal lifetime_value, f.registration_date
   from customer join nation on c_nationkey = n_nationkey
   left join (select o_custkey, cast(min(o_orderdate) as date) registration_date

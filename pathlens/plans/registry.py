@@ -8,6 +8,7 @@ are compared on exact values (H2).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,11 @@ from ..operators import reports
 from ..sources import factors as FA
 from ..sources import fixtures as fx
 from ..streaming import jobs as ST
+from ..session import scratch_path, written
+from ..sources import io
 from . import oracle_sql as O
+from .batch import build_warehouse
+from .snapshot import snapshot
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -81,7 +86,8 @@ def q_time_series(spark, sf):
 
 
 def _segments(spark, sf):
-    return derive.customer_segments(fx.customers(spark, sf), _i(spark, sf), AS_OF, round_to=None)
+    # the reports read no scores: the cut points are pruned, so nothing need run beforehand
+    return derive.customer_segments(fx.customers(spark, sf), _i(spark, sf), AS_OF, round_to=None, checkpoint=False)
 
 
 def _journeys(spark, sf):
@@ -157,7 +163,7 @@ order by customers desc, min(customer_id) limit 3"""))(
 register("high_value_journeys", O.with_base("""
 select * from customer_journeys
 where total_revenue > (select quantile_cont(total_revenue, 0.8) from customer_journeys)"""))(
-    lambda spark, sf: reports.high_value_journeys(_journeys(spark, sf)))
+    lambda spark, sf: reports.high_value_journeys(_journeys(spark, sf), revenue=derive.customer_revenue(_i(spark, sf))))
 
 register("touchpoint_ranking", O.with_base("""
 select touchpoint, total_revenue, conversion_rate from touchpoint_analysis
@@ -232,7 +238,7 @@ register("realtime_interactions", O.with_base("select * from realtime", _RT))(
     lambda spark, sf: _realtime(spark, sf, with_segment=True))
 
 for _suffix, _asof in (("", AS_OF), ("_mid", AS_OF_MID)):
-    _lh = f"\"timestamp\" >= TIMESTAMP '{_asof}' - INTERVAL 1 HOUR"
+    _lh = f"\"timestamp\" >= TIMESTAMP '{_asof}' - INTERVAL 1 HOUR and \"timestamp\" <= TIMESTAMP '{_asof}'"
     register(f"last_hour_summary{_suffix}", O.with_base(f"""
 select count(*) interactions, sum(revenue) total_revenue,
        count(distinct customer_id) unique_customers, avg(revenue) avg_revenue
@@ -251,20 +257,21 @@ from interactions where {_lh} group by 1 order by 1"""))(
 register("recent_minute_trends", O.with_base(f"""
 select date_trunc('minute', "timestamp") as "minute", count(interaction_id) interactions,
        sum(revenue) revenue, count(distinct customer_id) unique_customers
-from interactions where "timestamp" > TIMESTAMP '{AS_OF}' - INTERVAL 60 MINUTE group by 1"""))(
+from interactions where "timestamp" > TIMESTAMP '{AS_OF}' - INTERVAL 60 MINUTE and "timestamp" <= TIMESTAMP '{AS_OF}' group by 1"""))(
     lambda spark, sf: rt.recent_minute_trends(_buffer(spark, sf), AS_OF))
 
 register("recent_touchpoints", O.with_base(f"""
 select touchpoint, count(interaction_id) interactions, sum(revenue) revenue,
        count(distinct customer_id) unique_customers
-from interactions where "timestamp" > TIMESTAMP '{AS_OF}' - INTERVAL 30 MINUTE
+from interactions where "timestamp" > TIMESTAMP '{AS_OF}' - INTERVAL 30 MINUTE and "timestamp" <= TIMESTAMP '{AS_OF}'
 group by touchpoint"""))(lambda spark, sf: rt.recent_touchpoints(_buffer(spark, sf), AS_OF))
 
 register("conversion_window", O.with_base(f"""
 select count(*) interactions,
-       count(case when revenue > 0 then 1 end) * 100.0 / count(*) conversion_rate,
+       count(case when revenue > 0 then 1 end) * 100.0 / nullif(count(*), 0) conversion_rate,
        avg(session_duration_minutes) avg_session_duration
-from interactions where "timestamp" > TIMESTAMP '{AS_OF_MID}' - INTERVAL 5 MINUTE"""))(
+from interactions where "timestamp" > TIMESTAMP '{AS_OF_MID}' - INTERVAL 5 MINUTE
+  and "timestamp" <= TIMESTAMP '{AS_OF_MID}'"""))(
     lambda spark, sf: rt.conversion_window(_buffer(spark, sf), AS_OF_MID))
 
 register("latest_interactions", O.with_base("""
@@ -280,62 +287,54 @@ PIECES_POSITIVE = ("thble", "ering", "oning")
 PIECES_NEGATIVE = ("thing", "attion", "erble")
 
 
-def _cities(spark, sf):
-    return fx.table(spark, sf, "nation").select(F.col("n_name").alias("city"))
-
-
-def _weather(spark, sf):
-    return FA.weather_factors(_i(spark, sf), _cities(spark, sf))
-
-
-def _market(spark, sf):
-    return FA.market_factors(_i(spark, sf))
-
+def _news(spark, sf):
+    return FA.news_readings(fx.articles(spark, sf), PIECES_POSITIVE, PIECES_NEGATIVE)
 
-def _economic(spark, sf):
-    return FA.economic_factors(_i(spark, sf))
 
-
-def _news_all(spark, sf, positive=config.POSITIVE_KEYWORDS, negative=config.NEGATIVE_KEYWORDS):
-    docs = fx.english_documents(spark, sf).withColumn("query", F.lit("all"))
-    return FA.news_sentiment(docs, positive, negative, round_to=2)
+def _tables(spark, sf):
+    """The arguments of ``enrich``, read from the supplied tables."""
+    return {"customers": fx.customers(spark, sf), "weather": fx.weather_readings(spark, sf),
+            "market": fx.market_readings(spark, sf), "news": _news(spark, sf),
+            "economic": fx.economic_readings(spark, sf), "facts": FA.city_facts(spark)}
 
 
 def _enriched(spark, sf):
-    return EN.enrich(_i(spark, sf), customers=fx.customers(spark, sf),
-                     weather=_weather(spark, sf), market=_market(spark, sf),
-                     news=_news_all(spark, sf), economic=_economic(spark, sf),
-                     facts=FA.city_facts(spark))
+    return EN.enrich(_i(spark, sf), **_tables(spark, sf))
 
 
-_H = "hour(factor_time)"
-_D = "dayofmonth(factor_time)"
-_FACTOR_CTES = [f"""
-span as (select date_trunc('hour', min("timestamp")) lo, date_trunc('hour', max("timestamp")) hi
-         from interactions)""", f"""
+_START = f"TIMESTAMP '{fx.FACTOR_START}'"
+_FACTOR_CTES = ["""
 weather as (
-  select city, factor_time, cast(15 + ({_H} * 7) % 16 as double) temperature,
-         cast(40 + ({_H} * 3) % 41 as bigint) humidity,
-         ['Clear', 'Clouds', 'Rain', 'Snow'][{_H} % 4 + 1] weather_condition,
-         lower(['Clear', 'Clouds', 'Rain', 'Snow'][{_H} % 4 + 1]) weather_description,
-         ({_H} % 5) * cast(1.5 as double) wind_speed, cast(1000 + {_H} % 21 as bigint) pressure,
-         cast(10 as double) visibility
-  from (select distinct n_name city from nation) c,
-       (select unnest(generate_series(lo, hi, interval 10 minute)) factor_time from span) g)""", f"""
+  select city, cast(ts as timestamp) factor_time, value temperature, cast(40 + k % 41 as bigint) humidity,
+         ['Clear', 'Clouds', 'Rain', 'Snow'][k % 4 + 1] weather_condition,
+         lower(['Clear', 'Clouds', 'Rain', 'Snow'][k % 4 + 1]) weather_description,
+         (k % 5) * cast(1.5 as double) wind_speed, cast(1000 + k % 21 as bigint) pressure,
+         case when event_id % 7 <> 0 then cast(8 + k % 3 as double) end visibility
+  from (select *, cast(json_extract_string(props, '$.k') as int) k from events where event_type <> 'purchase') e
+  join customers c on e.user_id = c.customer_id)""", f"""
+order_days as (
+  select cast(o_orderdate as date) d, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) cents, count(*) volume
+  from orders group by 1),
+order_steps as (
+  select *, row_number() over (order by d) r, lag(cents) over (order by d) as before from order_days),
 market as (
-  select 'SPY' symbol, factor_time, cast(420 + ({_H} % 7) - 3 as double) price,
-         cast(({_H} % 7) - 3 as double) change,
-         cast(({_H} % 7) - 3 as double) / cast(4.2 as double) change_percent,
-         cast(1000000 + {_H} * 1000 as bigint) volume,
-         case when ({_H} % 7) - 3 > 0 then 'positive' else 'negative' end market_sentiment
-  from (select unnest(generate_series(lo, hi, interval 10 minute)) factor_time from span) g)""", f"""
+  select 'ORDERS' symbol, {_START} + (r - 1) * interval 15 minute factor_time,
+         cents / cast(100 as double) price,
+         coalesce((cents - before) / cast(100 as double), 0.0) change,
+         coalesce((cents - before) * cast(100 as double) / before, 0.0) change_percent, volume,
+         case when coalesce(cents - before, 0) > 0 then 'positive' else 'negative' end market_sentiment
+  from order_steps)""", f"""
+ship_days as (
+  select cast(l_shipdate as date) d, count(*) n, sum(cast(round(l_tax * 100) as bigint)) tax,
+         sum(cast(round(l_discount * 100) as bigint)) discount, sum(cast(l_quantity as bigint)) quantity,
+         count(case when l_returnflag = 'R' then 1 end) returned, count(case when l_linestatus = 'F' then 1 end) finished
+  from lineitem group by 1),
 economic as (
-  select factor_time, cast(2 as double) + ({_D} % 5) * cast(0.5 as double) inflation_rate,
-         cast(3 as double) + ({_D} % 4) * cast(0.25 as double) unemployment_rate,
-         cast(80 + ({_H} * 3) % 41 as double) consumer_confidence,
-         cast(-2 + ({_D} % 7) as double) gdp_growth,
-         ({_H} % 6) * cast(0.5 as double) interest_rate
-  from (select unnest(generate_series(lo, hi, interval 60 minute)) factor_time from span) g)"""]
+  select {_START} + (row_number() over (order by d) - 1) * interval 20 minute factor_time,
+         cast(tax as double) / n inflation_rate, cast(discount as double) / n unemployment_rate,
+         cast(quantity as double) / n consumer_confidence, returned * cast(100 as double) / n gdp_growth,
+         finished * cast(100 as double) / n interest_rate
+  from ship_days)"""]
 
 
 def _kw_sql(text, words):
@@ -356,7 +355,15 @@ def _news_sql(name, query_expr, positive, negative, round_digits=2):
   group by query)"""
 
 
-_NEWS_ALL = _news_sql("news_all", "'all'", config.POSITIVE_KEYWORDS, config.NEGATIVE_KEYWORDS)
+_NEWS_DAYS = f"""
+news_days as (
+  select cast(query as timestamp) + interval 1 day factor_time, round_even(avg(s), 2) sentiment_score,
+         case when avg(s) > 0 then 'positive' when avg(s) < 0 then 'negative' else 'neutral' end sentiment_label,
+         count(*) articles_analyzed
+  from (select cast({_START} + ((doc_id * 2609) % 43200) * interval 1 minute as date) query,
+               cast(sign(({_kw_sql('text', PIECES_POSITIVE)}) - ({_kw_sql('text', PIECES_NEGATIVE)})) as integer) s
+        from documents where lang = 'en') a
+  group by query)"""
 
 _CITY_FACTS = "city_facts as (select * from (values " + ", ".join(
     f"('{c}', {p}, {m})" for c, p, m, _ in config.CITY_FACTS) + ") t(city, population, median_income))"
@@ -380,8 +387,10 @@ enriched as (
       market_sentiment,
     case when e."timestamp" - m.factor_time <= interval {_T} second then m.change_percent end
       market_change_percent,
-    (select sentiment_label from news_all) news_sentiment,
-    (select sentiment_score from news_all) news_sentiment_score,
+    case when e."timestamp" - n.factor_time <= interval {EN.NEWS_TOLERANCE_SECONDS} second then n.sentiment_label end
+      news_sentiment,
+    case when e."timestamp" - n.factor_time <= interval {EN.NEWS_TOLERANCE_SECONDS} second then n.sentiment_score end
+      news_sentiment_score,
     case when e."timestamp" - x.factor_time <= interval 3600 second then x.inflation_rate end
       inflation_rate,
     case when e."timestamp" - x.factor_time <= interval 3600 second then x.consumer_confidence end
@@ -391,14 +400,11 @@ enriched as (
   from ev_city e
   asof left join weather w on e.city = w.city and e."timestamp" >= w.factor_time
   asof left join market m on e."timestamp" >= m.factor_time
+  asof left join news_days n on e."timestamp" >= n.factor_time
   asof left join economic x on e."timestamp" >= x.factor_time
   left join city_facts f on e.city = f.city)"""
 
-_ENRICH_CTES = (*_FACTOR_CTES, _NEWS_ALL, _CITY_FACTS, _EV_CITY, _ENRICHED)
-
-register("weather_factors", O.with_base("select * from weather", *_FACTOR_CTES))(_weather)
-register("market_factors", O.with_base("select * from market", *_FACTOR_CTES))(_market)
-register("economic_factors", O.with_base("select * from economic", *_FACTOR_CTES))(_economic)
+_ENRICH_CTES = (*_FACTOR_CTES, _NEWS_DAYS, _CITY_FACTS, _EV_CITY, _ENRICHED)
 
 register("enrich_weather", O.with_base(f"""
 select e.*,
@@ -411,7 +417,7 @@ select e.*,
 from ev_city e asof left join weather w on e.city = w.city and e."timestamp" >= w.factor_time""",
     *_FACTOR_CTES, _EV_CITY))(
     lambda spark, sf: EN.enrich_weather(EN.with_city(_i(spark, sf), fx.customers(spark, sf)),
-                                        _weather(spark, sf)))
+                                        fx.weather_readings(spark, sf)))
 
 register("enrich_market", O.with_base(f"""
 select e.*,
@@ -420,7 +426,7 @@ select e.*,
   case when e."timestamp" - m.factor_time <= interval {_T} second then m.change_percent end
     market_change_percent
 from interactions e asof left join market m on e."timestamp" >= m.factor_time""", *_FACTOR_CTES))(
-    lambda spark, sf: EN.enrich_market(_i(spark, sf), _market(spark, sf)))
+    lambda spark, sf: EN.enrich_market(_i(spark, sf), fx.market_readings(spark, sf)))
 
 register("enrich_economic", O.with_base("""
 select e.*,
@@ -429,13 +435,16 @@ select e.*,
   case when e."timestamp" - x.factor_time <= interval 3600 second then x.consumer_confidence end
     consumer_confidence
 from interactions e asof left join economic x on e."timestamp" >= x.factor_time""",
-    *_FACTOR_CTES))(lambda spark, sf: EN.enrich_economic(_i(spark, sf), _economic(spark, sf)))
+    *_FACTOR_CTES))(lambda spark, sf: EN.enrich_economic(_i(spark, sf), fx.economic_readings(spark, sf)))
 
-register("enrich_news", O.with_base("""
-select e.*, (select sentiment_label from news_all) news_sentiment,
-       (select sentiment_score from news_all) news_sentiment_score
-from interactions e""", _NEWS_ALL))(
-    lambda spark, sf: EN.enrich_news(_i(spark, sf), _news_all(spark, sf)))
+register("enrich_news", O.with_base(f"""
+select e.*,
+  case when e."timestamp" - n.factor_time <= interval {EN.NEWS_TOLERANCE_SECONDS} second then n.sentiment_label end
+    news_sentiment,
+  case when e."timestamp" - n.factor_time <= interval {EN.NEWS_TOLERANCE_SECONDS} second then n.sentiment_score end
+    news_sentiment_score
+from interactions e asof left join news_days n on e."timestamp" >= n.factor_time""", _NEWS_DAYS))(
+    lambda spark, sf: EN.enrich_news(_i(spark, sf), _news(spark, sf)))
 
 register("enrich_geo", O.with_base(f"""
 select e.*, cast(coalesce(f.population, {config.CITY_DEFAULT[0]}) as bigint) city_population,
@@ -505,16 +514,22 @@ from enriched where weather_condition is not null and weather_temperature is not
 
 register("parse_weather", O.with_base("""
 select city, factor_time, temperature, humidity, weather_condition, weather_description,
-       wind_speed, pressure, visibility * 1000 / 1000 visibility from weather""", *_FACTOR_CTES))(
-    lambda spark, sf: FA.weather_payloads(_weather(spark, sf)).select(
+       wind_speed, pressure, coalesce(visibility, 0.0) visibility from weather""", *_FACTOR_CTES))(
+    lambda spark, sf: FA.weather_payloads(fx.weather_readings(spark, sf)).select(
         "city", "factor_time", TX.parse_weather(F.col("payload")).alias("w")).select(
         "city", "factor_time", "w.*"))
 
+# at one hour of the day the provider answers without a quote
 register("parse_quote", O.with_base("""
-select symbol, factor_time, price, change, change_percent, volume, market_sentiment
+select symbol, factor_time, case when hour(factor_time) = 3 then 0.0 else price end price,
+       case when hour(factor_time) = 3 then 0.0 else change end change,
+       case when hour(factor_time) = 3 then 0.0 else change_percent end change_percent,
+       case when hour(factor_time) = 3 then 0 else volume end volume,
+       case when hour(factor_time) = 3 then 'negative' else market_sentiment end market_sentiment
 from market""", *_FACTOR_CTES))(
-    lambda spark, sf: FA.quote_payloads(_market(spark, sf)).select(
-        "symbol", "factor_time", TX.parse_quote(F.col("payload")).alias("q")).select(
+    lambda spark, sf: FA.quote_payloads(fx.market_readings(spark, sf)).select(
+        "symbol", "factor_time", TX.parse_quote(F.when(F.hour("factor_time") == 3, F.lit("{}"))
+                                                .otherwise(F.col("payload"))).alias("q")).select(
         "symbol", "factor_time", "q.*"))
 
 register("market_advice", O.with_base(f"""
@@ -525,16 +540,26 @@ select symbol, factor_time, change_percent,
             when change_percent < {config.ADVICE_VALUE_BELOW} then '{config.ADVICE_VALUE}' end
          market_advice
 from market""", *_FACTOR_CTES))(
-    lambda spark, sf: _market(spark, sf).select(
+    lambda spark, sf: fx.market_readings(spark, sf).select(
         "symbol", "factor_time", "change_percent",
         X.market_direction("change_percent").alias("market_direction"),
         X.market_advice("change_percent").alias("market_advice")))
 
 
-def _route_sql(col):
+# Word pieces of the test corpus, which hardly has the default keywords.
+CORPUS_TOPICS = (
+    ("touchpoint_performance", ("thing", "erre")),
+    ("customer_segments", ("hahe", "anti")),
+    ("journey_patterns", ("onre", "que")),
+    ("revenue_trends", ("thes", "sch")),
+    ("recommendations", ("that", "was")),
+)
+
+
+def _route_sql(col, topics=config.QUESTION_TOPICS):
     cases = " ".join(
         "when " + " or ".join(f"contains(lower({col}), '{w}')" for w in words) + f" then '{t}'"
-        for t, words in config.QUESTION_TOPICS)
+        for t, words in topics)
     return f"case {cases} else '{config.DEFAULT_TOPIC}' end"
 
 
@@ -545,6 +570,10 @@ register("route_questions", O.with_base(f"""
 select conv_id, turn, question, {_route_sql('question')} topic from questions""", _QUESTIONS))(
     lambda spark, sf: INS.route_questions(fx.user_questions(spark, sf)))
 
+register("route_questions_corpus", O.with_base(f"""
+select conv_id, turn, question, {_route_sql('question', CORPUS_TOPICS)} topic from questions""", _QUESTIONS))(
+    lambda spark, sf: INS.route_questions(fx.user_questions(spark, sf), topics=CORPUS_TOPICS))
+
 _INSIGHT_TP = f"""
 ins_tp as (
   select 'touchpoint_performance' topic, coalesce(max({O.render_sql(
@@ -640,9 +669,10 @@ register("insight_trends", O.with_base("select * from ins_trend", *_INSIGHT_CTES
 register("insights", O.with_base("select * from insights", *_INSIGHT_CTES))(_insights)
 register("answer_questions", O.with_base(f"""
 select q.topic, q.conv_id, q.turn, q.question, i.answer, true success
-from (select conv_id, turn, question, {_route_sql('question')} topic from questions) q
+from (select conv_id, turn, question, {_route_sql('question', CORPUS_TOPICS)} topic from questions) q
 left join insights i on q.topic = i.topic""", _QUESTIONS, *_INSIGHT_CTES))(
-    lambda spark, sf: INS.answer_questions(fx.user_questions(spark, sf), _insights(spark, sf)))
+    lambda spark, sf: INS.answer_questions(fx.user_questions(spark, sf), _insights(spark, sf),
+                                               topics=CORPUS_TOPICS))
 
 
 # ----------------------------------------------------------------- cleaning ---
@@ -653,19 +683,53 @@ def _as_text(df, cols=None):
                        for c in df.columns])
 
 
+def _raw_interactions(spark, sf):
+    """Interactions as raw text with faults by a rule on the id."""
+    n = F.col("interaction_id").cast("long")
+    text = lambda c: F.col(c).cast("string")
+    return _i(spark, sf).withColumns({
+        "session_duration_minutes": F.when(n % 10 == 0, "abc").when(n % 10 == 1, "")
+            .when(n % 10 == 2, F.concat(text("session_duration_minutes"), F.lit(".9"))).otherwise(text("session_duration_minutes")),
+        "pages_viewed": F.when(n % 7 == 0, "n/a").otherwise(text("pages_viewed")),
+        "revenue": F.when(n % 11 == 0, "bad").when(n % 13 == 0, "NaN").otherwise(text("revenue")),
+        "timestamp": F.when(n % 17 == 0, "not a time").otherwise(text("timestamp")),
+        "device_type": F.when(n % 3 != 0, "mobile"), "referrer_source": F.when(n % 5 == 0, "search")})
+
+
 register("clean_interactions", O.with_base("""
-select interaction_id, customer_id, touchpoint, "timestamp", session_duration_minutes,
-       coalesce(pages_viewed, 0) pages_viewed, action_taken, revenue,
-       coalesce(campaign_id, '') campaign_id
-from interactions"""))(
-    lambda spark, sf: CL.clean_interactions(_as_text(
-        _i(spark, sf), {"session_duration_minutes", "pages_viewed", "revenue", "timestamp"})))
+select interaction_id, customer_id, touchpoint,
+       case when n % 17 <> 0 then "timestamp" end "timestamp",
+       case when n % 10 < 2 then 0 else session_duration_minutes end session_duration_minutes,
+       case when n % 7 = 0 then 0 else coalesce(pages_viewed, 0) end pages_viewed, action_taken,
+       case when n % 11 = 0 or n % 13 = 0 then 0.0 else revenue end revenue,
+       coalesce(campaign_id, '') campaign_id,
+       case when n % 3 <> 0 then 'mobile' else '' end device_type,
+       case when n % 5 = 0 then 'search' else '' end referrer_source
+from (select *, cast(interaction_id as bigint) n from interactions) i"""))(
+    lambda spark, sf: CL.clean_interactions(_raw_interactions(spark, sf)))
+
+
+def _raw_customers(spark, sf):
+    n = F.col("customer_id")
+    return fx.customers(spark, sf).withColumns({
+        "age": F.when(n % 5 == 0, "x").when(n % 5 == 1, "41.7").otherwise((F.lit(20) + n % 60).cast("string")),
+        "phone": F.when(n % 4 != 0, F.concat(F.lit("555-"), n.cast("string"))),
+        "state": F.when(n % 3 == 0, "NY"), "country": F.when(n % 2 == 0, "US"),
+        "city": F.when(n % 6 != 0, F.col("city")),
+        "lifetime_value": F.when(n % 9 == 0, "bad").otherwise(F.col("lifetime_value").cast("string")),
+        "registration_date": F.when(n % 8 == 0, "never").otherwise(F.col("registration_date").cast("string"))})
+
 
 register("clean_customers", O.with_base("""
-select customer_id, c_name, coalesce(city, '') city, customer_segment, lifetime_value,
-       registration_date from customers"""))(
-    lambda spark, sf: CL.clean_customers(_as_text(
-        fx.customers(spark, sf), {"lifetime_value", "registration_date"})))
+select customer_id, c_name, case when customer_id % 6 <> 0 then city else '' end city, customer_segment,
+       case when customer_id % 9 = 0 then 0.0 else lifetime_value end lifetime_value,
+       case when customer_id % 8 <> 0 then registration_date end registration_date,
+       cast(case customer_id % 5 when 0 then 0 when 1 then 41 else 20 + customer_id % 60 end as bigint) age,
+       case when customer_id % 4 <> 0 then '555-' || customer_id else '' end phone,
+       case when customer_id % 3 = 0 then 'NY' else '' end state,
+       case when customer_id % 2 = 0 then 'US' else '' end country
+from customers"""))(
+    lambda spark, sf: CL.clean_customers(_raw_customers(spark, sf)))
 
 register("coerce_touchpoint_analysis", O.with_base("select * from touchpoint_analysis"))(
     lambda spark, sf: coerce_numeric(_as_text(_analysis(spark, sf))))
@@ -686,10 +750,8 @@ def _stream(spark, sf):
     return ST.read_interactions_stream(spark, sf, file_glob="events.parquet")
 
 
-def _windowed(df):
-    return df.select(F.col("window.start").alias("window_start"),
-                     F.col("window.end").alias("window_end"),
-                     *[c for c in df.columns if c != "window"])
+def _minutes(spark, sf):
+    return ST.run_minutes(_stream(spark, sf))
 
 
 _TP_STREAM = ", ".join(f"count(case when touchpoint = '{tp}' then 1 end) {tp}_interactions"
@@ -698,11 +760,8 @@ _TP_STREAM = ", ".join(f"count(case when touchpoint = '{tp}' then 1 end) {tp}_in
 register("stream_daily_totals", O.with_base(f"""
 select date_trunc('day', "timestamp") window_start,
        date_trunc('day', "timestamp") + interval 1 day window_end,
-       count(*) interactions, sum(revenue) revenue, {_TP_STREAM}
-from interactions group by 1, 2"""))(
-    lambda spark, sf: _windowed(ST.run_available(ST.stream_daily_totals(_stream(spark, sf)),
-                                                 ["window"], name="daily"))
-    .drop("active_customers_approx"))
+       count(*) interactions, sum(revenue) revenue, count(distinct customer_id) active_customers, {_TP_STREAM}
+from interactions group by 1, 2"""))(lambda spark, sf: ST.daily_totals(_minutes(spark, sf)))
 
 _SLIDE = """
 slid as (
@@ -713,66 +772,51 @@ register("stream_conversion_window", O.with_base("""
 select window_start, window_start + interval 5 minute window_end, count(*) interactions,
        count(case when revenue > 0 then 1 end) * 100.0 / count(*) conversion_rate,
        avg(session_duration_minutes) avg_session_duration
-from slid group by 1, 2""", _SLIDE.format(last=4)))(
-    lambda spark, sf: _windowed(ST.run_available(ST.stream_conversion_window(_stream(spark, sf)),
-                                                 ["window"], name="conversion")))
+from slid group by 1, 2""", _SLIDE.format(last=4)))(lambda spark, sf: ST.conversion_windows(_minutes(spark, sf)))
 
 register("stream_minute_trends", O.with_base("""
 select date_trunc('minute', "timestamp") window_start,
        date_trunc('minute', "timestamp") + interval 1 minute window_end,
-       count(*) interactions, sum(revenue) revenue
-from interactions group by 1, 2"""))(
-    lambda spark, sf: _windowed(ST.run_available(ST.stream_minute_trends(_stream(spark, sf)),
-                                                 ["window"], name="minutes"))
-    .drop("unique_customers_approx"))
+       count(*) interactions, sum(revenue) revenue, count(distinct customer_id) unique_customers
+from interactions group by 1, 2"""))(lambda spark, sf: ST.minute_totals(_minutes(spark, sf)))
 
 register("stream_touchpoints", O.with_base("""
 select window_start, window_start + interval 30 minute window_end, touchpoint,
-       count(*) interactions, sum(revenue) revenue
-from slid group by 1, 2, 3""", _SLIDE.format(last=29)))(
-    lambda spark, sf: _windowed(ST.run_available(ST.stream_touchpoints(_stream(spark, sf)),
-                                                 ["window", "touchpoint"], name="touchpoints"))
-    .drop("unique_customers_approx"))
+       count(*) interactions, sum(revenue) revenue, count(distinct customer_id) unique_customers
+from slid group by 1, 2, 3""", _SLIDE.format(last=29)))(lambda spark, sf: ST.touchpoint_windows(_minutes(spark, sf)))
 
 register("stream_active_customers", O.with_base("""
 select date_trunc('day', "timestamp") window_start,
        date_trunc('day', "timestamp") + interval 1 day window_end,
        count(distinct customer_id) active_customers, count(*) interactions
-from interactions group by 1, 2
-having date_trunc('day', "timestamp") + interval 1 day
-       <= (select max("timestamp") - interval 1 hour from interactions)"""))(
-    lambda spark, sf: _windowed(ST.run_available(ST.stream_active_customers(_stream(spark, sf)),
-                                                 ["window"], output_mode="append",
-                                                 name="active")))
+from interactions group by 1, 2"""))(lambda spark, sf: ST.active_customers(_minutes(spark, sf)))
+
+
+def _run_enriched(spark, sf):
+    return ST.run_enriched(_stream(spark, sf), lambda: _tables(spark, sf))
+
 
 register("stream_enrich", O.with_base("select * from enriched", *_ENRICH_CTES))(
-    lambda spark, sf: ST.run_available(
-        ST.stream_enrich(_stream(spark, sf), customers=fx.customers(spark, sf),
-                         weather=_weather(spark, sf), market=_market(spark, sf),
-                         news=_news_all(spark, sf), economic=_economic(spark, sf),
-                         facts=FA.city_facts(spark)),
-        ["interaction_id"], output_mode="append", name="enrich"))
+    lambda spark, sf: ST.enriched_table(spark, _run_enriched(spark, sf)[0]))
 
 
 # ----------------------------------------------------------------- H5 ---------
 
 def _running_sql(source, label_expr):
+    """The rule itself, row by row: at the k-th row the rate becomes ((k-1) r + 1) / k if it converts."""
     return f"""
 rr as (
-  select {label_expr} label, "timestamp", interaction_id, coalesce(revenue > 0, false) conv,
-         row_number() over (partition by {label_expr} order by "timestamp", interaction_id) k
-  from {source}),
-rr2 as (select *, case when conv and k > 1 then ln((k - 1) / k) else 0 end la from rr),
-rr3 as (
-  select *, coalesce(sum(la) over (partition by label order by "timestamp", interaction_id
-                                   rows between 1 following and unbounded following), 0) after
-  from rr2)"""
+  select {label_expr} label, count(*) n, count(case when revenue > 0 then 1 end) conversions,
+         list(case when coalesce(revenue > 0, false) then cast(1 as double) else cast(0 as double) end
+              order by "timestamp", interaction_id) flags
+  from {source} group by 1)"""
 
 
 _RR_SELECT = """
-select label sentiment, count(*) "count", count(case when conv then 1 end) conversions,
-       sum(case when conv then exp(after) / k else 0 end) running_rate
-from rr3 group by 1"""
+select label sentiment, n "count", conversions,
+       list_reduce(list_concat([cast(0 as double)], flags),
+                   lambda r, x, i: case when x = 1 then (r * (i - 2) + 1) / (i - 1) else r end) running_rate
+from rr"""
 
 register("sentiment_running_rate", O.with_base(
     _RR_SELECT, *_ENRICH_CTES, _running_sql("enriched", "coalesce(news_sentiment, 'neutral')")))(
@@ -786,33 +830,17 @@ register("enriched_recent", O.with_base("""
 select interaction_id, touchpoint, revenue, weather_condition, weather_temperature,
        market_sentiment, news_sentiment
 from enriched order by "timestamp" desc, interaction_id desc limit 10""", *_ENRICH_CTES))(
-    lambda spark, sf: rt.enriched_recent(_enriched(spark, sf)))
+    lambda spark, sf: rt.recent_enriched(_i(spark, sf), lambda e: EN.enrich(e, **_tables(spark, sf))))
 
 
 # ----------------------------------------------------------------- T6 ---------
 
-def _enriched_stream(spark, sf):
-    return ST.stream_enrich(_stream(spark, sf), customers=fx.customers(spark, sf),
-                            weather=_weather(spark, sf), market=_market(spark, sf),
-                            news=_news_all(spark, sf), economic=_economic(spark, sf),
-                            facts=FA.city_facts(spark))
+def _stream_impact(metric):
+    return lambda spark, sf: ST.factor_impact(spark, _run_enriched(spark, sf)[1])[metric]
 
 
-register("stream_weather_impact", O.with_base("""
-select coalesce(weather_condition, 'Unknown') weather_condition, sum(revenue) total_revenue,
-       count(*) interaction_count, sum(revenue) / count(*) avg_revenue
-from enriched group by 1""", *_ENRICH_CTES))(
-    lambda spark, sf: ST.run_available(
-        ST.stream_factor_impact(_enriched_stream(spark, sf))["weather_impact"],
-        ["weather_condition"], name="weather_impact"))
-
-register("stream_sentiment_impact", O.with_base("""
-select coalesce(news_sentiment, 'neutral') sentiment, count(*) "count", avg(revenue) avg_revenue,
-       count(case when revenue > 0 then 1 end) * cast(100 as double) / count(*) conversion_rate
-from enriched group by 1""", *_ENRICH_CTES))(
-    lambda spark, sf: ST.run_available(
-        ST.stream_factor_impact(_enriched_stream(spark, sf))["sentiment_impact"],
-        ["sentiment"], name="sentiment_impact"))
+for _metric in ("weather_impact", "sentiment_impact", "market_score"):
+    register(f"stream_{_metric}", ORACLES[_metric])(_stream_impact(_metric))
 
 _SUMMARY_PARTS = " || ".join(
     f"(select answer from insights where topic = '{t}') || '\n\n'" for t in config.SUMMARY_TOPICS)
@@ -829,3 +857,102 @@ select customer_id, make_timestamp(cast(floor(epoch_us("timestamp") / 3600000000
        first(touchpoint order by "timestamp" desc, interaction_id desc) last_touchpoint
 from interactions where customer_id is not null group by 1, 2"""))(
     lambda spark, sf: derive.journey_segments(_i(spark, sf)))
+
+
+# ----------------------------------------------------------------- warehouse --
+# The supplied tables go out as raw CSV files and come back through the batch job.
+
+def _folder(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def _raw_csv(spark, sf):
+    raw = _folder(spark, "raw")
+    for name, df in (("customers", fx.customers(spark, sf)), ("interactions", _i(spark, sf))):
+        _as_text(df).write.option("header", True).csv(f"{raw}/{name}.csv")
+    return raw
+
+
+def _loaded(name):
+    def run(spark, sf):
+        target = _folder(spark, "loaded")
+        io.load_all(spark, _raw_csv(spark, sf), f"{target}/none", target=target)
+        return io.read_derived(spark, target, name)
+    return run
+
+
+_LOADED_CUSTOMERS = """
+select cast(customer_id as varchar) customer_id, city, registration_date, customer_segment, lifetime_value"""
+register("load_all_customers", O.with_base(_LOADED_CUSTOMERS + " from customers"))(_loaded("customers"))
+_LOADED_INTERACTIONS = """
+select interaction_id, cast(customer_id as varchar) customer_id, touchpoint, "timestamp", session_duration_minutes,
+       pages_viewed, action_taken, revenue, campaign_id"""
+register("load_all_interactions", O.with_base(_LOADED_INTERACTIONS + " from interactions"))(_loaded("interactions"))
+register("read_raw_interactions", O.with_base(_LOADED_INTERACTIONS + " from interactions"))(
+    lambda spark, sf: io.read_raw(spark, _raw_csv(spark, sf))[1])
+
+
+def _warehouse(name):
+    def run(spark, sf):
+        out = _folder(spark, "warehouse")
+        build_warehouse(spark, _raw_csv(spark, sf), out, AS_OF, round_to=None, only=[name])
+        return io.read_derived(spark, out, name)
+    return run
+
+
+register("warehouse_customer_journeys", O.with_base(
+    "select * replace (cast(customer_id as varchar) as customer_id) from customer_journeys"))(_warehouse("customer_journeys"))
+register("warehouse_touchpoint_analysis", O.with_base("select * from touchpoint_analysis"))(_warehouse("touchpoint_analysis"))
+register("warehouse_time_series", O.with_base("select * from time_series_data"))(_warehouse("time_series_data"))
+register("warehouse_customer_segments", O.with_base(
+    _LOADED_CUSTOMERS + """, total_interactions, total_revenue, unique_touchpoints_used, avg_session_duration,
+       first_interaction, last_interaction, recency_days, frequency_score, monetary_score, recency_score
+from customer_segments"""))(_warehouse("customer_segments"))
+
+
+def _warehouse_sql(spark, sf):
+    """SQL over the tables that the batch job registered in a catalog database."""
+    database = f"pathlens_{uuid.uuid4().hex[:8]}"
+    build_warehouse(spark, _raw_csv(spark, sf), _folder(spark, "warehouse"), AS_OF, None, database, only=["touchpoint_analysis"])
+    return io.run_sql(spark, f"""
+        select i.touchpoint, count(*) interactions, count(distinct i.date) n_days, max(t.total_revenue) total_revenue
+        from {database}.interactions i join {database}.touchpoint_analysis t on i.touchpoint = t.touchpoint
+        group by i.touchpoint""")
+
+
+register("warehouse_sql", O.with_base("""
+select i.touchpoint, count(*) interactions, count(distinct cast(i."timestamp" as date)) n_days, max(t.total_revenue) total_revenue
+from interactions i join touchpoint_analysis t on i.touchpoint = t.touchpoint group by i.touchpoint"""))(_warehouse_sql)
+
+
+def _sink(spark, sf):
+    """The real-time sink over everything available, read back."""
+    out = _folder(spark, "realtime")
+    ST.write_realtime(_stream(spark, sf), out, _folder(spark, "realtime-ckpt"), customers=fx.customers(spark, sf),
+                      available_now=True).awaitTermination()
+    return spark.read.parquet(out).withColumn("processed_timestamp", F.col("processed_timestamp").isNotNull()) \
+        .withColumnRenamed("processed_timestamp", "processed")
+
+
+register("sink_realtime", O.with_base("""
+select interaction_id, customer_id, touchpoint, "timestamp", revenue, action_taken, customer_segment, true processed,
+       cast("timestamp" as date) date from realtime""", _RT))(_sink)
+
+
+# ----------------------------------------------------------------- snapshot ---
+
+def _snapshot(part):
+    return lambda spark, sf: snapshot(_buffer(spark, sf), None, AS_OF_MID)[part]
+
+
+_MID = f"\"timestamp\" <= TIMESTAMP '{AS_OF_MID}' and \"timestamp\" > TIMESTAMP '{AS_OF_MID}' - INTERVAL"
+register("snapshot_minute_trends", O.with_base(f"""
+select date_trunc('minute', "timestamp") as "minute", count(interaction_id) interactions, sum(revenue) revenue,
+       count(distinct customer_id) unique_customers from interactions where {_MID} 60 MINUTE group by 1"""))(
+    _snapshot("minute_trends"))
+register("snapshot_touchpoints", O.with_base(f"""
+select touchpoint, count(interaction_id) interactions, sum(revenue) revenue, count(distinct customer_id) unique_customers
+from interactions where {_MID} 30 MINUTE group by touchpoint"""))(_snapshot("touchpoint_performance"))
+register("snapshot_latest", O.with_base(f"""
+select *, "timestamp" processed_timestamp from interactions where {_MID} 60 MINUTE
+order by "timestamp" desc, interaction_id desc limit 20"""))(_snapshot("recent_interactions"))

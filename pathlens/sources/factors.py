@@ -1,86 +1,17 @@
-"""External-factor tables (weather, market, economic, city facts, news).
+"""External-factor tables (weather, market, economic, news, city facts).
 
 The original fetched "current" readings over HTTP. Here each factor is a table of
-timestamped readings that the enrichment joins as-of. The reading grids below are
-derived from the interactions themselves (their time span), so their size grows
-with the covered time range (span / step x keys), never with the event volume.
-Values follow simple deterministic rules of the hour (the test fixtures' rules).
+timestamped readings that the enrichment joins as-of; ``sources.fixtures`` takes such
+readings from the supplied tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.scalars import article_score, market_label, sentiment_label
-
-WEATHER_CONDITIONS = ("Clear", "Clouds", "Rain", "Snow")
-
-
-def time_span(interactions: DataFrame, column: str = "timestamp") -> Column:
-    """Scalar-subquery struct ``(lo, hi)``: first and last whole hour with activity."""
-    return interactions.agg(F.struct(
-        F.date_trunc("hour", F.min(column)).alias("lo"),
-        F.date_trunc("hour", F.max(column)).alias("hi"))).scalar()
-
-
-def _grid(base: DataFrame, span: Column, step_minutes: int) -> DataFrame:
-    return (base.withColumn("__span", span)
-            .withColumn("factor_time", F.explode(F.sequence(
-                F.col("__span.lo"), F.col("__span.hi"),
-                F.make_dt_interval(mins=F.lit(step_minutes)))))
-            .drop("__span"))
-
-
-def weather_factors(interactions: DataFrame, cities: DataFrame, step_minutes: int = 10) -> DataFrame:
-    """Readings per city every ``step_minutes`` over the interactions' span.
-
-    condition by hour % 4 (Clear, Clouds, Rain, Snow); temperature 15 + (7 h) % 16.
-    """
-    g = _grid(cities.select("city").distinct(), time_span(interactions), step_minutes)
-    h = F.hour("factor_time")
-    cond = F.element_at(F.array(*[F.lit(c) for c in WEATHER_CONDITIONS]), (h % 4 + 1).cast("int"))
-    return g.select(
-        "city", "factor_time",
-        (F.lit(15.0) + (h * 7) % 16).alias("temperature"),
-        (F.lit(40) + (h * 3) % 41).cast("long").alias("humidity"),
-        cond.alias("weather_condition"),
-        F.lower(cond).alias("weather_description"),
-        ((h % 5) * F.lit(1.5)).alias("wind_speed"),
-        (F.lit(1000) + h % 21).cast("long").alias("pressure"),
-        F.lit(10.0).alias("visibility"))
-
-
-def market_factors(interactions: DataFrame, step_minutes: int = 10, symbol: str = "SPY") -> DataFrame:
-    """Index quotes every ``step_minutes``: change = (hour % 7) - 3, label by sign."""
-    spark = interactions.sparkSession
-    g = _grid(spark.range(1).select(F.lit(symbol).alias("symbol")), time_span(interactions),
-              step_minutes)
-    change = ((F.hour("factor_time") % 7) - 3).cast("double")
-    return g.select(
-        "symbol", "factor_time",
-        (F.lit(420.0) + change).alias("price"),
-        change.alias("change"),
-        (change / F.lit(4.2)).alias("change_percent"),
-        (F.lit(1_000_000) + F.hour("factor_time") * 1000).cast("long").alias("volume"),
-        market_label(change).alias("market_sentiment"))
-
-
-def economic_factors(interactions: DataFrame, step_minutes: int = 60) -> DataFrame:
-    """Economic indicators every ``step_minutes``."""
-    spark = interactions.sparkSession
-    g = _grid(spark.range(1).select(F.lit(1).alias("__one")), time_span(interactions),
-              step_minutes).drop("__one")
-    h = F.hour("factor_time")
-    d = F.dayofmonth("factor_time")
-    return g.select(
-        "factor_time",
-        (F.lit(2.0) + (d % 5) * F.lit(0.5)).alias("inflation_rate"),
-        (F.lit(3.0) + (d % 4) * F.lit(0.25)).alias("unemployment_rate"),
-        (F.lit(80.0) + (h * 3) % 41).alias("consumer_confidence"),
-        (F.lit(-2.0) + (d % 7)).cast("double").alias("gdp_growth"),
-        ((h % 6) * F.lit(0.5)).alias("interest_rate"))
+from ..functions.scalars import article_score, sentiment_label
 
 
 def city_facts(spark: SparkSession) -> DataFrame:
@@ -106,6 +37,19 @@ def news_sentiment(articles: DataFrame,
                       F.col("n").alias("articles_analyzed"))
 
 
+def news_readings(articles: DataFrame, positive=config.POSITIVE_KEYWORDS,
+                  negative=config.NEGATIVE_KEYWORDS, round_to: int | None = 2) -> DataFrame:
+    """News sentiment as timestamped readings, one per day with articles.
+
+    ``articles``: (published, text). The reading of a day covers that day's articles and is
+    known, and so holds, from the next midnight (for a day at most, see ``enrich_news``).
+    """
+    daily = news_sentiment(articles.where(F.col("published").isNotNull())
+                           .select(F.to_date("published").alias("query"), "text"), positive, negative, round_to)
+    return daily.select(F.date_add("query", 1).cast("timestamp").alias("factor_time"),
+                        "sentiment_score", "sentiment_label", "articles_analyzed")
+
+
 def weather_payloads(weather: DataFrame) -> DataFrame:
     """Weather readings as provider-style JSON documents (city, factor_time, payload)."""
     doc = F.struct(

@@ -9,9 +9,11 @@ write. Large tables can be partitioned by date for pruning.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import conform
 from ..operators import clean, derive
@@ -39,9 +41,9 @@ def read_raw(spark: SparkSession, raw_path: str) -> tuple[DataFrame, DataFrame]:
         if not path_exists(spark, p):
             raise FileNotFoundError(f"{name} data not found at {p}")
         text = read_csv_text(spark, p)
-        typed = conform(text, SCHEMAS[name])
-        extra = [c for c in text.columns if c not in typed.columns]
-        out.append(typed.select("*", *[F.col(f"`{c}`") for c in extra]))
+        known = {f.name for f in SCHEMAS[name].fields}
+        extra = [T.StructField(c, T.StringType()) for c in text.columns if c not in known]
+        out.append(conform(text, T.StructType([*SCHEMAS[name].fields, *extra])))
     return out[0], out[1]
 
 
@@ -76,6 +78,8 @@ def write_table(df: DataFrame, name: str, write_disposition: str = "WRITE_TRUNCA
     spark = df.sparkSession
     schema = get_table_schema(name)
     out = conform(df, schema) if schema.fields else df
+    if "date" in (partition_by or []) and "date" not in out.columns:
+        out = out.withColumn("date", F.to_date("timestamp"))
     if mode == "empty":
         if _has_rows(spark, name, path):
             raise ValueError(f"table {name} is not empty")
@@ -133,29 +137,45 @@ def load_all(spark: SparkSession, raw_path: str, processed_path: str,
     return loaded
 
 
+def derived_tables(customers: DataFrame, interactions: DataFrame, as_of, round_to: int | None = 2,
+                   only: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The four derived tables of cleaned base tables, or those named in ``only``."""
+    makers = {
+        "customer_journeys": lambda: derive.customer_journeys(interactions),
+        "touchpoint_analysis": lambda: derive.touchpoint_analysis(interactions, round_to),
+        "customer_segments": lambda: derive.customer_segments(customers, interactions, as_of, round_to),
+        "time_series_data": lambda: derive.time_series(interactions, round_to=round_to),
+    }
+    return {name: make() for name, make in makers.items() if only is None or name in only}
+
+
 def build_all(spark: SparkSession, customers: DataFrame, interactions: DataFrame, as_of,
               out_path: str, round_to: int | None = 2) -> dict[str, DataFrame]:
     """Clean, derive the four tables and write each as Parquet; returns them re-read.
 
-    The written tables are the materialisation points: later reports read them
-    instead of recomputing the lineage.
+    The cleaned base tables are written first, the interactions by date, so the input is
+    parsed once and every derivation prunes columns and dates; the written tables are the
+    materialisation points for later reports.
     """
-    c = clean.clean_customers(customers)
-    i = clean.clean_interactions(interactions)
-    tables = {
-        "customer_journeys": derive.customer_journeys(i),
-        "touchpoint_analysis": derive.touchpoint_analysis(i, round_to),
-        "customer_segments": derive.customer_segments(c, i, as_of, round_to),
-        "time_series_data": derive.time_series(i, round_to=round_to),
-    }
-    out = {}
-    for name, df in tables.items():
-        p = os.path.join(out_path, name)
-        df.write.mode("overwrite").parquet(p)
-        out[name] = spark.read.parquet(p)
+    write_table(clean.clean_customers(customers), "", path=f"{out_path}/customers")
+    write_table(clean.clean_interactions(interactions), "", path=f"{out_path}/interactions", partition_by=["date"])
+    c, i = (spark.read.parquet(f"{out_path}/{name}") for name in ("customers", "interactions"))
+    out = {"customers": c, "interactions": i}
+    for name, df in derived_tables(c, i.drop("date"), as_of, round_to).items():
+        df.write.mode("overwrite").parquet(f"{out_path}/{name}")
+        out[name] = spark.read.parquet(f"{out_path}/{name}")
     return out
 
 
+def register_external(spark: SparkSession, database: str, name: str, path: str, partitioned: bool = False) -> None:
+    """A catalog table over files that are written already: nothing is stored twice."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{name}`")
+    spark.catalog.createTable(f"{database}.{name}", path=path, source="parquet")
+    if partitioned:
+        spark.catalog.recoverPartitions(f"{database}.{name}")
+
+
 def create_tables(spark: SparkSession, database: str | None = None,
                   names: list[str] | None = None) -> list[str]:
     """Create the database and the fixed-schema tables when absent."""

@@ -5,19 +5,23 @@ buffer; a watermark is the time bound here). Replayed rows are dropped by id
 within the watermark. Aggregations are incremental in the state store; windows
 leave state once the watermark passes them.
 
-Exact distinct counts are not allowed in streaming aggregates (H6): the live
-jobs report ``approx_count_distinct`` (HyperLogLog, bounded state), and
-``stream_active_customers`` gives the exact count with two chained aggregations
-(append mode: a window is emitted once the watermark closes it).
+Exact distinct counts are not allowed in streaming aggregates (H6). The live views
+therefore share one streaming aggregate, ``stream_minutes``: a row per minute, touchpoint
+and customer, maintained in state. The views over it (days, minutes, sliding windows) are
+batch reductions of these rows, with exact distinct customers and no raw row copied per
+window.
+
+Factor tables are read per micro-batch (``start_enriched``), so readings and customers
+that arrive while a stream runs take effect in the next batch.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -59,34 +63,69 @@ def read_interactions_stream(spark: SparkSession, folder: str, file_glob: str =
     return _stamp(s, stamp_processing_time)
 
 
-def read_live_events_stream(spark: SparkSession, folder: str, fmt: str = "json",
-                            watermark: str = DEFAULT_WATERMARK,
-                            max_files_per_trigger: int | None = None,
-                            stamp_processing_time: bool = False) -> DataFrame:
-    """S10 for upstream live events (JSON lines or header CSV with the live-event schema).
+def read_live_records(spark: SparkSession, folder: str, fmt: str = "json",
+                      max_files_per_trigger: int | None = None) -> DataFrame:
+    """Live-event records as they arrive: ``record`` (the text) and the parsed columns.
 
-    The schema is declared, so the stream can start on an empty folder; the ISO
-    text timestamp becomes a timestamp; replays are dropped by id within the
-    watermark.
+    JSON lines or header CSV with the live-event schema. The schema is declared, so the
+    stream can start on an empty folder. Nothing raises here: a value that does not parse
+    is null, and ``accepted`` / ``rejected`` tell the records apart.
     """
     from ..schemas import LIVE_EVENT
-    r = spark.readStream.schema(LIVE_EVENT)
-    if fmt == "csv":
-        r = r.option("header", True)
+    r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    s = r.format(fmt).load(folder).withColumn("timestamp", F.to_timestamp("timestamp"))
-    s = (s.withWatermark("timestamp", watermark)
-         .dropDuplicatesWithinWatermark(["interaction_id"]))
-    return _stamp(s, stamp_processing_time)
+    if fmt == "json":
+        return parse_live_events(r.text(folder))
+    events = r.schema(LIVE_EVENT).option("header", True).format(fmt).load(folder)
+    text = F.to_json(F.struct(*[F.col(c) for c in events.columns]))
+    return events.select(text.alias("record"), *events.columns).withColumn(
+        "timestamp", F.try_to_timestamp("timestamp"))
 
 
 def parse_live_events(records: DataFrame, column: str = "value") -> DataFrame:
-    """Live-event JSON text (e.g. a Kafka record value) -> typed live-event columns."""
+    """Live-event JSON text (e.g. a Kafka record value) -> record and typed columns."""
     from ..schemas import LIVE_EVENT
-    e = F.from_json(F.col(column).cast("string"), LIVE_EVENT)
-    return (records.select(e.alias("e")).select("e.*")
-            .withColumn("timestamp", F.to_timestamp("timestamp")))
+    text = F.col(column).cast("string")
+    e = F.from_json(text, LIVE_EVENT)
+    return (records.select(text.alias("record"), e.alias("e")).select("record", "e.*")
+            .withColumn("timestamp", F.try_to_timestamp("timestamp")))
+
+
+def _valid():
+    return F.col("interaction_id").isNotNull() & (F.col("interaction_id") != "") & F.col("timestamp").isNotNull()
+
+
+def accepted(records: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+    """The events with id and time, replays dropped by id within the watermark."""
+    return (records.where(_valid()).drop("record").withWatermark("timestamp", watermark)
+            .dropDuplicatesWithinWatermark(["interaction_id"]))
+
+
+def rejected(records: DataFrame) -> DataFrame:
+    """The records without id or time: (record, reason, rejected_at)."""
+    reason = (F.when(F.col("interaction_id").isNull() & F.col("timestamp").isNull(), F.lit("not a live event"))
+              .when(F.col("timestamp").isNull(), F.lit("no valid timestamp")).otherwise(F.lit("no interaction_id")))
+    return records.where(~_valid()).select("record", reason.alias("reason"),
+                                           F.current_timestamp().alias("rejected_at"))
+
+
+def write_rejected(records: DataFrame, path: str, checkpoint: str,
+                   available_now: bool = False) -> StreamingQuery:
+    """Rejected records to their own Parquet table, so that none is lost silently."""
+    w = (rejected(records).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", checkpoint))
+    return (w.trigger(availableNow=True) if available_now else w).start(path)
+
+
+def read_live_events_stream(spark: SparkSession, folder: str, fmt: str = "json",
+                            watermark: str = DEFAULT_WATERMARK,
+                            max_files_per_trigger: int | None = None,
+                            stamp_processing_time: bool = False) -> DataFrame:
+    """S10 for upstream live events: the accepted ones. Run ``write_rejected`` over
+    ``read_live_records`` beside it to keep the others."""
+    records = read_live_records(spark, folder, fmt, max_files_per_trigger)
+    return _stamp(accepted(records, watermark), stamp_processing_time)
 
 
 def read_live_events_kafka(spark: SparkSession, servers: str, topic: str,
@@ -100,101 +139,163 @@ def read_live_events_kafka(spark: SparkSession, servers: str, topic: str,
     raw = (spark.readStream.format("kafka")
            .option("kafka.bootstrap.servers", servers).option("subscribe", topic)
            .option("startingOffsets", starting_offsets).load())
-    return (parse_live_events(raw).withWatermark("timestamp", watermark)
-            .dropDuplicatesWithinWatermark(["interaction_id"]))
+    return accepted(parse_live_events(raw), watermark)
 
 
-def stream_daily_totals(stream: DataFrame,
-                        touchpoints: Sequence[str] = config.TOUCHPOINTS) -> DataFrame:
-    """Per day: interactions, revenue, active customers (approx), per-touchpoint counts."""
-    return (stream.groupBy(F.window("timestamp", "1 day").alias("window"))
-            .agg(F.count("*").alias("interactions"),
-                 F.sum("revenue").alias("revenue"),
-                 F.approx_count_distinct("customer_id").alias("active_customers_approx"),
-                 *[F.count(F.when(F.col("touchpoint") == tp, 1)).alias(f"{tp}_interactions")
-                   for tp in touchpoints]))
-
-
-def stream_conversion_window(stream: DataFrame,
-                             minutes: int = config.CONVERSION_WINDOW_MINUTES,
-                             slide_minutes: int = 1) -> DataFrame:
-    """Sliding window: conversion % and mean session duration."""
-    return (stream.groupBy(F.window("timestamp", f"{minutes} minutes",
-                                    f"{slide_minutes} minute").alias("window"))
-            .agg(F.count("*").alias("interactions"),
-                 (F.count(F.when(is_conversion("revenue"), 1)) * F.lit(100.0) / F.count("*"))
-                 .alias("conversion_rate"),
-                 F.avg("session_duration_minutes").alias("avg_session_duration")))
-
-
-def stream_minute_trends(stream: DataFrame) -> DataFrame:
-    """Per-minute tumbling counts and revenue (customers approx)."""
-    return (stream.groupBy(F.window("timestamp", "1 minute").alias("window"))
-            .agg(F.count("*").alias("interactions"), F.sum("revenue").alias("revenue"),
-                 F.approx_count_distinct("customer_id").alias("unique_customers_approx")))
+MINUTE_KEYS = ("minute", "touchpoint", "customer_id")
 
 
-def stream_touchpoints(stream: DataFrame, minutes: int = config.RECENT_TOUCHPOINT_MINUTES,
-                       slide_minutes: int = 1) -> DataFrame:
-    """T4: per touchpoint over a sliding window."""
-    return (stream.groupBy(F.window("timestamp", f"{minutes} minutes",
-                                    f"{slide_minutes} minute").alias("window"), "touchpoint")
+def stream_minutes(stream: DataFrame) -> DataFrame:
+    """The aggregate behind T1-T4: a row per event-time minute, touchpoint and customer."""
+    return (stream.groupBy(F.window("timestamp", "1 minute").alias("window"), "touchpoint", "customer_id")
             .agg(F.count("*").alias("interactions"), F.sum("revenue").alias("revenue"),
-                 F.approx_count_distinct("customer_id").alias("unique_customers_approx")))
+                 F.count(F.when(is_conversion("revenue"), 1)).alias("conversions"),
+                 F.sum("session_duration_minutes").alias("session_sum"),
+                 F.count("session_duration_minutes").alias("session_n"))
+            .select(F.col("window.start").alias("minute"), "touchpoint", "customer_id", "interactions",
+                    "revenue", "conversions", "session_sum", "session_n"))
+
+
+def _spans(start, length) -> list:
+    return [start.alias("window_start"), (start + length).alias("window_end")]
+
+
+def daily_totals(minutes: DataFrame, touchpoints: Sequence[str] = config.TOUCHPOINTS) -> DataFrame:
+    """Per day: interactions, revenue, active customers, per-touchpoint counts.
+
+    Days are counted per customer first, so that no row is copied per distinct count."""
+    day = F.date_trunc("day", "minute")
+    per_customer = minutes.groupBy(day.alias("day"), "customer_id").agg(
+        F.sum("interactions").alias("n"), F.sum("revenue").alias("r"),
+        *[F.sum(F.when(F.col("touchpoint") == tp, F.col("interactions")).otherwise(0)).alias(f"{tp}_interactions")
+          for tp in touchpoints])
+    return (per_customer.groupBy("day").agg(
+        F.sum("n").alias("interactions"), F.sum("r").alias("revenue"),
+        F.count("customer_id").alias("active_customers"),
+        *[F.sum(f"{tp}_interactions").alias(f"{tp}_interactions") for tp in touchpoints])
+        .select(*_spans(F.col("day"), F.expr("interval 1 day")), "interactions", "revenue", "active_customers",
+                *[f"{tp}_interactions" for tp in touchpoints]))
+
+
+def minute_totals(minutes: DataFrame) -> DataFrame:
+    """Per minute: interactions, revenue, distinct customers."""
+    per_customer = minutes.groupBy("minute", "customer_id").agg(
+        F.sum("interactions").alias("n"), F.sum("revenue").alias("r"))
+    return (per_customer.groupBy("minute").agg(
+        F.sum("n").alias("interactions"), F.sum("r").alias("revenue"), F.count("customer_id").alias("unique_customers"))
+        .select(*_spans(F.col("minute"), F.expr("interval 1 minute")), "interactions", "revenue", "unique_customers"))
+
+
+def _sliding(rows: DataFrame, minutes: int, oldest) -> DataFrame:
+    """``rows`` once per window of ``minutes`` (sliding by one) from the one that begins at
+    ``oldest`` to the one that begins at the row's own minute."""
+    return rows.withColumn("start", F.explode(F.sequence(oldest, F.col("minute"), F.expr("interval 1 minute"))))
+
 
+def _back(minutes: int):
+    return F.col("minute") - F.make_dt_interval(mins=F.lit(minutes - 1))
 
-def stream_active_customers(stream: DataFrame, window: str = "1 day") -> DataFrame:
-    """Exact distinct customers per window: (window, customer) then window. Append mode."""
-    per_customer = (stream.groupBy(F.window("timestamp", window).alias("window"), "customer_id")
-                    .agg(F.count("*").alias("n")))
-    return (per_customer.groupBy("window")
-            .agg(F.count("*").alias("active_customers"), F.sum("n").alias("interactions")))
 
+def conversion_windows(minutes: DataFrame, length: int = config.CONVERSION_WINDOW_MINUTES) -> DataFrame:
+    """Windows of ``length`` minutes, one per minute: conversion %, mean session.
+    Rows are reduced per minute before they go to their windows."""
+    per_minute = minutes.groupBy("minute").agg(*[F.sum(c).alias(c) for c in (
+        "interactions", "conversions", "session_sum", "session_n")])
+    return (_sliding(per_minute, length, _back(length)).groupBy("start").agg(
+        F.sum("interactions").alias("interactions"),
+        (F.sum("conversions") * F.lit(100.0) / F.sum("interactions")).alias("conversion_rate"),
+        F.try_divide(F.sum("session_sum").cast("double"), F.sum("session_n")).alias("avg_session_duration"))
+        .select(*_spans(F.col("start"), F.make_dt_interval(mins=F.lit(length))), "interactions", "conversion_rate",
+                "avg_session_duration"))
 
-def stream_enrich(stream: DataFrame, *, customers: DataFrame | None, weather: DataFrame,
-                  market: DataFrame, news: DataFrame, economic: DataFrame,
-                  facts: DataFrame) -> DataFrame:
-    """T5: enrichment as stream-static joins (same as-of join as batch, no state).
 
-    The static sides (reading intervals, the customer-city lookup, the news
-    reading) are written to the shared checkpoint folder once, so micro-batches
-    only read them.
+def touchpoint_windows(minutes: DataFrame, length: int = config.RECENT_TOUCHPOINT_MINUTES) -> DataFrame:
+    """T4: per touchpoint over sliding windows: interactions, revenue, distinct customers.
+
+    A customer's minute goes only to the windows that the customer's previous minute does not
+    cover already, so each customer counts once per window without a distinct count."""
+    per_minute = minutes.groupBy("touchpoint", "minute").agg(
+        F.sum("interactions").alias("interactions"), F.sum("revenue").alias("revenue"))
+    sums = _sliding(per_minute, length, _back(length)).groupBy("touchpoint", "start").agg(
+        F.sum("interactions").alias("interactions"), F.sum("revenue").alias("revenue"))
+    seen = minutes.where(F.col("customer_id").isNotNull())
+    before = F.lag("minute").over(Window.partitionBy("touchpoint", "customer_id").orderBy("minute"))
+    oldest = F.greatest(_back(length), F.coalesce(before + F.expr("interval 1 minute"), _back(length)))
+    customers = _sliding(seen.select("touchpoint", "minute", oldest.alias("oldest")), length, F.col("oldest")) \
+        .groupBy("touchpoint", "start").agg(F.count("*").alias("unique_customers"))
+    joined = sums.join(customers.withColumnRenamed("touchpoint", "tp"),
+                       F.col("touchpoint").eqNullSafe(F.col("tp")) & (sums["start"] == customers["start"]), "left")
+    return joined.select(*_spans(sums["start"], F.make_dt_interval(mins=F.lit(length))), "touchpoint", "interactions",
+                         "revenue", F.coalesce("unique_customers", F.lit(0)).cast("long").alias("unique_customers"))
+
+
+def active_customers(minutes: DataFrame) -> DataFrame:
+    """Exact distinct customers and interactions per day."""
+    return daily_totals(minutes, ()).select("window_start", "window_end", "active_customers", "interactions")
+
+
+FactorTables = Callable[[], dict[str, DataFrame]]
+
+
+def _folder(path: str, batch_id: int) -> str:
+    return f"{path.rstrip('/')}/__batch={batch_id}"
+
+
+def start_enriched(stream: DataFrame, tables: FactorTables, path: str, checkpoint: str,
+                   impact_path: str | None = None, interval_seconds: int = config.STREAM_INTERVAL_SECONDS,
+                   available_now: bool = False) -> StreamingQuery:
+    """Enriches every micro-batch with the tables as they are then.
+
+    ``tables`` is called per micro-batch and returns the arguments of ``enrich`` (customers,
+    weather, market, news, economic, facts). A batch is written to a folder of its own, which
+    a retry overwrites, so each event is in the table once. With ``impact_path`` the batch's
+    sums for the factor metrics are kept beside it (``factor_impact``).
     """
-    cities = None
-    if customers is not None:
-        cities = customers.select("customer_id", "city")
-        checkpoint_dir(cities.sparkSession)
-        cities = cities.checkpoint(eager=True)
-    return EN.enrich(stream, customers=cities,
-                     weather=EN.weather_intervals(weather).materialize(),
-                     market=EN.market_intervals(market).materialize(),
-                     news=news.checkpoint(eager=True),
-                     economic=EN.economic_intervals(economic).materialize(),
-                     facts=facts)
-
-
-def stream_factor_impact(enriched: DataFrame) -> dict[str, DataFrame]:
-    """Factor metrics over the enriched stream (run in update or complete mode)."""
-    return {"weather_impact": impact.weather_impact(enriched),
-            "sentiment_impact": impact.sentiment_impact(enriched),
-            "market_score": impact.market_score(enriched)}
-
-
-def write_realtime(stream: DataFrame, path: str, checkpoint: str | None = None,
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        out = _folder(path, batch_id)
+        EN.enrich(batch, **tables()).write.mode("overwrite").parquet(out)
+        if impact_path:
+            rows = batch.sparkSession.read.parquet(out)
+            impact.partial_impact(rows).write.mode("overwrite").parquet(_folder(impact_path, batch_id))
+
+    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{interval_seconds} seconds")
+    return w.start()
+
+
+def enriched_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("__batch")
+
+
+def factor_impact(spark: SparkSession, impact_path: str) -> dict[str, DataFrame]:
+    """The factor metrics over all batches so far, from their sums."""
+    return impact.combined_impact(spark.read.parquet(impact_path))
+
+
+def run_enriched(stream: DataFrame, tables: FactorTables, name: str = "enriched") -> tuple[str, str]:
+    """Enriches everything available; returns the paths of the table and of its sums."""
+    spark = stream.sparkSession
+    out, sums = _scratch(spark, f"{name}-out"), _scratch(spark, f"{name}-impact")
+    q = start_enriched(stream, tables, out, _scratch(spark, f"{name}-ckpt"), sums, available_now=True)
+    _finish(q)
+    return out, sums
+
+
+def write_realtime(stream: DataFrame, path: str, checkpoint: str,
                    customers: DataFrame | None = None,
                    interval_seconds: int = config.STREAM_INTERVAL_SECONDS,
                    available_now: bool = False, partition_by_date: bool = True) -> StreamingQuery:
     """Real-time records to a Parquet table every ``interval_seconds``.
 
-    The checkpoint makes the sink exactly-once: a failed batch is retried, not
-    lost. Files are partitioned by event date for pruning.
+    ``checkpoint`` is the sink's own folder and must stay the same over restarts: with
+    it the sink is exactly-once, a failed batch is retried and a restarted sink goes on
+    where it stopped. Files are partitioned by event date for pruning.
     """
-    spark = stream.sparkSession
     rt = to_realtime(stream, customers)
     if partition_by_date:
         rt = rt.withColumn("date", F.to_date("timestamp"))
     w = (rt.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint or _scratch(spark, "realtime-ckpt")))
+         .option("checkpointLocation", checkpoint))
     if partition_by_date:
         w = w.partitionBy("date")
     w = w.trigger(availableNow=True) if available_now \
@@ -206,26 +307,55 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def _finish(q: StreamingQuery) -> None:
+    """Waits for a replay and raises if rows came too late for the watermark."""
+    q.awaitTermination()
+    late = sum(op.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for op in p["stateOperators"])
+    if late:
+        raise RuntimeError(f"{late} rows arrived behind the watermark; replay them with a longer one")
+
+
+PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
+
+
 def run_available(agg: DataFrame, keys: Sequence[str], output_mode: str = "update",
                   name: str = "stream") -> DataFrame:
     """Run a streaming aggregate over everything available and return its final table.
 
     Each micro-batch's updated rows are appended (with the batch id) to a Parquet
     table in the shared checkpoint folder by the executors; the result keeps,
-    per key, the row of the latest batch. Nothing passes through the driver.
+    per key, the row of the latest batch. Nothing passes through the driver. Rows
+    behind the watermark raise instead of being lost.
     """
     spark = agg.sparkSession
     out, ckpt = _scratch(spark, f"{name}-out"), _scratch(spark, f"{name}-ckpt")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("__batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(_folder(out, batch_id))
 
+    spark.conf.set(PROGRESS, "100000")                 # all batches of the replay
     q = (agg.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
          .foreachBatch(sink).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _finish(q)
     if not path_exists(spark, out):
         return spark.createDataFrame([], agg.schema)
     rows = spark.read.parquet(out)
     value_cols = [c for c in agg.columns if c not in keys]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*value_cols), "__batch").alias("__v"))
     return latest.select(*keys, "__v.*")
+
+
+def run_minutes(stream: DataFrame) -> DataFrame:
+    """The rows of ``stream_minutes`` over everything available."""
+    return run_available(stream_minutes(stream), MINUTE_KEYS, name="minutes")
+
+
+def run_rows(stream: DataFrame, name: str = "rows") -> DataFrame:
+    """All rows of an append-only stream: the file sink writes each once, no shuffle."""
+    spark = stream.sparkSession
+    out = _scratch(spark, f"{name}-out")
+    spark.conf.set(PROGRESS, "100000")
+    q = (stream.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", _scratch(spark, f"{name}-ckpt")).trigger(availableNow=True).start(out))
+    _finish(q)
+    return spark.read.schema(stream.schema).parquet(out)

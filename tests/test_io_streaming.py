@@ -93,11 +93,11 @@ def test_stream_dedup_watermark_and_batch_equality(spark, tmp_dir):
         (2, "2024-01-01 10:30:00", 2, "view", 1.0, 1),
         (3, "2024-01-02 09:00:00", 1, "purchase", 2.0, 2)])
     stream = ST.read_interactions_stream(spark, src, file_glob="events_*.parquet")
-    daily = ST.stream_daily_totals(stream)
+    minutes = ST.stream_minutes(stream)
     out, ckpt = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ckpt")
 
     def run():
-        q = (daily.writeStream.outputMode("update").option("checkpointLocation", ckpt)
+        q = (minutes.writeStream.outputMode("update").option("checkpointLocation", ckpt)
              .foreachBatch(lambda b, i: b.withColumn("__batch", F.lit(i)).write.mode("append").parquet(out))
              .trigger(availableNow=True).start())
         q.awaitTermination()
@@ -111,22 +111,53 @@ def test_stream_dedup_watermark_and_batch_equality(spark, tmp_dir):
         (5, "2024-01-01 12:00:00", 3, "purchase", 9.0, 4)])
     run()
     rows = spark.read.parquet(out)
-    latest = {r.start.date().isoformat(): r for r in rows.groupBy("window").agg(
-        F.max_by(F.struct("interactions", "revenue"), "__batch").alias("v"))
-        .select("window.start", "v.*").collect()}
+    values = [c for c in minutes.columns if c not in ST.MINUTE_KEYS]
+    kept = rows.groupBy(*ST.MINUTE_KEYS).agg(F.max_by(F.struct(*values), "__batch").alias("v")).select(*ST.MINUTE_KEYS, "v.*")
+    latest = {r.window_start.date().isoformat(): r for r in ST.daily_totals(kept).collect()}
     assert latest["2024-01-01"].interactions == 2 and latest["2024-01-01"].revenue == 5.0
     assert latest["2024-01-02"].interactions == 2          # late row inside watermark counted
+    assert latest["2024-01-01"].active_customers == 2 and latest["2024-01-02"].active_customers == 2
+
+
+def test_replay_raises_when_rows_come_too_late(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "events")
+    os.makedirs(src)
+    for n, when in enumerate(["2024-01-02 09:00:00", "2024-01-03 09:00:00", "2024-01-01 09:00:00"]):
+        _write_events(os.path.join(src, f"events_{n}.parquet"), [(n, when, 1, "view", 1.0, 0)])
+        os.utime(os.path.join(src, f"events_{n}.parquet"), (1_700_000_000 + n * 100,) * 2)
+    stream = ST.read_interactions_stream(spark, src, file_glob="events_*.parquet", max_files_per_trigger=1)
+    with pytest.raises(RuntimeError, match="behind the watermark"):
+        ST.run_minutes(stream)
+    longer = ST.read_interactions_stream(spark, src, file_glob="events_*.parquet", watermark="10 days", max_files_per_trigger=1)
+    assert ST.run_minutes(longer).count() == 3
+
+
+def test_touchpoint_windows_count_customers_once(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(t0 + dt.timedelta(minutes=m), tp, c, 1, 2.0, 1, 5, 1) for m, tp, c in
+            [(0, "web", 1), (2, "web", 1), (2, "web", 2), (40, "web", 1), (41, "app", 1), (41, None, 3), (41, "app", None)]]
+    df = spark.createDataFrame(rows, "minute timestamp, touchpoint string, customer_id long, interactions long, revenue double, "
+                                     "conversions long, session_sum long, session_n long")
+    got = {(r.window_start, r.touchpoint): (r.interactions, r.revenue, r.unique_customers)
+           for r in ST.touchpoint_windows(df, 30).collect()}
+    want = {}
+    for start in range(-40, 60):
+        for tp in ("web", "app", None):
+            inside = [r for r in rows if r[1] == tp and 0 <= (r[0] - t0).total_seconds() / 60 - start < 30]
+            if inside:
+                want[t0 + dt.timedelta(minutes=start), tp] = (len(inside), 2.0 * len(inside), len({r[2] for r in inside} - {None}))
+    assert got == want
 
 
 def test_streaming_equals_batch_on_sample(spark):
     sf = "/root/testdata/sf0.001"
     s = ST.read_interactions_stream(spark, sf, file_glob="events.parquet")
-    got = ST.run_available(ST.stream_conversion_window(s), ["window"], name="t2")
+    got = ST.conversion_windows(ST.run_minutes(s))
     from pathlens.sources import fixtures
     i = fixtures.interactions(spark, sf)
-    batch = ST.stream_conversion_window(i)  # same expression, batch execution
-    a = sorted((r.window.start, r.interactions, round(r.conversion_rate, 9)) for r in got.collect())
-    b = sorted((r.window.start, r.interactions, round(r.conversion_rate, 9)) for r in batch.collect())
+    batch = ST.conversion_windows(ST.stream_minutes(i))     # same expression, batch execution
+    a = sorted((r.window_start, r.interactions, round(r.conversion_rate, 9)) for r in got.collect())
+    b = sorted((r.window_start, r.interactions, round(r.conversion_rate, 9)) for r in batch.collect())
     assert a == b and len(a) > 0
 
 
@@ -202,11 +233,84 @@ def test_live_event_json_stream(spark, tmp_dir):
     with open(os.path.join(src, "batch1.json"), "w") as f:
         for e in events + events[:1]:                          # includes a replayed duplicate
             f.write(_json.dumps(e) + "\n")
-    got = ST.run_available(ST.stream_conversion_window(stream, minutes=60, slide_minutes=60),
-                           ["window"], name="live").collect()
-    by_start = {r.window.start.hour: r for r in got}
-    assert by_start[10].interactions == 1 and by_start[10].conversion_rate == 100.0
-    assert by_start[11].interactions == 1 and by_start[11].conversion_rate == 0.0
+    got = ST.conversion_windows(ST.run_minutes(stream)).collect()
+    by_start = {(r.window_start.hour, r.window_start.minute): r for r in got}
+    assert by_start[10, 0].interactions == 1 and by_start[10, 0].conversion_rate == 100.0
+    assert by_start[11, 0].interactions == 1 and by_start[11, 0].conversion_rate == 0.0
+
+
+def _live(folder, name, lines):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def _event(n, when):
+    return ('{"interaction_id": "%s", "customer_id": "C1", "touchpoint": "email", "timestamp": "%s", "revenue": 1.0}'
+            % (n, when))
+
+
+def test_bad_events_go_to_the_reject_table_and_the_stream_goes_on(spark, tmp_dir):
+    src, ck = os.path.join(tmp_dir, "live"), os.path.join(tmp_dir, "ck")
+    good, bad = os.path.join(tmp_dir, "good"), os.path.join(tmp_dir, "bad")
+
+    def run():
+        ST.write_realtime(ST.read_live_events_stream(spark, src), good, ck + "-good", available_now=True).awaitTermination()
+        ST.write_rejected(ST.read_live_records(spark, src), bad, ck + "-bad", available_now=True).awaitTermination()
+
+    _live(src, "one.json", [_event("A", "2024-01-05T10:00:00"), _event("B", "bad"), "not json", _event("", "2024-01-05T10:00:00"),
+                            '{"timestamp": "2024-01-05T10:00:00"}', "{}"])
+    run()
+    _live(src, "two.json", [_event("D", "2024-01-05T10:30:00")])
+    run()
+    assert sorted(r.interaction_id for r in spark.read.parquet(good).collect()) == ["A", "D"]
+    rejects = spark.read.parquet(bad).collect()
+    assert len(rejects) == 5 and {r.reason for r in rejects} == {"not a live event", "no valid timestamp", "no interaction_id"}
+    assert "not json" in {r.record for r in rejects}
+
+
+def test_restarted_sink_loses_nothing(spark, tmp_dir):
+    src, out, ck = (os.path.join(tmp_dir, x) for x in ("events", "realtime", "ck"))
+    os.makedirs(src)
+    for run in range(2):
+        _write_events(os.path.join(src, f"events_{run}.parquet"),
+                      [(run * 500 + i, "2024-01-01 10:00:00", 1, "view", 1.0, 0) for i in range(500)])
+        stream = ST.read_interactions_stream(spark, src, file_glob="events_*.parquet")
+        ST.write_realtime(stream, out, ck, available_now=True).awaitTermination()
+    assert spark.read.parquet(out).select("interaction_id").distinct().count() == 1000
+    with pytest.raises(TypeError):
+        ST.write_realtime(stream, out)                      # a sink without its checkpoint is no sink
+
+
+def test_readings_that_arrive_while_the_stream_runs(spark, tmp_dir):
+    from pathlens.sources import factors as FA
+    src, out, sums, ck = (os.path.join(tmp_dir, x) for x in ("events", "enriched", "impact", "ck"))
+    os.makedirs(src)
+    market, customers = [], []
+
+    def tables():
+        reading = "factor_time timestamp, market_sentiment string, change_percent double"
+        return {"customers": spark.createDataFrame(customers, "customer_id long, city string"),
+                "weather": spark.createDataFrame([], "city string, factor_time timestamp, temperature double, "
+                                                     "weather_condition string, humidity long"),
+                "market": spark.createDataFrame(market, reading),
+                "news": spark.createDataFrame([], "factor_time timestamp, sentiment_label string, sentiment_score double"),
+                "economic": spark.createDataFrame([], "factor_time timestamp, inflation_rate double, consumer_confidence double"),
+                "facts": FA.city_facts(spark)}
+
+    def step(n, minute):
+        _write_events(os.path.join(src, f"events_{n}.parquet"), [(n, f"2024-01-01 10:{minute:02d}:00", 7, "purchase", 3.0, 0)])
+        stream = ST.read_interactions_stream(spark, src, file_glob="events_*.parquet")
+        ST.start_enriched(stream, tables, out, ck, sums, available_now=True).awaitTermination()
+
+    step(1, 0)
+    market.append((dt.datetime(2024, 1, 1, 10, 4), "positive", 1.0))
+    customers.append((7, "Chicago"))
+    step(2, 5)
+    rows = {r.interaction_id: r for r in ST.enriched_table(spark, out).collect()}
+    assert (rows["1"].market_sentiment, rows["1"].city) == (None, "New York")
+    assert (rows["2"].market_sentiment, rows["2"].city) == ("positive", "Chicago")
+    assert ST.factor_impact(spark, sums)["market_score"].first().matches == 1
 
 
 def test_parse_live_events_from_record_values(spark):

@@ -67,9 +67,9 @@ def test_realtime_bounds(spark):
                               ("4", 2, "web", "2024-01-30 23:30:00", 0.0)])       # exactly 30 min
     r = rt.to_realtime(df, processed_at=__import__("pyspark.sql.functions", fromlist=["col"]).col("timestamp"))
     s = rt.last_hour_summary(r, "2024-01-31 00:00:00").first()
-    assert s.interactions == 3 and s.unique_customers == 2
+    assert s.interactions == 2 and s.unique_customers == 2      # the row after as_of is not "last hour"
     tp = {x.touchpoint: x.interactions for x in rt.recent_touchpoints(r, "2024-01-31 00:00:00").collect()}
-    assert tp == {"web": 1}                 # strict: 30 min old row excluded, later row kept
+    assert tp == {}                         # strict: 30 min old row excluded, and the later row
     assert [x.interaction_id for x in rt.latest_interactions(r, 2).collect()] == ["3", "4"]
     assert r.first().customer_segment == ""
 
@@ -91,3 +91,25 @@ def test_snapshot_parts_and_empty_input(spark):
     empty = snapshot(buf.limit(0), enr.limit(0), "2024-01-31 00:00:00")
     assert empty["minute_trends"].count() == 0
     assert empty["best_weather"].first().best_condition == "Unknown"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reports_without_paths_shuffle_no_rows(spark):
+    from pathlens.plans.registry import QUERIES
+    for name in ("journey_summary", "journey_stats", "top_first_touchpoints", "top_last_touchpoints"):
+        assert "collect_list" not in _plan(QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_recent_enriched_takes_the_latest_rows_first(spark):
+    df = interactions(spark, [(str(i), 1, "email", f"2024-01-30 23:{i:02d}:00", 1.0) for i in range(30)])
+    seen = []
+
+    def enrich(events):
+        seen.append(events.count())
+        return events
+
+    got = [r.interaction_id for r in rt.recent_enriched(df, enrich).collect()]
+    assert got == [str(i) for i in range(29, 19, -1)] and seen == [10]
