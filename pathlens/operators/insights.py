@@ -105,13 +105,11 @@ def insight_table(analysis: DataFrame, segment_stats: DataFrame, journeys: DataF
                   series: DataFrame) -> DataFrame:
     """Six rows (topic, answer): four rendered, the constant one, the combined default.
 
-    The journeys (their narrow columns), segment statistics and daily series are written
-    once, as are the five answers, which the combined one reads again."""
+    The journeys (their narrow columns), which three summaries read, are written once, as are
+    the five answers, which the combined one reads again."""
     spark = analysis.sparkSession
     journeys = written(journeys.select("customer_id", "total_interactions", "journey_duration_days", "first_touchpoint",
                                        "last_touchpoint", "conversion_occurred"), "journeys")
-    analysis, segment_stats, series = (written(analysis, "analysis"), written(segment_stats, "segment-stats"),
-                                       written(series, "series"))
     parts = (insight_touchpoints(analysis).unionByName(insight_segments(segment_stats))
              .unionByName(insight_journeys(journeys)).unionByName(insight_trends(series))
              .unionByName(spark.range(1).select(
