@@ -74,12 +74,13 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The lines to remove: (doc_id, digest, lines as array<struct<line, start, end>>).
 
     Only narrow unit rows are dealt by digest. A frequent line is reduced map-side to its first
-    occurrence; the join back is one that the planner may split where a digest is hot.
+    occurrence; the table of those is written, so that the join back has plain exchanges on both
+    sides, which adaptive execution splits where a digest is hot.
     """
     units = line_units(docs)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "line")
-    first = (units.groupBy("hash1", "hash2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-             .where("n > 1").drop("n"))
+    first = written(units.groupBy("hash1", "hash2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+                    .where("n > 1").drop("n"), "first-lines")
     later = (units.join(first, ["hash1", "hash2"])
              .where(place != F.col("first"))
              .select("doc_id", "digest", "unit", "line", "start", "end", "n_words").distinct())
