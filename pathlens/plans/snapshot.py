@@ -1,8 +1,9 @@
 """The live dashboard's data as a named set of batch DataFrames at ``as_of``.
 
 ``buffer``: interactions with ``processed_timestamp``; ``enriched``: the enriched
-interactions (``operators.enrich.enrich``). Every entry is a lazy DataFrame; an
-empty input gives empty frames (and the documented defaults for one-row ones).
+interactions (``operators.enrich.enrich``). The entries are lazy DataFrames, but for the
+running rate, which writes its narrow rows when it is built; an empty input gives empty
+frames (and the documented defaults for one-row ones).
 """
 
 from __future__ import annotations

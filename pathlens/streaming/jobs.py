@@ -348,14 +348,3 @@ def run_available(agg: DataFrame, keys: Sequence[str], output_mode: str = "updat
 def run_minutes(stream: DataFrame) -> DataFrame:
     """The rows of ``stream_minutes`` over everything available."""
     return run_available(stream_minutes(stream), MINUTE_KEYS, name="minutes")
-
-
-def run_rows(stream: DataFrame, name: str = "rows") -> DataFrame:
-    """All rows of an append-only stream: the file sink writes each once, no shuffle."""
-    spark = stream.sparkSession
-    out = _scratch(spark, f"{name}-out")
-    spark.conf.set(PROGRESS, "100000")
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", _scratch(spark, f"{name}-ckpt")).trigger(availableNow=True).start(out))
-    _finish(q)
-    return spark.read.schema(stream.schema).parquet(out)
