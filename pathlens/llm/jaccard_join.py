@@ -231,13 +231,15 @@ def link_classes(docs: DataFrame, sketch: DataFrame, classes: DataFrame, n: int,
     """(node, links, root) for the classes that have links to other classes."""
     bands = sketch.groupBy("node").agg(F.first("bands").alias("bands")).select(
         "node", F.posexplode("bands").alias("band", "hash"))
-    bucket = (bands.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("n"))
-              .where("n > 1").drop("n"))
+    # written, so that the joins back have plain exchanges, which may be split where a key is hot
+    bucket = written(bands.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+                     .where("n > 1").drop("n"), "buckets")
     star = bands.join(bucket, ["band", "hash"]).where("node != least")
     groups = written(components(star.select(F.col("node").alias("a"), F.col("least").alias("b")), "candidates"), "groups")
     in_group = groups.join(classes, "node")
-    chunks = in_group.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK_CLASSES),
-                                                     F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).alias("chunks"))
+    chunks = written(in_group.groupBy("root").agg(
+        F.greatest(F.ceil(F.count("*") / CHUNK_CLASSES), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).alias("chunks")),
+        "chunks")
     members = in_group.join(chunks, "root").select(
         F.struct("node.set1", "node.set2", "size", "root", "chunks",
                  F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")).alias("member"),
