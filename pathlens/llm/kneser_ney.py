@@ -35,7 +35,7 @@ from .quality import fold
 from .words import NON_SPACE, mix, words
 
 BEGIN, END = np.uint64(0x5BD1E995A1B2C3D4), np.uint64(0xC2B2AE3D27D4EB4F)
-GROUP_TOKENS = 3_000_000        # tokens whose pairs a task adds up before dealing them
+GROUP_TOKENS = 2_000_000        # tokens whose pairs a task adds up before dealing them
 SLICE_BYTES = 2 << 20
 BASE_PRIOR = 0.1
 
@@ -129,8 +129,8 @@ def frequent_histories(texts: DataFrame, shards: int) -> np.ndarray:
                                               pa.array(np.append(np.zeros(often.sum(), bool), True))], names=["h", "n", "total"])
 
     got = (texts.mapInArrow(run, "h bigint, n bigint, total boolean").groupBy("total", "h").agg(F.sum("n").alias("n")))
-    n = F.sum(F.when(F.col("total"), F.col("n")))
-    rows = got.crossJoin(F.broadcast(got.agg(n.alias("all")))).where("not total and n * 4 * " + str(shards) + " >= all").collect()
+    everything = got.where("total").agg(F.sum("n")).scalar()
+    rows = got.where(~F.col("total") & (F.col("n") * (4 * shards) >= everything)).select("h").collect()
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
 
