@@ -31,6 +31,7 @@ from .words import BASE, BYTE_VALUES, mix
 K = 6
 TUPLE = 2
 SLOTS = 64
+LOW_BITS = 20
 _rng = np.random.default_rng(17)
 _DONORS = np.array([_rng.permutation(np.delete(np.arange(SLOTS), j)) for j in range(SLOTS)])
 _EMPTY = np.zeros(SLOTS, np.uint16)
@@ -40,10 +41,15 @@ SCHEMA = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint stri
           "near_edited double, near_next double")
 
 
-def _ranked(values: np.ndarray, index_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """``values`` cut to their upper bits and sorted, equal ones by index; and the indexes."""
-    low = np.uint64((1 << index_bits) - 1)
-    packed = (values & ~low) | np.arange(len(values), dtype=np.uint64)
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` cut to their upper 44 bits at every length and sorted, equal ones by index; and
+    the indexes, which are sorted along in the low bits if they fit: the same order, found faster."""
+    low = np.uint64((1 << LOW_BITS) - 1)
+    cut, n = values & ~low, len(values)
+    if n > 1 << LOW_BITS:
+        at = np.argsort(cut, kind="stable")
+        return cut[at], at
+    packed = cut | np.arange(n, dtype=np.uint64)
     packed.sort()
     return packed & ~low, (packed & low).astype(np.int64)
 
@@ -59,8 +65,7 @@ def order_minhash(text: bytes) -> np.ndarray:
     for j in range(k):
         kmers += values[j:n + j] * np.uint64(pow(BASE, j, 2**64))
     kmers = mix(kmers)
-    bits = max(20, n.bit_length())
-    same, at = _ranked(kmers, bits)
+    same, at = _ranked(kmers)
     new = np.empty(n, bool)
     new[0] = True
     np.not_equal(same[1:], same[:-1], out=new[1:])
@@ -68,7 +73,7 @@ def order_minhash(text: bytes) -> np.ndarray:
     number = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))
     keys = np.empty(n, np.uint64)
     keys[at] = mix(same + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    smallest, at = _ranked(keys, bits)
+    smallest, at = _ranked(keys)
     begin = np.searchsorted(smallest, _BIN_STARTS)
     end = np.append(begin[1:], n)
     taken = begin[:, None] + np.arange(TUPLE)

@@ -59,6 +59,22 @@ def test_likeness_falls_with_edits_and_reordering():
     assert len(o.order_minhash(b"a")) == o.SLOTS
 
 
+def test_texts_on_either_side_of_a_power_of_two():
+    text = np.random.default_rng(3).integers(97, 123, 2**20 + 500, dtype=np.uint8).tobytes()
+    cut = text[:2**20 - 500]                    # 1,000 bytes less, and fewer than 2^20 k-mers
+    assert o.likeness(o.order_minhash(text), o.order_minhash(cut)) > 0.9
+    short = o.edited(text.decode(), "a short next document").encode()
+    assert o.likeness(o.order_minhash(text), o.order_minhash(short)) > 0.4
+
+
+def test_both_ways_of_sorting_give_the_same(monkeypatch):
+    values = np.random.default_rng(4).integers(0, 2**64, 5000, dtype=np.uint64).repeat(3)
+    whole = o._ranked(values)
+    monkeypatch.setattr(np, "arange", None)     # the packed way needs it
+    monkeypatch.setattr(o, "LOW_BITS", 8)
+    assert all((a == b).all() for a, b in zip(o._ranked(values & ~np.uint64(2**20 - 1)), whole, strict=True))
+
+
 def test_repeats_count():
     assert o.likeness(o.order_minhash(b"ab" * 50), o.order_minhash(b"ab" * 500)) < 0.5
 
