@@ -12,7 +12,9 @@ on at most ``MOST_LABELLED`` of them, the first by a hash of page_id, and start
 for names of boilerplate, so that regions which the sample lacks have a weight, too.
 
 Defined cases: a null or empty page, or one whose best sum is not above 0, gives an empty text;
-unclosed tags, comments and scripts end with the page; repeated rows give equal texts; other
+unclosed tags, comments and scripts end with the page; scripts, styles, titles and the like are raw
+text up to their own end tag; a head without an end tag ends where text or an element comes that
+cannot stand in it; repeated rows give equal texts; other
 columns pass through ``with_main_text``, whose own (text, n_chars) replace equal names.
 """
 
@@ -38,6 +40,8 @@ MOST_FEATURES = 10_000
 
 # fixed values: element names of HTML and common names of page parts
 DROPPED = frozenset("script style noscript template head title svg math iframe object select option textarea button canvas audio video".split())
+RAW = frozenset("script style noscript title textarea iframe".split())         # text up to their end tag, without markup
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
                    "footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot "
                    "th thead tr ul".split())
@@ -50,6 +54,8 @@ BOILERPLATE = frozenset("ad ads advert advertisement advertising aside banner br
 SPACE = "\x20\t\n\x0b\x0c\r"
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|([^<]+|<)", re.S)
+RAW_END = {name: re.compile(rf"</{name}(?=[ \t\n\f\r/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
+SCRIPT_PART = re.compile(r"<!--(?:-*>)?|-->|<(/?)script(?=[ \t\n\f\r/>])(?:[^>]*(?:>|\Z))?", re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PARTS = re.compile(r"[a-zA-Z]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,22 +74,62 @@ def _label(name: str, attributes: str) -> str:
     return name
 
 
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where the raw text of an element that starts at ``at`` ends, its end tag included. As in HTML, a
+    script may hold scripts of its own within ``<!--`` and ``-->``."""
+    if name != "script":
+        m = RAW_END[name].search(page, at)
+        return m.end() if m else len(page)
+    escaped = inner = False
+    while m := SCRIPT_PART.search(page, at):
+        part, at = m.group().lower(), m.start() + 1
+        if part.startswith("<!--"):
+            escaped = not part.endswith(">")
+            inner = inner and escaped
+            at = m.end()
+        elif part == "-->":
+            escaped = inner = False
+        elif not m.group(1):
+            inner = escaped
+        elif inner:
+            inner = False
+        else:
+            return m.end()
+    return len(page)
+
+
 def tokens(page: str) -> Iterator[tuple]:
     """("tag", name) and ("text", text, block number, region, block, in a link, in an article)."""
     stack: list[tuple[str, str]] = []                   # element, region label ("" if none)
-    block, skip = 0, None
-    for m in TOKEN.finditer(page):
+    block, skip, head, at = 0, None, False, 0
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         closing, name, attributes, text = m.groups()
         if name is not None:
             name = name.lower()
+            opens = not closing and not attributes.rstrip().endswith("/")
+            if opens and name in RAW and skip not in ("svg", "math"):
+                if head and not skip and name not in HEAD:
+                    head = False
+                at = _raw_end(page, name, at)
+                continue
             if skip:
                 if closing and name == skip:
                     skip = None
                 continue
+            if head:
+                head = name not in ("head", "body", "html", "br") if closing else name in HEAD
+                if closing and (head or name == "head"):
+                    continue
             if name in DROPPED and not closing:
-                if not attributes.rstrip().endswith("/"):
+                if opens and name == "head":
+                    head = True
+                elif opens:
                     skip = name
                 continue
+            if head:
+                continue
             if name in BLOCKS:
                 block += 1
             if not closing and name not in VOID:
@@ -104,6 +150,7 @@ def tokens(page: str) -> Iterator[tuple]:
                         break                           # an inline end tag closes no region
             yield "tag", name
         elif text and not skip and text.strip(SPACE):
+            head = False                                # nor does text stand in a head
             region = next((r for _, r in reversed(stack) if r), "body")
             for _, r in stack:                          # the outermost boilerplate region counts
                 if r.partition(".")[0] in BOILERPLATE or r.partition(".")[2] in BOILERPLATE:

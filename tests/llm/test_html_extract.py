@@ -57,6 +57,25 @@ def test_awkward_markup():
     assert text(f"<p>{long}</p>") == long
 
 
+def test_raw_text_ends_at_its_own_end_tag():
+    w = weights()
+    for raw in ("<script>for(i=0;i<n;i++){x+=1}</script>", "<SCRIPT type='a'>if (a<b) '<p>' </Script >", "<script>a <!-- b</script>", "<script/><script>a<b</script\n>",
+                "<style>a<b {}</style>", "<textarea>a <b' </textarea>", "<noscript><img src='x></noscript>", "<title>x <y</title>", "<iframe><!-- </iframe>",
+                "<script><!-- write('<script>x</script>') --></script>", "<script><!--> a<b </script>", "<template><script>'</template>' a<b</script>no</template>",
+                "<svg><title/><path d='a'/></svg>", "<script></scripts> a<b </script>"):
+        for around in ("<article><p>{0}</p>{1}<p>{0}</p></article>", "<html><head>{1}</head><body><article><p>{0}</p><p>{0}</p></article></body></html>"):
+            assert h.main_text(around.format(WORDS, raw), w) == f"{WORDS}\n{WORDS}", raw
+    assert h.main_text(f"<article><p>{WORDS}</p></article><script>a<b", w) == WORDS
+
+
+def test_head_without_end_tag():
+    w = weights()
+    head = "<!doctype html><html><head><meta charset=utf-8><title>not <this</title><link rel=x><script>a<b '<body>'</script><style>p{}</style><template><p>no</p></template>"
+    for page in (f"{head}<body><article><p>{WORDS}</p></article></body></html>", f"{head}<article><p>{WORDS}</p></article>", f"{head}</head><article><p>{WORDS}</p></article>",
+                 f"{head}</body><article><p>{WORDS}</p></article>", f"{head}</p><p>{WORDS}</p>", f"{head}{WORDS}", f"{head}<textarea>a<b</textarea>{WORDS}"):
+        assert h.main_text(page, w) == WORDS, page
+
+
 def test_scan_finds_the_best_range():
     rng = random.Random(1)
     for _ in range(300):
