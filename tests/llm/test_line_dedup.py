@@ -70,3 +70,9 @@ def test_hot_line_and_empty_table(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated(docs(spark, data)).collect()}
     assert got[0].endswith(hot) and all(got[i] == f"own{i} word" for i in range(1, 500))
     assert line_dedup.drop_repeated(docs(spark, [])).count() == 0
+
+
+def test_min_words_1_removes_every_later_occurrence(spark):
+    data = [(i, f"own{i}\nall rights reserved.\nOf.", "en", "s", 0) for i in range(50)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated(docs(spark, data), 1).collect()}
+    assert got == {i: f"own{i}" if i else data[0][1] for i in range(50)}
