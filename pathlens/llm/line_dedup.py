@@ -8,8 +8,9 @@ their short lines, while a short line that recurs by chance stays. Offsets are c
 original text.
 
 Defined cases: a null text has no lines and stays null; an empty or blank text stays as it is; a
-text whose lines all go becomes empty; rows equal in doc_id and text rank the same and lose the
-same lines; columns beside doc_id and text pass through ``drop_repeated``.
+text whose lines all go becomes empty; of rows equal in doc_id and text any one ranks first, and all
+lines of the others are later occurrences; columns beside doc_id and text pass through
+``drop_repeated``.
 """
 
 from __future__ import annotations
@@ -71,7 +72,8 @@ def line_units(docs: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The lines to remove: (doc_id, digest, lines as array<struct<line, start, end>>).
+    """The lines to remove from one row of each text of a doc_id: (doc_id, digest, lines as
+    array<struct<line, start, end>>).
 
     Only narrow unit rows are dealt by digest. A frequent line is reduced map-side to its first
     occurrence; the table of those is written, so that the join back has plain exchanges on both
@@ -92,15 +94,29 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("line", "start", "end"))).alias("lines"))
 
 
-def _cut(names: list[str]):
-    """Batches of (doc, lines) to the columns of doc, text without the lines, and ``removed``."""
+def _all_lines(text: str, min_words: int) -> list[dict] | None:
+    """All non-blank lines of ``text``, if they have the words of a stretch that goes."""
+    at, lines, words = 0, [], 0
+    for n, line in enumerate(text.split("\n")):
+        found = len(WORD.findall(line))
+        if found:
+            lines.append({"line": n, "start": at, "end": at + len(line)})
+            words += found
+        at += len(line) + 1
+    return lines if words >= min_words else None
+
+
+def _cut(names: list[str], min_words: int):
+    """Batches of (doc, again, lines) to the columns of doc, text without the lines, and ``removed``."""
     def run(batches):
         for batch in batches:
             fields = dict(zip(names, batch.column("doc").flatten(), strict=True))
-            lines, text = batch.column("lines"), fields["text"]
-            spans = [None if x is None else [{"start": g["start"], "end": g["end"]} for g in x] for x in lines.to_pylist()]
-            if lines.null_count < len(lines):
-                gone = [set() if x is None else {g["line"] for g in x} for x in lines.to_pylist()]
+            text, lines = fields["text"], batch.column("lines").to_pylist()
+            for i in np.flatnonzero(batch.column("again").to_numpy(zero_copy_only=False)).tolist():
+                lines[i] = _all_lines(text[i].as_py() or "", min_words)
+            spans = [None if x is None else [{"start": g["start"], "end": g["end"]} for g in x] for x in lines]
+            if any(lines):
+                gone = [set() if x is None else {g["line"] for g in x} for x in lines]
                 text = pa.array([t if not g else "\n".join([x for n, x in enumerate(t.split("\n")) if n not in g])
                                  for t, g in zip(text.to_pylist(), gone, strict=True)], text.type)
             fields["text"] = text
@@ -109,17 +125,30 @@ def _cut(names: list[str]):
     return run
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc, id, digest, again): ``again`` if another row of equal doc_id and text ranks before it.
+    Only rows with equals are written and numbered; the first number is taken map-side."""
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("bigint").alias("id"),
+                       F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))
+    equal = written(rows.groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+                    .select(F.struct("id", "digest").alias("key")), "equal-rows")
+    same = F.col("id").eqNullSafe(F.col("key.id")) & (F.col("digest") == F.col("key.digest"))
+    many = written(rows.join(equal, same, "left_semi").withColumn("row", F.monotonically_increasing_id()), "rows-again")
+    first = many.groupBy("id", "digest").agg(F.min("row").alias("row")).select("row", F.lit(False).alias("again"))
+    numbered = many.join(first, "row", "left").select("doc", "id", "digest", F.coalesce("again", F.lit(True)).alias("again"))
+    return rows.join(equal, same, "left_anti").withColumn("again", F.lit(False)).unionAll(numbered)
+
+
 def without_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` cut, plus ``removed``: the removed lines' array<struct<start, end>>."""
     gone = written(repeated_lines(docs, min_words).select(F.struct("doc_id", "digest").alias("key"), "lines"), "lines")
     kept = docs.drop("removed")
-    rows = kept.select(F.struct("*").alias("doc"), F.col("doc_id").cast("bigint").alias("id"),
-                       F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))
     # hashed, not sorted: the table with the lines is the small side and its keys are unique
-    joined = rows.join(gone.hint("shuffle_hash"),
-                       F.col("id").eqNullSafe(F.col("key.doc_id")) & (F.col("digest") == F.col("key.digest")), "left")
+    joined = _placed(kept).join(gone.hint("shuffle_hash"),
+                                F.col("id").eqNullSafe(F.col("key.doc_id")) & (F.col("digest") == F.col("key.digest")), "left")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return joined.select("doc", "lines").mapInArrow(_cut(kept.columns), T.StructType([*kept.schema.fields, T.StructField("removed", span)]))
+    return joined.select("doc", "again", "lines").mapInArrow(
+        _cut(kept.columns, min_words), T.StructType([*kept.schema.fields, T.StructField("removed", span)]))
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

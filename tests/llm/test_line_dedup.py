@@ -76,3 +76,15 @@ def test_min_words_1_removes_every_later_occurrence(spark):
     data = [(i, f"own{i}\nall rights reserved.\nOf.", "en", "s", 0) for i in range(50)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated(docs(spark, data), 1).collect()}
     assert got == {i: f"own{i}" if i else data[0][1] for i in range(50)}
+
+
+def test_one_of_equal_rows_keeps_its_lines(spark):
+    ten = "the same ten words in every one of these texts"
+    data = [*[(None, f"{ten}\n\nand more", "en", f"s{i % 2}", i) for i in range(4)], *[(5, f"five\n{ten} {ten}", "en", "s", 0)] * 3,
+            *[(6, "short line", "en", "s", 0)] * 2, (7, f"own\n{ten}", "en", "s", 0), *[(8, None, "en", "s", 0), (8, "", "en", "s", 0)] * 2]
+    cut = line_dedup.without_repeated(docs(spark, data).repartition(3)).collect()
+    got = sorted((repr(r["doc_id"]), r["text"] or "", len(r["removed"])) for r in cut)
+    whole = f"five\n{ten} {ten}"
+    assert got == sorted([*[("None", "", 2)] * 3, ("None", "\nand more", 1), *[("5", "", 2)] * 2, ("5", whole, 0), *[("6", "short line", 0)] * 2,
+                          ("7", f"own\n{ten}", 0), *[("8", "", 0)] * 4])
+    assert sorted(r["n_chars"] for r in cut if r["doc_id"] is None) == [0, 1, 2, 3]
