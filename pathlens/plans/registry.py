@@ -928,8 +928,8 @@ from interactions i join touchpoint_analysis t on i.touchpoint = t.touchpoint gr
 def _sink(spark, sf):
     """The real-time sink over everything available, read back."""
     out = _folder(spark, "realtime")
-    ST.write_realtime(_stream(spark, sf), out, _folder(spark, "realtime-ckpt"), customers=fx.customers(spark, sf),
-                      available_now=True).awaitTermination()
+    ST.finish(ST.write_realtime(_stream(spark, sf), out, _folder(spark, "realtime-ckpt"), customers=fx.customers(spark, sf),
+                                available_now=True))
     return spark.read.parquet(out).withColumn("processed_timestamp", F.col("processed_timestamp").isNotNull()) \
         .withColumnRenamed("processed_timestamp", "processed")
 

@@ -272,12 +272,17 @@ def factor_impact(spark: SparkSession, impact_path: str) -> dict[str, DataFrame]
     return impact.combined_impact(spark.read.parquet(impact_path))
 
 
+PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
+ALL_BATCHES = "100000"                                 # progress reports kept: of all batches of a replay
+
+
 def run_enriched(stream: DataFrame, tables: FactorTables, name: str = "enriched") -> tuple[str, str]:
     """Enriches everything available; returns the paths of the table and of its sums."""
     spark = stream.sparkSession
     out, sums = _scratch(spark, f"{name}-out"), _scratch(spark, f"{name}-impact")
+    spark.conf.set(PROGRESS, ALL_BATCHES)
     q = start_enriched(stream, tables, out, _scratch(spark, f"{name}-ckpt"), sums, available_now=True)
-    _finish(q)
+    finish(q)
     return out, sums
 
 
@@ -300,6 +305,8 @@ def write_realtime(stream: DataFrame, path: str, checkpoint: str,
         w = w.partitionBy("date")
     w = w.trigger(availableNow=True) if available_now \
         else w.trigger(processingTime=f"{interval_seconds} seconds")
+    if available_now:
+        stream.sparkSession.conf.set(PROGRESS, ALL_BATCHES)
     return w.start(path)
 
 
@@ -307,7 +314,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def _finish(q: StreamingQuery) -> None:
+def finish(q: StreamingQuery) -> None:
     """Waits for a replay and raises if rows came too late for the watermark."""
     q.awaitTermination()
     late = sum(op.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for op in p["stateOperators"])
@@ -315,7 +322,6 @@ def _finish(q: StreamingQuery) -> None:
         raise RuntimeError(f"{late} rows arrived behind the watermark; replay them with a longer one")
 
 
-PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
 
 
 def run_available(agg: DataFrame, keys: Sequence[str], output_mode: str = "update",
@@ -333,10 +339,10 @@ def run_available(agg: DataFrame, keys: Sequence[str], output_mode: str = "updat
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_folder(out, batch_id))
 
-    spark.conf.set(PROGRESS, "100000")                 # all batches of the replay
+    spark.conf.set(PROGRESS, ALL_BATCHES)
     q = (agg.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
          .foreachBatch(sink).trigger(availableNow=True).start())
-    _finish(q)
+    finish(q)
     if not path_exists(spark, out):
         return spark.createDataFrame([], agg.schema)
     rows = spark.read.parquet(out)

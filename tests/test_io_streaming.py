@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathlens.operators import derive
+from pathlens.plans import registry
 from pathlens.sources import io
 from pathlens.streaming import jobs as ST
 
@@ -132,6 +133,32 @@ def test_replay_raises_when_rows_come_too_late(spark, tmp_dir):
     assert ST.run_minutes(longer).count() == 3
 
 
+def test_replays_of_sink_and_enrichment_raise_with_few_reports_kept(spark, tmp_dir):
+    sf = os.path.join(tmp_dir, "sf")
+    src = os.path.join(sf, "events.parquet")
+    os.makedirs(src)
+    for n, when in enumerate(["2024-01-02 09:00:00", "2024-01-03 09:00:00", "2024-01-01 09:00:00", *["2024-01-03 10:00:00"] * 3]):
+        _write_events(os.path.join(src, f"events_{n}.parquet"), [(n, when, 1, "view", 1.0, 0)])
+        os.utime(os.path.join(src, f"events_{n}.parquet"), (1_700_000_000 + n * 100,) * 2)
+    kept = spark.conf.get(ST.PROGRESS)
+    stream = ST.read_interactions_stream(spark, src, file_glob="events_*.parquet", max_files_per_trigger=1)
+    try:
+        spark.conf.set(ST.PROGRESS, "2")                   # the late row is in the third of six batches
+        with pytest.raises(RuntimeError, match="behind the watermark"):
+            ST.finish(ST.write_realtime(stream, os.path.join(tmp_dir, "rt"), os.path.join(tmp_dir, "ckpt"), available_now=True))
+        spark.conf.set(ST.PROGRESS, "2")
+        with pytest.MonkeyPatch.context() as m, pytest.raises(RuntimeError, match="behind the watermark"):
+            m.setattr(ST.EN, "enrich", lambda batch: batch)
+            m.setattr(ST.impact, "partial_impact", lambda rows: rows)
+            ST.run_enriched(stream, dict)
+        with pytest.MonkeyPatch.context() as m, pytest.raises(RuntimeError, match="behind the watermark"):
+            m.setattr(registry, "_stream", lambda spark, sf: stream)
+            m.setattr(registry.fx, "customers", lambda spark, sf: None)
+            registry._sink(spark, sf)
+    finally:
+        spark.conf.set(ST.PROGRESS, kept)
+
+
 def test_touchpoint_windows_count_customers_once(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(t0 + dt.timedelta(minutes=m), tp, c, 1, 2.0, 1, 5, 1) for m, tp, c in
