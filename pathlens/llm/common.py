@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mounted(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, as the path by which every machine that
+    mounts it reaches it; any other store raises, as its files cannot be memory-mapped."""
+    where = urlparse(scratch(spark, name))
+    path = unquote(where.path) if where.scheme else where.geturl()
+    if where.scheme not in ("", "file") or where.netloc not in ("", "localhost") or not os.path.isabs(path):
+        raise ValueError("memory-mapping needs spark.checkpoint.dir to be an absolute path of a mounted folder")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null counts as empty text."""
     if column.null_count:

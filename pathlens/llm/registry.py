@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (decontaminate, html_extract, jaccard_join, kneser_ney, line_dedup, merkle, mixing, order_minhash, quality,
-               token_counts, url_filter)
+from . import (decontaminate, html_extract, jaccard_join, kneser_ney, line_dedup, merkle, mixing, odd_sketch, order_minhash,
+               phrases, quality, token_counts, url_filter)
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -16,7 +16,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_kneser_ney": kneser_ney.op9_kneser_ney,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_collocations": phrases.op11_collocations,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_odd_sketch": odd_sketch.op13_odd_sketch,
 }
 
 ORACLES = {
@@ -24,5 +26,6 @@ ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op11_collocations": phrases.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
 }
