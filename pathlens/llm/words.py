@@ -91,3 +91,11 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         out += h[j:len(h) - n + 1 + j] * np.uint64(pow(BASE, 2 * j + 1, 2**64))
     return mix(out)
+
+
+def run_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One hash per run ``h[first[i]:end[i]]``, of its entries and their order."""
+    power, inverse = _to_power(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power[:len(h)], out=total[1:])
+    return mix((total[end] - total[first]) * inverse[first] + (end - first).astype(np.uint64))

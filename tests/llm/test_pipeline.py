@@ -11,7 +11,7 @@ from test_jaccard_join import brute as near
 from test_line_dedup import brute as repeated
 
 import __spark_entry__ as entry
-from pathlens.llm import quality, registry
+from pathlens.llm import line_dedup, quality, registry
 from pathlens.llm.common import table, written
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
@@ -28,7 +28,7 @@ def test_stages_against_plain_versions(spark):
     scores = {r["doc_id"]: r["predicted"] for r in quality.op6_quality(spark, SF).collect()}
     assert {r[0] for r in tables[1]} == {i for i, good in scores.items() if good}
     assert {repr(r[0]) for r in tables[2]} == {c for _, c, _ in near(tables[1])}
-    want = repeated(tables[2], 10)
+    want = repeated(tables[2], line_dedup.MIN_WORDS)
     by_id = {r[0]: r for r in tables[2]}
     assert len(tables[3]) == len(tables[2])
     assert all(r[1] == want[r[0], by_id[r[0]][1]][0] and r[4] == len(r[1]) for r in tables[3])
@@ -49,7 +49,7 @@ def test_empty_documents(spark):
 def test_registered():
     assert set(registry.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(registry.ORACLES) <= set(entry.oracle_sql())
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in registry.QUERIES)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in registry.QUERIES)] == []
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
