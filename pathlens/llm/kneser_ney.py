@@ -14,7 +14,8 @@ unknown word. An unseen history leaves P1.
 
 Defined cases: a null text counts as empty; an empty text is the end token alone; a null doc_id
 is in the held-out fold like an empty string; repeated rows count and score each; without training
-rows every token has probability 1; other columns pass through ``with_scores``.
+rows every token has probability 1; very long texts are counted and scored whole; other columns pass
+through ``with_scores``. A model file that a worker cannot see raises.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, slices, table, utf8
+from .common import mounted, slices, table, utf8
 from .quality import fold
 from .words import NON_SPACE, mix, words
 
@@ -72,7 +73,7 @@ def _add_up(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _smallest(values: np.ndarray) -> np.ndarray:
-    most = int(values.max()) if len(values) else 0
+    most = int(values.max()) if values.size else 0
     return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
 
 
@@ -200,7 +201,7 @@ def _merge_pairs(folder: str, bits: int, hot: np.ndarray):
             shared = _is_in(own, hot)
             _save(folder, f"histories-{shard}", own[~shared])
             _save(folder, f"histories-n-{shard}", _smallest(stats[:, ~shared]))
-            out = [_row("pair counts", 0, counts=_counts_of_counts(n))]
+            out = [_row("pair counts", 0, counts=_counts_of_counts(n)), _row("stored pairs", 0, counts=np.array([shard]))]
             if shared.any():
                 out.append(_row("hot", 0, keys=own[shared], counts=np.ascontiguousarray(stats[:, shared])))
             word, histories, times = _add_up(w, np.ones(len(w), np.int64), n)
@@ -225,6 +226,7 @@ def _merge_words(folder: str):
                     np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows]))
                 _save(folder, f"words-{shard}", word)
                 _save(folder, f"words-n-{shard}", _smallest(np.stack([histories, times])))
+                out.append(_row("stored words", 0, counts=np.array([shard])))
                 out.append(_row("word counts", 0, counts=np.concatenate(
                     [_counts_of_counts(histories), [len(word), histories.sum(), times.sum(), (histories > 2).sum()]]).astype(np.int64)))
             yield _batch(out)
@@ -253,6 +255,7 @@ class Model(NamedTuple):
     n_tokens: int               # N
     n_pairs: int                # distinct
     unknown: float              # P1 of an unknown word
+    shards: dict                # per table, the shards that have files
 
 
 def train(docs: DataFrame) -> Model:
@@ -260,10 +263,7 @@ def train(docs: DataFrame) -> Model:
     which has to be a mounted one: workers map the files."""
     spark = docs.sparkSession
     bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    folder = scratch(spark, "kneser-ney").removeprefix("file://")
-    if "://" in folder:
-        raise ValueError("memory-mapping needs spark.checkpoint.dir to be a mounted folder")
-    os.makedirs(folder, exist_ok=True)
+    folder = mounted(spark, "kneser-ney")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     hot = frequent_histories(texts, 1 << bits)
     pairs = (texts.mapInArrow(_count_pairs(bits, hot), PACKED)
@@ -281,29 +281,34 @@ def train(docs: DataFrame) -> Model:
     d = discounts(of_words[:4])
     freed = d[1] * of_words[0] + d[2] * of_words[1] + d[3] * more
     unknown = freed / n_pairs / (n_words + 1) if n_pairs else 1.0
-    return Model(folder, bits, added[0], np.stack(added[1:]), discounts(of_pairs), d, n_words, n_tokens, n_pairs, unknown)
+    stored = {k: frozenset(int(np.frombuffer(r["counts"], np.int64)[0]) for r in rows if r["kind"] == f"stored {k}") for k in ("pairs", "words")}
+    return Model(folder, bits, added[0], np.stack(added[1:]), discounts(of_pairs), d, n_words, n_tokens, n_pairs, unknown,
+                 stored | {"histories": stored["pairs"]})
 
 
-_mapped: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
+_mapped: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _arrays(folder: str, table_name: str, shard: int):
-    """A shard's keys and values, mapped once per worker; None if it has none."""
-    path = f"{folder}/{table_name}-{shard}.npy"
+def _arrays(model: Model, table_name: str, shard: int):
+    """A shard's keys and values, mapped once per worker; a stored shard that is not there raises."""
+    path = f"{model.folder}/{table_name}-{shard}.npy"
     if path not in _mapped:
-        values = f"{folder}/{table_name}-n-{shard}.npy"
-        _mapped[path] = (np.load(path, mmap_mode="r"), np.load(values, mmap_mode="r")) if os.path.exists(path) else None
+        values = f"{model.folder}/{table_name}-n-{shard}.npy"
+        _mapped[path] = np.load(path, mmap_mode="r"), np.load(values, mmap_mode="r")
     return _mapped[path]
 
 
-def look_up(folder: str, table_name: str, keys: np.ndarray, shards: np.ndarray, width: int) -> np.ndarray:
+def look_up(model: Model, table_name: str, keys: np.ndarray, shards: np.ndarray, width: int) -> np.ndarray:
     """Values of ``keys`` (``width`` rows), 0 where a key is not stored."""
     out = np.zeros((width, len(keys)), np.int64)
     order = np.lexsort((keys, shards))
     cut = np.flatnonzero(np.concatenate([[True], np.diff(shards[order]) != 0])) if len(keys) else []
     for a, b in zip(cut, [*cut[1:], len(keys)], strict=True):
-        stored = _arrays(folder, table_name, int(shards[order[a]]))
-        if stored is None or not len(stored[0]):
+        shard = int(shards[order[a]])
+        if shard not in model.shards[table_name]:
+            continue
+        stored = _arrays(model, table_name, shard)
+        if not len(stored[0]):
             continue
         own = order[a:b]
         at = np.minimum(np.searchsorted(stored[0], keys[own]), len(stored[0]) - 1)
@@ -315,14 +320,14 @@ def look_up(folder: str, table_name: str, keys: np.ndarray, shards: np.ndarray,
 def score_slice(model: Model, token: np.ndarray, history: np.ndarray, first: np.ndarray):
     """Per text: tokens, known tokens, base score and model score (log10)."""
     word, of = np.unique(token, return_inverse=True)
-    histories, times = look_up(model.folder, "words", word, _shard_of(word, model.bits), 2)
+    histories, times = look_up(model, "words", word, _shard_of(word, model.bits), 2)
     base = np.log10((times + BASE_PRIOR) / (model.n_tokens + BASE_PRIOR * (model.n_words + 1)))
     lower = np.maximum(0, histories - model.word_discounts[np.minimum(histories, 3)]) / max(1, model.n_pairs) + model.unknown
     key, at, of_pair = np.unique(pair_key(history, token), return_index=True, return_inverse=True)
     h = history[at]
-    count = look_up(model.folder, "pairs", key, pair_shard(h, key, model.hot, model.bits), 1)[0]
+    count = look_up(model, "pairs", key, pair_shard(h, key, model.hot, model.bits), 1)[0]
     own, of_own = np.unique(h, return_inverse=True)
-    stats = look_up(model.folder, "histories", own, _shard_of(own, model.bits), 4)
+    stats = look_up(model, "histories", own, _shard_of(own, model.bits), 4)
     hot = _is_in(own, model.hot)
     stats[:, hot] = model.hot_totals[:, np.searchsorted(model.hot, own[hot])]
     d = model.pair_discounts

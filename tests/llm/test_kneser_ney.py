@@ -112,3 +112,36 @@ def test_no_training_rows(spark):
 
 def test_discounts_stay_in_range():
     assert (k.discounts(np.array([10, 20, 1, 50])) <= [0, 1, 2, 3]).all() and (k.discounts(np.array([10, 20, 1, 50])) >= 0).all()
+
+
+@pytest.mark.parametrize("partitions", [4, 200])
+@pytest.mark.parametrize("texts", [["a b c", "b c"], [""], ["x x x x"] * 50, ["one line of text"] * 200, [None, "", "a"]],
+                         ids=["two", "empty", "one word", "copies", "null"])
+def test_small_and_repetitive_tables(spark, texts, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        frame = docs(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]).coalesce(1)
+        compare(k.with_scores(frame, k.train(frame)).collect(), Plain(texts), dict(enumerate(texts)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_missing_shard_raises(spark):
+    frame = docs(spark, [(1, "a b c", "en", "s", 0)])
+    model = k.train(frame)
+    with pytest.raises(Exception, match="No such file"):
+        k.with_scores(frame, model._replace(folder="/nowhere/at/all")).collect()
+
+
+def test_model_folder_is_an_absolute_mounted_path(spark, monkeypatch, tmp_path):
+    from pathlens.llm import common
+
+    for where, want in ((f"file:{tmp_path}", str(tmp_path)), (f"file://{tmp_path}", str(tmp_path)), (str(tmp_path), str(tmp_path)),
+                        (f"file://{tmp_path}/a%20b", f"{tmp_path}/a b")):
+        monkeypatch.setattr(common, "scratch", lambda s, n, where=where: f"{where}/{n}")
+        assert common.mounted(spark, "model") == f"{want}/model" and (tmp_path / "model").is_dir()
+    for where in ("relative", "hdfs://host/x", "file:relative", "s3a://b/x"):
+        monkeypatch.setattr(common, "scratch", lambda s, n, where=where: f"{where}/{n}")
+        with pytest.raises(ValueError, match="mounted folder"):
+            common.mounted(spark, "model")
