@@ -869,14 +869,25 @@ def _folder(spark, name):
 def _raw_csv(spark, sf):
     raw = _folder(spark, "raw")
     for name, df in (("customers", fx.customers(spark, sf)), ("interactions", _i(spark, sf))):
-        _as_text(df).write.option("header", True).csv(f"{raw}/{name}.csv")
+        io.write_csv(df, f"{raw}/{name}.csv")
     return raw
 
 
+def _processed_csv(spark, sf):
+    out = _folder(spark, "processed")
+    for name, make in (("customer_journeys", _journeys), ("touchpoint_analysis", _analysis),
+                       ("customer_segments", _segments), ("time_series_data", _series)):
+        io.write_csv(make(spark, sf), f"{out}/{name}.csv")
+    return out
+
+
 def _loaded(name):
     def run(spark, sf):
         target = _folder(spark, "loaded")
-        io.load_all(spark, _raw_csv(spark, sf), f"{target}/none", target=target)
+        base = name in ("customers", "interactions")
+        raw, processed = (_raw_csv(spark, sf), f"{target}/none") if base else (f"{target}/none", _processed_csv(spark, sf))
+        loaded = io.load_all(spark, raw, processed, target=target, rejects=f"{target}/rejects")
+        assert name in loaded and io.rejected_counts(spark, f"{target}/rejects").isEmpty()
         return io.read_derived(spark, target, name)
     return run
 
@@ -888,6 +899,27 @@ _LOADED_INTERACTIONS = """
 select interaction_id, cast(customer_id as varchar) customer_id, touchpoint, "timestamp", session_duration_minutes,
        pages_viewed, action_taken, revenue, campaign_id"""
 register("load_all_interactions", O.with_base(_LOADED_INTERACTIONS + " from interactions"))(_loaded("interactions"))
+register("load_all_journeys", O.with_base(
+    "select * replace (cast(customer_id as varchar) as customer_id) from customer_journeys"))(_loaded("customer_journeys"))
+register("load_all_touchpoint_analysis", O.with_base("select * from touchpoint_analysis"))(_loaded("touchpoint_analysis"))
+register("load_all_time_series", O.with_base("select * from time_series_data"))(_loaded("time_series_data"))
+register("load_all_segments", O.with_base(
+    _LOADED_CUSTOMERS + """, total_interactions, total_revenue, unique_touchpoints_used, avg_session_duration,
+       first_interaction, last_interaction, recency_days, frequency_score, monetary_score, recency_score
+from customer_segments"""))(_loaded("customer_segments"))
+
+
+def _derived_csv(spark, sf):
+    """A derived table kept as CSV."""
+    base = _folder(spark, "derived")
+    io.write_csv(_journeys(spark, sf), f"{base}/customer_journeys")
+    return io.read_derived(spark, base, "customer_journeys", fmt="csv")
+
+
+register("read_derived_journeys", O.with_base(
+    "select * replace (cast(customer_id as varchar) as customer_id) from customer_journeys"))(_derived_csv)
+
+
 register("read_raw_interactions", O.with_base(_LOADED_INTERACTIONS + " from interactions"))(
     lambda spark, sf: io.read_raw(spark, _raw_csv(spark, sf))[1])
 
@@ -910,6 +942,17 @@ register("warehouse_customer_segments", O.with_base(
 from customer_segments"""))(_warehouse("customer_segments"))
 
 
+def _created(spark, sf):
+    """Fixed-schema tables made in a database, one filled by an append."""
+    database = f"pathlens_{uuid.uuid4().hex[:8]}"
+    io.create_tables(spark, database, ["touchpoint_analysis", "realtime_interactions"])
+    io.write_table(_analysis(spark, sf), f"{database}.touchpoint_analysis", "WRITE_APPEND")
+    return spark.table(f"{database}.touchpoint_analysis")
+
+
+register("create_tables_touchpoints", O.with_base("select * from touchpoint_analysis"))(_created)
+
+
 def _warehouse_sql(spark, sf):
     """SQL over the tables that the batch job registered in a catalog database."""
     database = f"pathlens_{uuid.uuid4().hex[:8]}"

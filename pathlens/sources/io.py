@@ -1,7 +1,11 @@
 """Reading and writing tables.
 
-Raw CSV is read as text with a header and converted by column name (no schema
-inference pass over the data). Tables are written as Parquet, either to a path
+Raw CSV is RFC 4180: fields may be quoted, a quote inside is doubled, quoted fields may hold
+commas and newlines. It is read as text with a header and converted by column name (no schema
+inference pass over the data). A record whose number of fields differs from the header's is
+rejected: it goes to a reject table, with its text and file, or raises where none is named. As
+a quoted newline can be anywhere, a file is one task's work; give large tables as folders of
+many files. Tables are written as Parquet, either to a path
 or as catalog tables; the fixed schemas of ``pathlens.schemas`` are enforced on
 write. Large tables can be partitioned by date for pruning.
 """
@@ -28,25 +32,84 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+NULL_FIELD = "\0null\0"       # what the reader takes for an unquoted empty field, so that "" stays empty text
+CORRUPT = "_corrupt_record"
+
+
+def csv_columns(spark: SparkSession, path: str) -> list[str]:
+    """The header of a CSV file (of the first file of a folder)."""
+    return spark.read.options(**CSV_OPTIONS).csv(path).columns
+
+
+def _csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """All records as text columns, plus the raw text of those that do not fit the header and
+    the file they are in."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*csv_columns(spark, path), CORRUPT]])
+    # unpruned: fields are counted whichever columns a query takes
+    rows = (spark.read.options(**CSV_OPTIONS).schema(schema).option("mode", "PERMISSIVE").option("columnPruning", "false").option("nullValue", NULL_FIELD)
+            .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    # the reader refuses queries of the corrupt records alone, so a field is looked at, too
+    read = F.length(F.coalesce(F.col(f"`{schema.names[0]}`"), F.lit(""))) >= 0
+    return rows.where(read).withColumn("_file", F.input_file_name())
+
+
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, every column as text (the schema is applied by name afterwards)."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """Header CSV, every column as text (the schema is applied by name afterwards); a record that
+    does not fit the header raises when it is read."""
+    rows = _csv_records(spark, path)
+    refused = F.raise_error(F.concat(F.lit("record does not fit the header of "), F.col("_file"), F.lit(": "), F.col(CORRUPT)))
+    checked = rows.where(F.when(F.col(CORRUPT).isNull(), F.lit(True)).otherwise(refused.cast("boolean")))
+    return checked.drop(CORRUPT, "_file")
+
+
+def read_csv_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records as text columns, rejected records): (record, file, reason, rejected_at)."""
+    rows = _csv_records(spark, path)
+    bad = rows.where(F.col(CORRUPT).isNotNull()).select(
+        F.col(CORRUPT).alias("record"), F.col("_file").alias("file"), F.lit("record does not fit the header").alias("reason"),
+        F.current_timestamp().alias("rejected_at"))
+    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file"), bad
 
 
-def read_raw(spark: SparkSession, raw_path: str) -> tuple[DataFrame, DataFrame]:
-    """Customers.csv and interactions.csv; a missing file raises FileNotFoundError."""
+def read_raw(spark: SparkSession, raw_path: str, rejects: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Customers.csv and interactions.csv; a missing file raises FileNotFoundError.
+
+    ``rejects``: folder of the reject tables (one sub-folder per table), written here; without
+    it a record that does not fit its header raises when it is read."""
     out = []
     for name in ("customers", "interactions"):
         p = os.path.join(raw_path, f"{name}.csv")
         if not path_exists(spark, p):
             raise FileNotFoundError(f"{name} data not found at {p}")
-        text = read_csv_text(spark, p)
+        text = _accepted(spark, p, name, rejects)
         known = {f.name for f in SCHEMAS[name].fields}
         extra = [T.StructField(c, T.StringType()) for c in text.columns if c not in known]
         out.append(conform(text, T.StructType([*SCHEMAS[name].fields, *extra])))
     return out[0], out[1]
 
 
+def _accepted(spark: SparkSession, path: str, name: str, rejects: str | None) -> DataFrame:
+    """The records that fit; the others to ``rejects/name``."""
+    if rejects is None:
+        return read_csv_text(spark, path)
+    good, bad = read_csv_split(spark, path)
+    bad.write.mode("append").parquet(os.path.join(rejects, name))
+    return good
+
+
+def rejected_counts(spark: SparkSession, rejects: str) -> DataFrame:
+    """(name, file, reason, records) of the reject tables below ``rejects``."""
+    tables = [spark.read.parquet(p).withColumn("name", F.lit(n)) for n in SCHEMAS if path_exists(spark, p := os.path.join(rejects, n))]
+    if not tables:
+        return spark.createDataFrame([], "name string, file string, reason string, records bigint")
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t)
+    return rows.groupBy("name", "file", "reason").agg(F.count("*").alias("records"))
+
+
 def read_derived(spark: SparkSession, base: str, name: str, fmt: str = "parquet") -> DataFrame:
     """A derived table; a missing one reads as an empty table with its schema."""
     schema = get_table_schema(name)
@@ -76,7 +139,7 @@ def write_table(df: DataFrame, name: str, write_disposition: str = "WRITE_TRUNCA
     """
     mode = WRITE_MODES.get(write_disposition, write_disposition)
     spark = df.sparkSession
-    schema = get_table_schema(name)
+    schema = get_table_schema(name.split(".")[-1].strip("`"))
     out = conform(df, schema) if schema.fields else df
     if "date" in (partition_by or []) and "date" not in out.columns:
         out = out.withColumn("date", F.to_date("timestamp"))
@@ -99,11 +162,17 @@ def write_table(df: DataFrame, name: str, write_disposition: str = "WRITE_TRUNCA
         w.saveAsTable(name)
 
 
-def load_csv(spark: SparkSession, csv_path: str, name: str,
-             write_disposition: str = "WRITE_TRUNCATE", path: str | None = None) -> None:
-    """Header CSV -> typed table (no inference)."""
-    write_table(conform(read_csv_text(spark, csv_path), get_table_schema(name)), name,
-                write_disposition, path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Header CSV as ``read_csv_text`` reads it: every value survives, null and empty text apart."""
+    text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    text.write.mode(mode).options(header="true", quote='"', escape='"', emptyValue='""', nullValue="",
+                                  ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+
+
+def load_csv(spark: SparkSession, csv_path: str, name: str, write_disposition: str = "WRITE_TRUNCATE",
+             path: str | None = None, rejects: str | None = None) -> None:
+    """Header CSV -> typed table (no inference); ``rejects`` as in ``read_raw``."""
+    write_table(conform(_accepted(spark, csv_path, name, rejects), get_table_schema(name)), name, write_disposition, path)
 
 
 def _pick(spark: SparkSession, base: str, stem: str) -> str | None:
@@ -115,11 +184,11 @@ def _pick(spark: SparkSession, base: str, stem: str) -> str | None:
 
 
 def load_all(spark: SparkSession, raw_path: str, processed_path: str,
-             target: str | None = None) -> list[str]:
+             target: str | None = None, rejects: str | None = None) -> list[str]:
     """Load the six tables, preferring ``_clean`` files; returns the tables loaded.
 
     ``target``: folder for path-based tables (one sub-folder per table); default
-    catalog tables.
+    catalog tables. ``rejects`` as in ``read_raw``.
     """
     jobs = [("customers", raw_path, "customers"), ("interactions", raw_path, "interactions"),
             ("customer_journeys", processed_path, "customer_journeys"),
@@ -131,8 +200,7 @@ def load_all(spark: SparkSession, raw_path: str, processed_path: str,
         src = _pick(spark, base, stem)
         if src is None:
             continue
-        load_csv(spark, src, name, "WRITE_TRUNCATE",
-                 os.path.join(target, name) if target else None)
+        load_csv(spark, src, name, "WRITE_TRUNCATE", os.path.join(target, name) if target else None, rejects)
         loaded.append(name)
     return loaded
 

@@ -349,3 +349,91 @@ def test_parse_live_events_from_record_values(spark):
     assert rows[0].interaction_id == "A1" and str(rows[0].timestamp) == "2024-01-05 10:00:00"
     assert rows[0].revenue == 2.5 and rows[0].pages_viewed is None
     assert rows[1].interaction_id is None
+
+
+AWKWARD = ['say "hi"', "a,b;c", "two\nlines", "tab\there", " padded ", "", None, '"', '""', "\\", 'end\\"', "é 漢字 🙂", "NULL", "#x", "a\r\nb", '{"a": 1, "b": {"c": "d"}}',
+           "'single'", ",", "\n"]
+
+
+def _awkward_table(schema):
+    """A row per awkward text, in every text column; the other columns plain, some null."""
+    import datetime
+    from pyspark.sql import types as T
+    plain = {T.LongType(): lambda i: i * 7, T.DoubleType(): lambda i: i + 0.25, T.BooleanType(): lambda i: i % 2 == 0,
+             T.DateType(): lambda i: datetime.date(2024, 1, 1 + i), T.TimestampType(): lambda i: dt.datetime(2024, 1, 1 + i, 2, 3, 4)}
+    rows = []
+    for i in range(len(AWKWARD)):
+        rows.append(tuple(AWKWARD[(i + k) % len(AWKWARD)] if isinstance(f.dataType, T.StringType)
+                          else None if f.nullable and (i + k) % 5 == 0 else plain[f.dataType](i) for k, f in enumerate(schema.fields)))
+    return rows
+
+
+def _key(rows):
+    return sorted(map(repr, rows))
+
+
+def test_all_six_tables_come_back_from_pandas_and_spark_csv(spark, tmp_dir):
+    from pathlens.schemas import SCHEMAS
+    from pyspark.sql import types as T
+    names = [n for n in SCHEMAS if n != "realtime_interactions"]
+    for writer in ("pandas", "spark"):
+        raw, processed, target, bad = (os.path.join(tmp_dir, writer, x) for x in ("raw", "processed", "out", "rejects"))
+        os.makedirs(raw), os.makedirs(processed)
+        want = {}
+        for name in names:
+            rows = want[name] = _awkward_table(SCHEMAS[name])
+            folder = raw if name in ("customers", "interactions") else processed
+            if writer == "pandas":
+                frame = pd.DataFrame(rows, columns=SCHEMAS[name].names, dtype=object)
+                frame.to_csv(f"{folder}/{name}.csv", index=False)
+                # pandas writes null and empty text alike
+                want[name] = [tuple(None if x == "" else x for x in r) for r in rows]
+            else:
+                schema = T.StructType([T.StructField(f.name, f.dataType) for f in SCHEMAS[name].fields])
+                io.write_csv(spark.createDataFrame(rows, schema), f"{folder}/{name}.csv")
+        assert io.load_all(spark, raw, processed, target, rejects=bad) == names
+        assert io.rejected_counts(spark, bad).count() == 0
+        for name in names:
+            got = io.read_derived(spark, target, name)
+            assert got.columns == SCHEMAS[name].names
+            assert _key(map(tuple, got.collect())) == _key(want[name]), (writer, name)
+
+
+def test_pandas_default_csv(spark, tmp_dir):
+    """The reference's way: ``to_csv(index=False)``; null and empty text both read as null."""
+    frame = pd.DataFrame({"customer_id": ["C1", "C2", "C3"], "journey_path": ["a -> b", 'q "x", y', "l1\nl2"],
+                          "touchpoint_counts": ['{"a": 1, "b": 2}', "", None], "total_revenue": [1.5, None, 3.0]})
+    os.makedirs(os.path.join(tmp_dir, "p"))
+    frame.to_csv(os.path.join(tmp_dir, "p", "customer_journeys.csv"), index=False)
+    io.load_all(spark, os.path.join(tmp_dir, "none"), os.path.join(tmp_dir, "p"), target=os.path.join(tmp_dir, "t"))
+    got = {r.customer_id: r for r in io.read_derived(spark, os.path.join(tmp_dir, "t"), "customer_journeys").collect()}
+    assert got["C1"].touchpoint_counts == '{"a": 1, "b": 2}' and got["C2"].journey_path == 'q "x", y'
+    assert got["C3"].journey_path == "l1\nl2" and got["C2"].touchpoint_counts is None and got["C3"].total_revenue == 3.0
+
+
+def test_crlf_files_and_folders_of_files(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "interactions.csv")
+    os.makedirs(folder)
+    for n in range(3):
+        with open(os.path.join(folder, f"part-{n}.csv"), "w", newline="") as f:
+            f.write(f'interaction_id,customer_id,action_taken\r\nI{n},C1,"x, ""y"""\r\nJ{n},C2,"two\nlines"\r\n')
+    rows = io.read_csv_text(spark, folder).collect()
+    assert sorted((r.interaction_id, r.action_taken) for r in rows) == sorted(
+        [(f"I{n}", 'x, "y"') for n in range(3)] + [(f"J{n}", "two\nlines") for n in range(3)])
+
+
+def test_records_that_do_not_fit_are_kept_apart(spark, tmp_dir):
+    raw = os.path.join(tmp_dir, "raw")
+    os.makedirs(raw)
+    with open(f"{raw}/customers.csv", "w") as f:
+        f.write("customer_id,city\nC1,Paris\n")
+    with open(f"{raw}/interactions.csv", "w") as f:
+        f.write('interaction_id,customer_id,action_taken\nI1,C1,"a\nb"\nI2,C1\nI3,C1,x,y\n"I4","C2","z"\n')
+    bad = os.path.join(tmp_dir, "bad")
+    c, i = io.read_raw(spark, raw, rejects=bad)
+    assert sorted(r.interaction_id for r in i.collect()) == ["I1", "I4"] and c.count() == 1
+    [counts] = io.rejected_counts(spark, bad).collect()
+    assert (counts["name"], counts["records"]) == ("interactions", 2) and counts["file"].endswith("interactions.csv")
+    assert sorted(r.record for r in spark.read.parquet(f"{bad}/interactions").collect()) == ["I2,C1", "I3,C1,x,y"]
+    with pytest.raises(Exception, match="does not fit the header"):
+        io.read_raw(spark, raw)[1].collect()
