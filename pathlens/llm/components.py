@@ -68,22 +68,34 @@ def _joined_up(edges: DataFrame) -> DataFrame:
     return edges.repartition("a").mapInArrow(_union_find, edges.schema)
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most, and to a node that has none: stars."""
+    nodes = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(
+        edges.select("b", F.lit(0), F.lit(1)))
+    seen = nodes.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return seen.where((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).isEmpty()
+
+
+def _downward(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
+
+
+def partial_roots(edges: DataFrame, name: str = "partial", rounds: int = 1) -> DataFrame:
+    """(node, root) after ``rounds`` steps: nodes of equal root are of one component, though a
+    component may still have several roots."""
+    edges = written(_joined_up(_downward(edges)), f"{name}-0")
+    for n in range(1, rounds + 1):
+        edges = written(_joined_up(_large_star(edges)), f"{name}-{n}")
+    return edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of every node of ``edges`` (columns a and b, of one orderable type): root is
     the least node of its component. Each round is written, so a lost executor costs one round;
-    it ends when a round leaves the edges as they were."""
-    def summary(df):
-        return tuple(df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)))).first())
-
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-    edges = written(_joined_up(edges), f"{name}-0")
-    before, n = summary(edges), 0
-    while before[0]:
+    it ends when all that is left is stars, which another round would leave as they are."""
+    edges, n = written(_joined_up(_downward(edges)), f"{name}-0"), 0
+    while not _is_settled(edges):
         n += 1
         edges = written(_joined_up(_large_star(edges)), f"{name}-{n}")
-        after = summary(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

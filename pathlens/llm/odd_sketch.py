@@ -10,9 +10,9 @@ full sets.
 
 1. Every class is linked to the least class of the bucket that it shares most often; confirmed
    links join classes to components.
-2. Buckets that still hold more than one component are searched across components, sketches only,
-   in blocks of chunks; each component's best pair is confirmed, which joins most of what belongs
-   together (``ROUNDS`` times).
+2. Buckets that still hold more than one component (or part of one) are searched across components,
+   sketches only, in blocks of chunks; each component's best pair is confirmed, which joins most of
+   what belongs together (``ROUNDS`` times).
 3. Classes that still have a passing partner in another component are grouped, and their full sets
    compared in blocks, all pairs whose sketches pass: the exact way for what is left.
 
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, utf8, written
-from .components import components
+from .components import components, partial_roots
 from .jaccard_join import choose_bands, keyed
 from .words import NON_SPACE, Words, mix, ngrams, words
 
@@ -51,7 +51,7 @@ BITS = 2048
 SIGMAS = 5
 CHUNK = 1024                    # classes in a chunk of a bucket, sketches
 CHUNK_SETS = 512                # classes in a chunk of a group, full sets
-ROUNDS = 2
+ROUNDS = 1
 
 NODE = "struct<set1:bigint,set2:bigint>"
 SKETCH_SCHEMA = f"doc_id bigint, digest bigint, node {NODE}, n_shingles bigint, buckets array<bigint>, odd binary"
@@ -359,16 +359,17 @@ def linked_edges(docs: DataFrame, sketch: DataFrame, classes: DataFrame) -> Data
     best = often.groupBy("node").agg(F.max(F.struct("times", "least")).alias("best"))
     edges = _confirm(docs, classes, _star_places(written(best.select(F.col("node").alias("a"), F.col("best.least").alias("hub")), "odd-pairs")), "odd-0")
     for n in range(1, ROUNDS + 1):
-        roots = written(components(edges, f"odd-components-{n}"), "odd-roots")
+        roots = written(partial_roots(edges, f"odd-parts-{n}"), "odd-roots")
         found = _blocked(_open(star, classes, roots, f"odd-{n}"), _best_pairs(most), f"label bigint, differing bigint, a {NODE}, b {NODE}")
         pairs = written(found.groupBy("label").agg(F.min(F.struct("differing", "a", "b")).alias("best"))
                         .select(F.greatest("best.a", "best.b").alias("a"), F.least("best.a", "best.b").alias("hub")).distinct(), "odd-pairs")
         more = _confirm(docs, classes, _star_places(pairs), f"odd-{n}")
-        if more.isEmpty():
-            break
-        edges = edges.unionAll(more)
-    roots = written(components(edges, "odd-components"), "odd-roots")
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(edges).unionAll(more)
+    roots = written(partial_roots(edges, "odd-parts"), "odd-roots")
     left = written(_blocked(_open(star, classes, roots, "odd-left"), _passing_groups(most), f"a {NODE}, b {NODE}"), "odd-left")
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(edges)
+    if left.isEmpty():
+        return edges
     groups = written(components(left, "odd-groups").withColumnRenamed("root", "grp"), "odd-grouped")
     sizes = written(groups.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK_SETS).alias("parts")), "odd-sizes")
     members = groups.join(sizes, "grp").join(roots, "node", "left")
