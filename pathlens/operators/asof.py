@@ -6,7 +6,10 @@ matches at most one reading through a plain equi-join (no per-event aggregation)
 * each reading is valid from its time until the next reading of the same key,
   and at most ``tolerance`` after its time: a set of disjoint intervals per key;
 * time is cut into buckets of width ``tolerance``; an interval covers at most two
-  buckets, so each reading is copied into those (the factor side grows by <= 2x);
+  buckets, so each reading is copied into those (the factor side grows by 2x). What ends
+  an interval for the events of a bucket is in that bucket, too, so the readings of a
+  (key, bucket) find their ends among themselves: one aggregation, whose partitioning
+  the join needs anyway;
 * events join on (key, bucket) plus the interval bounds. Unmatched events stay.
 
 ``prepare`` builds the interval table (``Intervals``); it can be written to the
@@ -22,9 +25,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 @dataclass(frozen=True)
 class Intervals:
     """Validity intervals of readings, keyed by (key columns, time bucket)."""
@@ -50,23 +54,14 @@ def prepare(readings: DataFrame, *, reading_time: str = "factor_time",
     r = readings.select(*[F.col(c).alias(k) for c, k in zip(by, keys)],
                         F.col(reading_time).alias("__rt"),
                         F.struct(*[F.col(v).alias(o) for v, o in values]).alias("__v"))
-    # one reading per (key, time); duplicates resolve to the greatest value
-    r = r.groupBy(*keys, "__rt").agg(F.max("__v").alias("__v"))
-    # next reading of the same key, without sorting a whole series in one task:
-    # inside (key, day) partitions by a window, and for each day's last reading the
-    # first reading of the next day that has one (a small per-day table)
-    r = r.withColumn("__day", F.floor(F.unix_micros("__rt") / F.lit(86_400_000_000)))
-    in_day = F.lead("__rt").over(Window.partitionBy(*keys, "__day").orderBy("__rt"))
-    days = r.groupBy(*keys, "__day").agg(F.min("__rt").alias("__first"))
-    days = days.select(*keys, "__day", F.lead("__first").over(
-        Window.partitionBy(*keys).orderBy("__day")).alias("__next_day"))
-    rt_us = F.unix_micros("__rt")
-    r = (r.withColumn("__in_day", in_day)
-         .join(days, [*keys, "__day"], "left")
-         .select(*keys, "__rt", "__v",
-                 F.coalesce("__in_day", "__next_day").alias("__next"))
-         .withColumn("__bucket", F.explode(F.sequence(
-             F.floor(rt_us / width), F.floor((rt_us + F.lit(width)) / width)))))
+    bucket = F.floor(F.unix_micros("__rt") / width)
+    r = r.where(F.col("__rt").isNotNull()).withColumn("__bucket", F.explode(F.array(bucket, bucket + 1)))
+    # equal readings are dropped map-side; of several at one time the greatest value counts, as
+    # the others end where they begin
+    r = r.groupBy(*keys, "__bucket").agg(F.array_sort(F.collect_set(F.struct("__rt", "__v"))).alias("__readings"))
+    ends = F.transform("__readings", lambda x, i: F.struct(
+        x["__rt"].alias("__rt"), x["__v"].alias("__v"), F.get("__readings", i + 1)["__rt"].alias("__next")))
+    r = r.select(*keys, "__bucket", F.inline(ends))
     return Intervals(r, keys, tuple(o for _, o in values), tolerance_seconds)
 
 

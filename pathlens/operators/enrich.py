@@ -8,6 +8,8 @@ Every step is a left join: no interaction is ever dropped (J9).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,3 +110,30 @@ def enrich(events: DataFrame, *, customers: DataFrame | None, weather: DataFrame
     e = enrich_news(e, news)
     e = enrich_economic(e, economic)
     return enrich_geo(e, facts)
+
+
+TOLERANCES = {"weather": config.FACTOR_TOLERANCE_SECONDS, "market": config.FACTOR_TOLERANCE_SECONDS,
+              "news": NEWS_TOLERANCE_SECONDS, "economic": ECONOMIC_TOLERANCE_SECONDS}
+
+
+def pruned(tables: dict[str, DataFrame], events: DataFrame) -> dict[str, DataFrame]:
+    """The arguments of ``enrich`` with only the readings that can match ``events``: those from the
+    tolerance before the first event up to the last. The bounds are literals, so they reach the
+    scan, and with a ``date`` column (a date-partitioned table) only those days are read: a
+    micro-batch costs the same however long the history of readings is."""
+    if not set(tables) & set(TOLERANCES):
+        return tables
+    ends = events.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).first()
+    if ends["last"] is None:
+        return {name: t.limit(0) if name in TOLERANCES and isinstance(t, DataFrame) else t for name, t in tables.items()}
+    out = dict(tables)
+    for name, seconds in TOLERANCES.items():
+        readings = tables.get(name)
+        if not isinstance(readings, DataFrame):
+            continue                    # prepared intervals
+        first, last = ends["first"] - dt.timedelta(seconds=seconds), ends["last"]
+        kept = readings.where((F.col("factor_time") >= F.lit(first)) & (F.col("factor_time") <= F.lit(last)))
+        if "date" in readings.columns:
+            kept = kept.where(F.col("date").between(F.lit(first.date()), F.lit(last.date())))
+        out[name] = kept
+    return out

@@ -973,8 +973,8 @@ def _sink(spark, sf):
     out = _folder(spark, "realtime")
     ST.finish(ST.write_realtime(_stream(spark, sf), out, _folder(spark, "realtime-ckpt"), customers=fx.customers(spark, sf),
                                 available_now=True))
-    return spark.read.parquet(out).withColumn("processed_timestamp", F.col("processed_timestamp").isNotNull()) \
-        .withColumnRenamed("processed_timestamp", "processed")
+    return (ST.live.realtime_table(spark, out).withColumn("processed_timestamp", F.col("processed_timestamp").isNotNull())
+            .withColumnRenamed("processed_timestamp", "processed").drop("batch_id", "is_late"))
 
 
 register("sink_realtime", O.with_base("""
@@ -982,11 +982,64 @@ select interaction_id, customer_id, touchpoint, "timestamp", revenue, action_tak
        cast("timestamp" as date) date from realtime""", _RT))(_sink)
 
 
+# ----------------------------------------------------------------- live -------
+# The live job over the events in four files, a batch each: in order of time, but for every 50th event,
+# which comes with the last file and so behind the watermark.
+
+def _live(spark, sf, factors=False):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    base, src = _folder(spark, "live"), _folder(spark, "live-events")
+    late = F.col("event_id") % 50 == 0
+    rows = fx.table(spark, sf, "events")
+    ends = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(ends["a"]).cast("timestamp"))) * 4
+                   / (F.unix_micros(F.lit(ends["b"]).cast("timestamp")) - F.unix_micros(F.lit(ends["a"]).cast("timestamp")) + 1))
+    files = rows.withColumn("n", F.when(late, 3).otherwise(part)).repartition(4, "n")
+    files.write.partitionBy("n").parquet(f"{src}/parts")
+    for n in range(4):
+        spark.read.parquet(f"{src}/parts/n={n}").coalesce(1).write.mode("append").parquet(f"{src}/events")
+        ST.live.start_live(ST.read_interactions_stream(spark, f"{src}/events", file_glob="*.parquet", watermark=None), base, f"{base}-ckpt",
+                           factors=(lambda: _tables(spark, sf)) if factors else None, available_now=True).awaitTermination()
+    return base
+
+
+def _live_events(spark, sf):
+    base = _live(spark, sf)
+    late = ST.live.late_events(spark, base).select("interaction_id", F.lit(True).alias("is_late"))
+    return ST.live.events(spark, base).join(late, "interaction_id", "left").select(
+        "interaction_id", "customer_id", "touchpoint", "timestamp", "revenue", F.coalesce("is_late", F.lit(False)).alias("is_late"))
+
+
+_LIVE_PART = """
+placed as (
+  select i.*, case when cast(interaction_id as bigint) % 50 = 0 then 3 else
+    cast(floor((epoch_us("timestamp") - lo) * 4 / (hi - lo + 1)) as bigint) end part
+  from interactions i, (select min(epoch_us("timestamp")) lo, max(epoch_us("timestamp")) hi from interactions)),
+marks as (
+  select p.part, max(case when q.part < p.part then q."timestamp" end) - interval 1 hour mark
+  from (select distinct part from placed) p, (select part, max("timestamp") "timestamp" from placed group by part) q group by p.part)"""
+register("live_events", O.with_base("""
+select p.interaction_id, p.customer_id, p.touchpoint, p."timestamp", p.revenue, coalesce(p."timestamp" < m.mark, false) is_late
+from placed p join marks m on p.part = m.part""", _LIVE_PART))(_live_events)
+
+
+register("live_daily_totals", ORACLES["stream_daily_totals"])(
+    lambda spark, sf: ST.live.live_views(spark, _live(spark, sf))["daily_totals"])
+register("live_weather_impact", ORACLES["weather_impact"])(
+    lambda spark, sf: ST.live.live_snapshot(spark, _live(spark, sf, factors=True), AS_OF_MID)["weather_impact"])
+
+
 # ----------------------------------------------------------------- snapshot ---
 
-def _snapshot(part):
-    return lambda spark, sf: snapshot(_buffer(spark, sf), None, AS_OF_MID)[part]
+def _snapshot(part, factors=False):
+    return lambda spark, sf: snapshot(_buffer(spark, sf), _enriched(spark, sf) if factors else None, AS_OF_MID)[part]
+
 
+for _part, _as in (("weather_impact", "weather_impact"), ("best_weather", "best_weather"), ("market_score", "market_score"),
+                   ("sentiment_impact", "sentiment_impact"), ("sentiment_running_rate", "sentiment_running_rate"),
+                   ("enriched_interactions", "enriched_recent")):
+    register(f"snapshot_{_part}", ORACLES[_as].replace("limit 10", f"limit {config.LATEST_INTERACTIONS}"))(_snapshot(_part, factors=True))
+register("snapshot_conversion_window", ORACLES["conversion_window"])(_snapshot("conversion_window"))
 
 _MID = f"\"timestamp\" <= TIMESTAMP '{AS_OF_MID}' and \"timestamp\" > TIMESTAMP '{AS_OF_MID}' - INTERVAL"
 register("snapshot_minute_trends", O.with_base(f"""

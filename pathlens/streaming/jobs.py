@@ -29,10 +29,10 @@ from .. import config
 from ..functions.scalars import is_conversion
 from ..operators import enrich as EN
 from ..operators import impact
-from ..operators.realtime import to_realtime
 from ..session import checkpoint_dir
 from ..sources.fixtures import interactions_from_events
 from ..sources.io import path_exists
+from . import live
 
 DEFAULT_WATERMARK = "1 hour"
 
@@ -53,13 +53,14 @@ def _stamp(s: DataFrame, stamp: bool) -> DataFrame:
 
 
 def read_interactions_stream(spark: SparkSession, folder: str, file_glob: str = "events*.parquet",
-                             watermark: str = DEFAULT_WATERMARK,
+                             watermark: str | None = DEFAULT_WATERMARK,
                              max_files_per_trigger: int | None = None,
                              stamp_processing_time: bool = False) -> DataFrame:
-    """Interactions stream with event-time watermark, replays dropped by id (H8)."""
+    """Interactions stream with event-time watermark, replays dropped by id (H8). Without a
+    watermark every row comes through, as the sinks of ``live`` need it."""
     s = interactions_from_events(read_events_stream(spark, folder, file_glob, max_files_per_trigger))
-    s = (s.withWatermark("timestamp", watermark)
-         .dropDuplicatesWithinWatermark(["interaction_id"]))
+    if watermark:
+        s = s.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["interaction_id"])
     return _stamp(s, stamp_processing_time)
 
 
@@ -92,22 +93,15 @@ def parse_live_events(records: DataFrame, column: str = "value") -> DataFrame:
             .withColumn("timestamp", F.try_to_timestamp("timestamp")))
 
 
-def _valid():
-    return F.col("interaction_id").isNotNull() & (F.col("interaction_id") != "") & F.col("timestamp").isNotNull()
-
-
-def accepted(records: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+def accepted(records: DataFrame, watermark: str | None = DEFAULT_WATERMARK) -> DataFrame:
     """The events with id and time, replays dropped by id within the watermark."""
-    return (records.where(_valid()).drop("record").withWatermark("timestamp", watermark)
-            .dropDuplicatesWithinWatermark(["interaction_id"]))
+    events = records.where(live.valid()).drop("record")
+    return events.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["interaction_id"]) if watermark else events
 
 
 def rejected(records: DataFrame) -> DataFrame:
     """The records without id or time: (record, reason, rejected_at)."""
-    reason = (F.when(F.col("interaction_id").isNull() & F.col("timestamp").isNull(), F.lit("not a live event"))
-              .when(F.col("timestamp").isNull(), F.lit("no valid timestamp")).otherwise(F.lit("no interaction_id")))
-    return records.where(~_valid()).select("record", reason.alias("reason"),
-                                           F.current_timestamp().alias("rejected_at"))
+    return live.rejected_records(records)
 
 
 def write_rejected(records: DataFrame, path: str, checkpoint: str,
@@ -119,7 +113,7 @@ def write_rejected(records: DataFrame, path: str, checkpoint: str,
 
 
 def read_live_events_stream(spark: SparkSession, folder: str, fmt: str = "json",
-                            watermark: str = DEFAULT_WATERMARK,
+                            watermark: str | None = DEFAULT_WATERMARK,
                             max_files_per_trigger: int | None = None,
                             stamp_processing_time: bool = False) -> DataFrame:
     """S10 for upstream live events: the accepted ones. Run ``write_rejected`` over
@@ -128,18 +122,25 @@ def read_live_events_stream(spark: SparkSession, folder: str, fmt: str = "json",
     return _stamp(accepted(records, watermark), stamp_processing_time)
 
 
+def read_live_records_kafka(spark: SparkSession, servers: str, topic: str, starting_offsets: str = "latest") -> DataFrame:
+    """Live-event records of a Kafka topic (needs the Spark Kafka connector): ``record`` and the
+    parsed columns, as ``read_live_records`` gives them. ``live.start_live`` over them stores the
+    events, the late ones and those that are rejected."""
+    raw = (spark.readStream.format("kafka")
+           .option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+           .option("startingOffsets", starting_offsets).load())
+    return parse_live_events(raw)
+
+
 def read_live_events_kafka(spark: SparkSession, servers: str, topic: str,
-                           watermark: str = DEFAULT_WATERMARK,
+                           watermark: str | None = DEFAULT_WATERMARK,
                            starting_offsets: str = "latest") -> DataFrame:
-    """S10 from a Kafka topic of live-event JSON (needs the Spark Kafka connector).
+    """S10 from a Kafka topic of live-event JSON: the accepted events.
 
     Offsets are tracked in the query checkpoint, so a restarted or failed query
     resumes without loss; replays are dropped by id within the watermark.
     """
-    raw = (spark.readStream.format("kafka")
-           .option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-           .option("startingOffsets", starting_offsets).load())
-    return accepted(parse_live_events(raw), watermark)
+    return accepted(read_live_records_kafka(spark, servers, topic, starting_offsets), watermark)
 
 
 MINUTE_KEYS = ("minute", "touchpoint", "customer_id")
@@ -253,7 +254,7 @@ def start_enriched(stream: DataFrame, tables: FactorTables, path: str, checkpoin
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         out = _folder(path, batch_id)
-        EN.enrich(batch, **tables()).write.mode("overwrite").parquet(out)
+        EN.enrich(batch, **EN.pruned(tables(), batch)).write.mode("overwrite").parquet(out)
         if impact_path:
             rows = batch.sparkSession.read.parquet(out)
             impact.partial_impact(rows).write.mode("overwrite").parquet(_folder(impact_path, batch_id))
@@ -286,28 +287,14 @@ def run_enriched(stream: DataFrame, tables: FactorTables, name: str = "enriched"
     return out, sums
 
 
-def write_realtime(stream: DataFrame, path: str, checkpoint: str,
-                   customers: DataFrame | None = None,
-                   interval_seconds: int = config.STREAM_INTERVAL_SECONDS,
-                   available_now: bool = False, partition_by_date: bool = True) -> StreamingQuery:
-    """Real-time records to a Parquet table every ``interval_seconds``.
-
-    ``checkpoint`` is the sink's own folder and must stay the same over restarts: with
-    it the sink is exactly-once, a failed batch is retried and a restarted sink goes on
-    where it stopped. Files are partitioned by event date for pruning.
-    """
-    rt = to_realtime(stream, customers)
-    if partition_by_date:
-        rt = rt.withColumn("date", F.to_date("timestamp"))
-    w = (rt.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint))
-    if partition_by_date:
-        w = w.partitionBy("date")
-    w = w.trigger(availableNow=True) if available_now \
-        else w.trigger(processingTime=f"{interval_seconds} seconds")
+def write_realtime(stream: DataFrame, path: str, checkpoint: str, customers: live.Customers = None,
+                   interval_seconds: int = config.STREAM_INTERVAL_SECONDS, available_now: bool = False,
+                   late_path: str | None = None) -> StreamingQuery:
+    """Real-time records to a Parquet table by date every ``interval_seconds``; see
+    ``live.write_realtime``, which keeps late events in a table of their own."""
     if available_now:
         stream.sparkSession.conf.set(PROGRESS, ALL_BATCHES)
-    return w.start(path)
+    return live.write_realtime(stream, path, checkpoint, customers, interval_seconds, available_now, late_path)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
