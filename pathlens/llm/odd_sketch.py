@@ -346,7 +346,7 @@ def _open(star: DataFrame, classes: DataFrame, roots: DataFrame, name: str) -> D
 
 
 def _blocked(blocks: DataFrame, run, schema: str) -> DataFrame:
-    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
+    return blocks.repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, schema)
 
 
 def linked_edges(docs: DataFrame, sketch: DataFrame, classes: DataFrame) -> DataFrame:

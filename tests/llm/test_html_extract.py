@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 from helpers import SF
 
@@ -93,3 +94,37 @@ def test_awkward_rows(spark):
     got = sorted((repr(r["page_id"]), r["text"][:7]) for r in out.collect())
     assert got == [("1", ""), ("2", ""), ("3", "Title 1"), ("3", "Title 1"), ("None", "Title 0")]
     assert h.with_main_text(frame.limit(0), h.train(frame.limit(0))).count() == 0
+
+
+def test_names_of_pages_and_parts_of_names_condemn_nothing(spark):
+    trained = h.train(table(spark, "/root/testdata/sf0.01", "pages"))
+    body = f"<h1>Head line</h1><p>{WORDS}</p><p>{WORDS} again</p>"
+    for page in (f"<body class='has-sidebar'><div class=content>{body}</div></body>", f"<body class='page no-comments'><article>{body}</article></body>",
+                 f"<body><main id='share-article'>{body}</main></body>", f"<body><article class='post category-social-media'>{body}</article></body>",
+                 f"<body><div class='widget'><main>{body}</main></div></body>", f"<div class='with-sidebar'><section class='related-work'>{body}</section></div>",
+                 f"<article><header><h1>Head line</h1></header><p>{WORDS}</p><p>{WORDS} again</p></article><footer>no</footer>"):
+        for w in (weights(), trained):
+            assert h.main_text(page, w) == f"Head line\n{WORDS}\n{WORDS} again", page
+
+
+def test_ends_of_articles_are_kept_and_notices_in_them_left_out(spark):
+    trained = h.train(table(spark, "/root/testdata/sf0.01", "pages"))
+    for tail, want in (("<ul><li>one</li><li>two</li></ul>", "one\ntwo"), ("<table><tr><td>cell</td><td>other</td></tr></table>", "cell\nother"),
+                       ("<ol><li>only</ol>", "only"), ("<blockquote>quoted words</blockquote>", "quoted words")):
+        page = f"<nav><ul><li><a>menu</a></li></ul></nav><article><p>{WORDS}</p>{tail}</article><div class=ad>Buy</div><footer>end of page</footer>"
+        for w in (weights(), trained):
+            assert h.main_text(page, w) == f"{WORDS}\n{want}", tail
+    for inner in ("<p class=notice>We use cookies here</p>", "<span class='advert'>Buy now</span>", "<div class='site-newsletter'>Sign up</div>",
+                  "<aside>by the way</aside>", "<footer>written by someone</footer>", "<section id=comments><article><p>I think so</p></article></section>"):
+        page = f"<article><p>{WORDS}</p>{inner}<p>{WORDS}</p></article>"
+        for w in (weights(), trained):
+            assert h.main_text(page, w) == f"{WORDS}\n{WORDS}", inner
+
+
+def test_a_megabyte_of_open_tags_takes_linear_time():
+    w = weights()
+    for part in ("<div><p>word</p>", "<b>x ", "<ul><li>x", "<i><div><b></i>y ", "<table><td>z</p></i>"):
+        page = part * (1_000_000 // len(part))
+        began = time.time()
+        assert isinstance(h.main_text(page, w), str)
+        assert time.time() - began < 10, part
