@@ -72,6 +72,12 @@ def customer_journeys(interactions: DataFrame, chunk_seconds: int = 3600,
        tallies merged. That step holds one short text and a few tally entries per
        chunk; the final path text is the output itself.
     """
+    return journeys_of(journey_pieces(interactions, chunk_seconds), with_path)
+
+
+def journey_pieces(interactions: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+    """Step 1 of ``customer_journeys``: a row per (customer, time chunk). Pieces of different times
+    can be stored and put together later; with chunks that divide a day none spans two days."""
     i = interactions.where(F.col("customer_id").isNotNull())
     order = F.struct(F.col("timestamp").alias("t"),
                      F.col("interaction_id").cast("string").alias("k"),
@@ -86,14 +92,18 @@ def customer_journeys(interactions: DataFrame, chunk_seconds: int = 3600,
         tp.alias("tp"),
         F.size(F.filter(seq, lambda e: e["tp"] == tp)).alias("n"),
         F.get(F.filter(seq, lambda e: e["tp"] == tp), 0).dropFields("tp").alias("seen")))
-    chunks = (i.groupBy("customer_id", chunk.alias("chunk"))
+    return (i.groupBy("customer_id", chunk.alias("chunk"))
               .agg(F.count("*").alias("n"), F.sum(rev_nan).alias("rev"),
                    F.min(order).alias("first"), F.max(order).alias("last"),
                    F.array_sort(F.collect_list(order)).alias("seq"))
               .select("customer_id", "n", "rev", "first", "last",
                       path_text(F.transform(seq, lambda e: e["tp"])).alias("part"),
                       chunk_tally.alias("tally")))
-    per_customer = (chunks.groupBy("customer_id")
+
+
+def journeys_of(pieces: DataFrame, with_path: bool = True) -> DataFrame:
+    """Step 2 of ``customer_journeys``: the journeys of all pieces."""
+    per_customer = (pieces.groupBy("customer_id")
                     .agg(F.sum("n").alias("total_interactions"),
                          F.sum("rev").alias("total_revenue"),
                          F.min("first").alias("first"), F.max("last").alias("last"),

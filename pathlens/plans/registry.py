@@ -30,6 +30,7 @@ from ..sources import fixtures as fx
 from ..streaming import jobs as ST
 from ..session import scratch_path, written
 from ..sources import io
+from . import incremental as INC
 from . import oracle_sql as O
 from .batch import build_warehouse
 from .snapshot import snapshot
@@ -982,6 +983,25 @@ select interaction_id, customer_id, touchpoint, "timestamp", revenue, action_tak
        cast("timestamp" as date) date from realtime""", _RT))(_sink)
 
 
+# ----------------------------------------------------------------- incremental -
+
+def _incremental(name):
+    """The derived table from partials that were added in three steps of ten days."""
+    def run(spark, sf):
+        base = _folder(spark, "incremental")
+        day = F.to_date("timestamp")
+        for first in (0, 10, 20):
+            start = F.date_add(F.lit("2024-01-01").cast("date"), first)
+            upto = (day < F.date_add(start, 10)) if first < 20 else F.lit(True)
+            INC.add_days(spark, base, _i(spark, sf).where((day >= start) & upto if first else upto))
+        return INC.derived(spark, base, fx.customers(spark, sf), AS_OF, None)[name]
+    return run
+
+
+for _name in ("customer_journeys", "touchpoint_analysis", "customer_segments", "time_series_data"):
+    register(f"incremental_{_name}", O.with_base(f"select * from {_name}"))(_incremental(_name))
+
+
 # ----------------------------------------------------------------- live -------
 # The live job over the events in four files, a batch each: in order of time, but for every 50th event,
 # which comes with the last file and so behind the watermark.
