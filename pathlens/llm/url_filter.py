@@ -8,10 +8,12 @@ Larisch et al., "CRLite", IEEE S&P 2017.
 
 Keys are ``host suffix + path prefix``, cut to the shapes (labels, path length) that the rules
 have. The rules are a parameter held by the driver; every level is in proportion to their number,
-whatever the corpus, so the bits are literals of the plan.
+whatever the corpus, so the bits are literals of the plan. A url's keys are an array that one
+expression runs over, so the plan does not grow with the shapes, and the listed keys leave the
+universe by a join while the cascade is built.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and fits no rule;
-a url that fits no rule gets ``default``; of a key listed both ways block wins; repeated rows are
+very long urls are judged whole; a url that fits no rule gets ``default``; of a key listed both ways block wins; repeated rows are
 judged alike; an empty table gives an empty result; other columns pass through ``judge``, and
 columns named like its results are replaced.
 """
@@ -75,8 +77,8 @@ def build_cascade(universe: DataFrame, listed: Sequence[str], name: str = "casca
     inside = sorted(set(listed))
     if not inside:
         return []
-    unlisted = universe.where(F.col("key").isNotNull() & ~F.col("key").isin(inside)).select("key")
     encoded = spark.createDataFrame([(k,) for k in inside], "key string")
+    unlisted = universe.where(F.col("key").isNotNull()).select("key").join(encoded, "key", "left_anti")
     others, n, n_others = unlisted, len(inside), unlisted.count()
     levels: list[Level] = []
     while n:
@@ -124,10 +126,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, defau
     allow = build_cascade(universe, [h + p for h, p, v in rules if v == "allow"], "url-allow")
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     parts = pages.select(*keep, host.alias("host"), path.alias("path"))
-    fitting = [F.when(in_cascade(k, block), F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit("block").alias("verdict")))
-               .when(in_cascade(k, allow), F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit("allow").alias("verdict")))
-               for k in rule_keys(F.col("host"), F.col("path"), rules)]
-    best = parts.withColumn("_best", F.array_max(F.array(*fitting)))
+    verdict = lambda k: F.when(in_cascade(k, block), F.lit("block")).when(in_cascade(k, allow), F.lit("allow"))
+    keys = F.array(*rule_keys(F.col("host"), F.col("path"), rules))
+    fitting = F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), verdict(k).alias("verdict")))
+    best = parts.withColumn("_best", F.array_max(F.filter(fitting, lambda f: f["verdict"].isNotNull())))
     return best.select(*keep, "host", "path", F.col("_best.rule").alias("rule"),
                        F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))
 

@@ -45,3 +45,30 @@ def test_block_wins_and_empty_inputs(spark):
     assert url_filter.judge(frame, rules).first()["verdict"] == "block"
     assert url_filter.judge(frame, (("b.org", "/", "allow"),), "block").first()["verdict"] == "block"
     assert url_filter.judge(frame.limit(0)).count() == 0
+
+
+def test_long_lists_of_many_shapes(spark):
+    rng = random.Random(4)
+    rules = []
+    for i in range(100_000):
+        labels, length = rng.randrange(1, 7), rng.randrange(1, 6)
+        rules.append((".".join(f"h{rng.randrange(2000)}" for _ in range(labels)), "/" + "".join(rng.choices("abc", k=length - 1)), rng.choice(["block", "allow"])))
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    assert len({(h.count("."), len(p)) for h, p, _ in rules}) == 30
+    urls = []
+    for i in range(3000):
+        h, p, _ = rng.choice(rules)
+        urls.append(f"http://{rng.choice(['', 'www.', 'x'])}{h}{p}{rng.choice(['', 'a', '/b'])}")
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    by_key = {h + p: v for h, p, v in rules}
+
+    def want(url):
+        host, path, _, _ = brute(url, (), "allow")
+        parts = host.split(".")
+        keys = [".".join(parts[-n:]) + path[:k] for n in range(1, min(6, len(parts)) + 1) for k in range(1, 6) if k <= len(path)]
+        best = max(((len(k), k, by_key[k]) for k in keys if k in by_key), default=(0, None, "allow"))
+        return best[1], best[2]
+
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(frame, rules).collect()}
+    assert got == {i: want(u) for i, u in enumerate(urls)}
+    assert sum(v == "block" for _, v in got.values()) > 500
