@@ -86,7 +86,6 @@ LAST_HOUR_HOURS = 1
 # Latest interactions shown.
 LATEST_INTERACTIONS = 20
 # Micro-batch sink defaults: rows per batch and seconds between batches.
-STREAM_BATCH_ROWS = 100
 STREAM_INTERVAL_SECONDS = 30
 
 # ---------------------------------------------------------------------------

@@ -311,7 +311,7 @@ weather as (
          lower(['Clear', 'Clouds', 'Rain', 'Snow'][k % 4 + 1]) weather_description,
          (k % 5) * cast(1.5 as double) wind_speed, cast(1000 + k % 21 as bigint) pressure,
          case when event_id % 7 <> 0 then cast(8 + k % 3 as double) end visibility
-  from (select *, cast(json_extract_string(props, '$.k') as int) k from events where event_type <> 'purchase') e
+  from (select *, cast(json_extract_string(props, '$.k') as int) k from events) e
   join customers c on e.user_id = c.customer_id)""", f"""
 order_days as (
   select cast(o_orderdate as date) d, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) cents, count(*) volume
@@ -513,10 +513,22 @@ from enriched where weather_condition is not null and weather_temperature is not
 # ----------------------------------------------------------------- text -------
 
 
-register("parse_weather", O.with_base("""
-select city, factor_time, temperature, humidity, weather_condition, weather_description,
-       wind_speed, pressure, coalesce(visibility, 0.0) visibility from weather""", *_FACTOR_CTES))(
-    lambda spark, sf: FA.weather_payloads(fx.weather_readings(spark, sf)).select(
+def _weather_payloads(spark, sf):
+    """Stored answers of a provider, as text: at one hour of the day an error in place of JSON, at
+    another one without the station's list of conditions."""
+    answers = FA.weather_payloads(fx.weather_readings(spark, sf))
+    hour = F.hour("factor_time")
+    text = (F.when(hour == 3, F.lit("503 Service Unavailable"))
+            .when(hour == 5, F.regexp_replace("payload", r'"weather":\[[^\]]*\]', '"weather":[]')).otherwise(F.col("payload")))
+    return written(answers.select("city", "factor_time", text.alias("payload")), "payloads")
+
+
+_ANSWERED = lambda c, at="3": f"case when hour(factor_time) not in ({at}) then {c} end {c}"
+register("parse_weather", O.with_base(f"""
+select city, factor_time, {_ANSWERED('temperature')}, {_ANSWERED('humidity')}, {_ANSWERED('weather_condition', '3, 5')},
+       {_ANSWERED('weather_description', '3, 5')}, {_ANSWERED('wind_speed')}, {_ANSWERED('pressure')},
+       case when hour(factor_time) = 3 then 0.0 else coalesce(visibility, 0.0) end visibility from weather""", *_FACTOR_CTES))(
+    lambda spark, sf: _weather_payloads(spark, sf).select(
         "city", "factor_time", TX.parse_weather(F.col("payload")).alias("w")).select(
         "city", "factor_time", "w.*"))
 

@@ -110,11 +110,11 @@ WEATHER_CONDITIONS = ("Clear", "Clouds", "Rain", "Snow")
 
 
 def weather_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station reports: every event but purchases, at its customer's city; some lack visibility."""
+    """Station reports: every event, at its customer's city; some lack visibility."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     k = F.get_json_object("props", "$.k").cast("int")
     condition = F.element_at(F.array(*[F.lit(c) for c in WEATHER_CONDITIONS]), k % 4 + 1)
-    reports = table(spark, sf_dir, "events").where(F.col("event_type") != "purchase")
+    reports = table(spark, sf_dir, "events")
     cities = customers(spark, sf_dir).select("customer_id", "city")
     return (reports.join(cities, reports["user_id"] == cities["customer_id"])
             .select("city", F.col("ts").cast("timestamp").alias("factor_time"),
