@@ -12,7 +12,8 @@ Nothing is dealt by term, so a frequent word or passage costs each shard in prop
 text. Windows travel in blocks of at most about ``BLOCK_WINDOWS``; each block is one pass over
 the stored index.
 
-Defined cases: null or wordless texts have no words and no hits; null or wordless items have no
+Defined cases: null or wordless texts have no words and no hits; very long texts are indexed whole,
+in a shard of their own; null or wordless items have no
 window; items of equal id are one item and a null item_id counts as an empty string; repeated
 document rows each give a row; an empty table on either side gives no match; other columns of the
 documents pass through ``drop_contaminated``.

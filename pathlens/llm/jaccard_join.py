@@ -7,7 +7,7 @@ which groups all candidates without emitting pairs. Groups are then verified on
 shingle sets, in blocks of pairs of chunks: a block is one bounded task whatever the group's size,
 and it returns a row per class (number of links, least linked class), never a row per pair.
 
-Defined cases: a null text counts as empty; a text of fewer than ``n`` words is one shingle, a
+Defined cases: a null text counts as empty; very long texts are taken whole, a set is one array; a text of fewer than ``n`` words is one shingle, a
 text without words is one shingle of its whole self, so equal ones (the empty ones, too) are
 copies; repeated rows are copies of each other; a class is named by its least doc_id (null last);
 columns beside doc_id and text pass through ``drop_near_duplicates``; an empty table gives an

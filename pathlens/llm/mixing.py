@@ -3,7 +3,7 @@
 Word totals per source give each source a target and a repetition rate; a document is emitted
 floor(rate) times, and once more when its hash-seeded uniform draw falls below the fraction.
 
-Defined cases: a null text has size 0; a null source is a source of its own, ranked last; a
+Defined cases: a null or empty text has size 0, very long texts count whole; a null source is a source of its own, ranked last; a
 null doc_id draws like an empty one; rows equal in doc_id and text draw alike; an empty table
 gives an empty result. Columns beside doc_id, text and source pass through ``mix`` unchanged; what
 the plan adds is kept in one struct, and only a column named like ``copy_column`` is replaced.

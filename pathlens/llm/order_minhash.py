@@ -8,7 +8,7 @@ tuple of their k-mers is hashed to 16 bits. Moving a passage changes the order w
 the share of equal slots falls with edit distance, not only with changed content. A bin that
 stays empty copies the first filled bin of a fixed random sequence of its own.
 
-Defined cases: a null text counts as empty; an empty text has the fingerprint of 64 zero slots and
+Defined cases: a null text counts as empty; very long texts are taken whole, k-mer by k-mer; an empty text has the fingerprint of 64 zero slots and
 is alike to empty texts only; a text shorter than a k-mer is one k-mer; documents are ordered by
 doc_id, null last, and text, and rows equal in both are interchangeable neighbours; a single
 document is its own next; other columns are ignored.

@@ -9,8 +9,8 @@ batch that failed midway is written again in full, and a committed one is not ap
 Tokens are counted by public byte-level BPE vocabularies, read by the workers from a folder that
 is a parameter.
 
-Defined cases: a null text has 0 tokens; a null source or language is a group of its own; changes
-without doc_id or version are ignored; of several changes of one document and version in a batch
+Defined cases: a null or empty text has 0 tokens; very long texts are counted whole; a null source or language is a group of its own; changes
+without doc_id or version are ignored (``left_out`` tells their number and tokens); of several changes of one document and version in a batch
 the one with the most tokens counts, and any upsert goes before a delete; a delete of an unknown
 document changes nothing; an empty batch commits without deltas; columns that changes do not need
 are ignored.
@@ -116,6 +116,19 @@ def commit(spark: SparkSession, store: str, batch: str, changes: DataFrame) -> b
     return True
 
 
+def left_out(changes: DataFrame) -> DataFrame:
+    """What a batch leaves out of the totals, one row: changes without doc_id or version, and those
+    that a change of the same document and version with more tokens stands for; rows and tokens."""
+    keyed = changes.where(~F.col("deleted"))
+    known = F.col("doc_id").isNotNull() & F.col("version").isNotNull()
+    best = keyed.where(known).groupBy("doc_id", "version").agg(F.count("*").alias("n"), F.sum("tokens").alias("all"), F.max("tokens").alias("counted"))
+    unknown = keyed.where(~known).agg(F.count("*").alias("unkeyed_rows"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("unkeyed_tokens"))
+    repeated = best.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_rows"),
+                        F.coalesce(F.sum(F.col("all") - F.col("counted")), F.lit(0)).alias("repeated_tokens"))
+    one = F.lit(1).alias("one")
+    return unknown.select("*", one).join(repeated.select("*", one), "one").drop("one")
+
+
 def totals(spark: SparkSession, store: str) -> DataFrame:
     """Documents and tokens by source, language and version: the sum of all committed deltas."""
     sums = (_committed(spark, store, "deltas", DELTAS).groupBy("source", "lang", "version")
@@ -126,7 +139,8 @@ def totals(spark: SparkSession, store: str) -> DataFrame:
 def later_copies(docs: DataFrame) -> DataFrame:
     """Documents whose whole text an earlier doc_id has, too."""
     rows = docs.where("doc_id is not null").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the join back has plain exchanges, which are split where a text is hot
+    first = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "first-copies")
     return rows.join(first, "digest").where("doc_id <> first").select("doc_id")
 
 

@@ -70,3 +70,10 @@ def test_awkward_rows(spark):
     kept = {r[0]: (r[3], r[2], t.VERSION, r[1]) for r in rows() if r[0] is not None}
     assert as_dict(t.totals(spark, store)) == recounted(kept.values())
     assert t.counted(docs(spark, []), t.VERSION).count() == 0
+
+
+def test_what_is_left_out_is_told(spark):
+    data = change(spark, (1, "a", "en", "v", 10, False), (1, "a", "en", "v", 4, False), (1, "a", "en", "v", 4, False), (None, "a", "en", "v", 7, False),
+                  (2, "a", "en", None, 5, False), (3, "a", "en", "v", None, True))
+    assert tuple(t.left_out(data).first()) == (2, 12, 2, 8)
+    assert tuple(t.left_out(data.limit(0)).first()) == (0, 0, 0, 0)
