@@ -11,7 +11,7 @@ what is broadcast has a fixed bound: that many vectors of ``DIMENSIONS`` numbers
 projection. Scoring is a map over all texts. A score depends on the text alone.
 
 Defined cases: a null text counts as empty; of very long texts all terms count; of neighbours alike at
-the last place of the vote those that come first in the sample vote; a text without terms (the empty one) scores the share
+the last place of the vote any vote, the same ones in every run; a text without terms (the empty one) scores the share
 of good labels; labels with null doc_id or quality are ignored, several labels of a document count
 as their majority (ties: 1), documents with several rows are used once per row; without labels
 every score is 0.5; other columns pass through ``with_quality``, whose own replace equal names.

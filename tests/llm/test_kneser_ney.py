@@ -145,3 +145,59 @@ def test_model_folder_is_an_absolute_mounted_path(spark, monkeypatch, tmp_path):
         monkeypatch.setattr(common, "scratch", lambda s, n, where=where: f"{where}/{n}")
         with pytest.raises(ValueError, match="mounted folder"):
             common.mounted(spark, "model")
+
+
+class PlainThree(Plain):
+    """Order 3: pairs count the words before them, or occurrences at a text's begin."""
+    def __init__(self, texts):
+        super().__init__(texts)
+        self.triples, befores, raw = Counter(), defaultdict(set), Counter()
+        for t in texts:
+            s = tokens(t)
+            for a, b, w in zip([1, 1, *s[:-2]], [1, *s[:-1]], s, strict=False):
+                self.triples[a, b, w] += 1
+                befores[b, w].add(a)
+                raw[b, w] += 1
+        self.pairs = Counter({(h, w): raw[h, w] if h == 1 else len(x) for (h, w), x in befores.items()})
+        self.after = defaultdict(dict)
+        for (h, w), n in self.pairs.items():
+            self.after[h][w] = n
+        self.d = d_of(self.pairs.values())
+        self.after_two = defaultdict(dict)
+        for (a, b, w), n in self.triples.items():
+            self.after_two[a, b][w] = n
+        self.d3 = d_of(self.triples.values())
+
+    def p3(self, a, b, w):
+        own = self.after_two.get((a, b))
+        if not own:
+            return self.p(b, w)
+        total, c = sum(own.values()), own.get(w, 0)
+        return max(0, c - self.d3[min(c, 3)]) / total + sum(self.d3[min(x, 3)] for x in own.values()) / total * self.p(b, w)
+
+    def score(self, text):
+        s = tokens(text)
+        n, known, base, _ = super().score(text)
+        return n, known, base, sum(math.log10(self.p3(a, b, w)) for a, b, w in zip([1, 1, *s[:-2]], [1, *s[:-1]], s, strict=False))
+
+
+def test_order_3_against_plain_model(spark):
+    frame = docs(spark, [(i, t, "en", "s", 0) for i, t in enumerate(
+        ["a b c a b c d", "b c d a b", "a b x", "", "the a the b the c the d", "c", None, "a b c a b c d"])])
+    texts = {r["doc_id"]: r["text"] for r in frame.collect()}
+    model = k.train(frame.where("doc_id < 5"), order=3)
+    compare(k.with_scores(frame, model).collect(), PlainThree([texts[i] for i in range(5)]), texts)
+    some = table(spark, SF, "documents").where("doc_id < 60")
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+    got = k.with_scores(some, k.train(some.where("doc_id >= 6"), order=3)).collect()
+    compare(got, PlainThree([t for i, t in texts.items() if i >= 6]), texts)
+    with pytest.raises(ValueError):
+        k.train(frame, order=4)
+
+
+def test_order_3_with_frequent_histories(spark):
+    data = [(i, "of the " + " of the ".join(f"w{i * 50 + n}" for n in range(50)), "en", "s", 0) for i in range(40)]
+    frame = docs(spark, data)
+    model = k.train(frame, order=3)
+    assert all(len(x.hot) for x in model.levels)
+    compare(k.with_scores(frame, model).collect(), PlainThree([r[1] for r in data]), {r[0]: r[1] for r in data})
