@@ -306,7 +306,7 @@ def _enriched(spark, sf):
 _START = f"TIMESTAMP '{fx.FACTOR_START}'"
 _FACTOR_CTES = ["""
 weather as (
-  select city, cast(ts as timestamp) factor_time, value temperature, cast(40 + k % 41 as bigint) humidity,
+  select city, cast(ts as timestamp) + to_seconds((event_id % 7 - 3) * 100) factor_time, value temperature, cast(40 + k % 41 as bigint) humidity,
          ['Clear', 'Clouds', 'Rain', 'Snow'][k % 4 + 1] weather_condition,
          lower(['Clear', 'Clouds', 'Rain', 'Snow'][k % 4 + 1]) weather_description,
          (k % 5) * cast(1.5 as double) wind_speed, cast(1000 + k % 21 as bigint) pressure,

@@ -110,14 +110,15 @@ WEATHER_CONDITIONS = ("Clear", "Clouds", "Rain", "Snow")
 
 
 def weather_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station reports: every event, at its customer's city; some lack visibility."""
+    """Station reports: every event, at its customer's city, up to 300 seconds before or after
+    it (so an event need not meet a report of its own); some lack visibility."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     k = F.get_json_object("props", "$.k").cast("int")
     condition = F.element_at(F.array(*[F.lit(c) for c in WEATHER_CONDITIONS]), k % 4 + 1)
     reports = table(spark, sf_dir, "events")
     cities = customers(spark, sf_dir).select("customer_id", "city")
     return (reports.join(cities, reports["user_id"] == cities["customer_id"])
-            .select("city", F.col("ts").cast("timestamp").alias("factor_time"),
+            .select("city", (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=(F.col("event_id") % 7 - 3) * 100)).alias("factor_time"),
                     F.col("value").alias("temperature"), (F.lit(40) + k % 41).cast("long").alias("humidity"),
                     condition.alias("weather_condition"), F.lower(condition).alias("weather_description"),
                     ((k % 5) * F.lit(1.5)).alias("wind_speed"), (F.lit(1000) + k % 21).cast("long").alias("pressure"),
