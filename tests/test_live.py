@@ -202,3 +202,21 @@ def test_factors_of_a_batch_are_pruned_at_the_scan(spark, tmp_dir):
     assert EN.enrich_market(batch, tables["market"]).first().market_sentiment == "positive"
     assert EN.pruned({}, batch) == {}
     assert EN.pruned(_factors(spark), batch.limit(0))["weather"].count() == 0
+
+
+def test_a_batch_writes_a_file_per_folder(spark, tmp_dir):
+    """Not one per task and folder: the number of files does not grow with the shuffle partitions."""
+    src, base, ck = (os.path.join(tmp_dir, x) for x in ("events", "live", "ck"))
+    _file(src, 0, [(i, i * 7, i % 9, i % 3) for i in range(400)])
+    options = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        live.start_live(_stream(spark, src), base, ck, available_now=True).awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(spark.read.parquet(os.path.join(base, "events")).inputFiles()) == 3                  # days
+    assert len(spark.read.parquet(os.path.join(base, "minutes")).inputFiles()) == 47                # hours
+    assert live.minutes(spark, base).agg(F.sum("interactions")).first()[0] == live.events(spark, base).count() == 400
