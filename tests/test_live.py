@@ -220,3 +220,18 @@ def test_a_batch_writes_a_file_per_folder(spark, tmp_dir):
     assert len(spark.read.parquet(os.path.join(base, "events")).inputFiles()) == 3                  # days
     assert len(spark.read.parquet(os.path.join(base, "minutes")).inputFiles()) == 47                # hours
     assert live.minutes(spark, base).agg(F.sum("interactions")).first()[0] == live.events(spark, base).count() == 400
+
+
+def test_a_stream_runs_once_per_enriched_batch(spark, tmp_dir):
+    """The times that prune the factors are taken from the batch's rows as written, not from another run of the stream."""
+    src, out = os.path.join(tmp_dir, "events"), os.path.join(tmp_dir, "enriched")
+    _file(src, 0, [(i, i, i % 3, 5) for i in range(50)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(_):
+        seen.add(1)
+        return True
+
+    stream = _stream(spark, src).where(F.udf(counted, "boolean")("interaction_id"))
+    ST.start_enriched(stream, lambda: _factors(spark), out, os.path.join(tmp_dir, "ck"), available_now=True).awaitTermination()
+    assert ST.enriched_table(spark, out).count() == 50 and seen.value == 50
