@@ -246,14 +246,40 @@ def _passing_groups(most: int):
     return run
 
 
-def _in_blocks(members: DataFrame, group: Column, chunks: Column, label: Column) -> DataFrame:
-    """``members`` (node, odd) once per pair of its chunk with a chunk of its group: (block, side,
-    label, node, odd). A block has at most two chunks, whatever the group's size."""
-    chunk = F.pmod(F.xxhash64("node"), chunks)
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other")
-    return (members.withColumn("chunks", chunks).select("*", chunk.alias("side"), label.alias("_label"), group.alias("_group")).select("*", other)
-            .select(F.struct(F.col("_group").alias("group"), F.least("other", "side").alias("i"), F.greatest("other", "side").alias("j")).alias("block"),
-                    "side", F.col("_label").alias("label"), "node", *[c for c in ("odd",) if c in members.columns]))
+def _chunks(rows: Column, size: int) -> Column:
+    return F.ceil(rows / size).cast("bigint")
+
+
+def _in_blocks(members: DataFrame, group: Column, size: int) -> DataFrame:
+    """``members`` (node, odd, label and their group's ``n`` rows, its most frequent label ``top``
+    and that label's ``top_n`` rows) once per block: (block, side, label, node, odd). A block is a
+    pair of chunks of about ``size`` rows, whatever the group's size.
+
+    Rows of one label are not compared, so chunks of the most frequent label meet only those of the
+    others: its rows are placed once per chunk of the others, however many they are themselves. A
+    chunk of the others has its own pairs compared beside the first chunk of that label: there all
+    rows have one side."""
+    others, tops = _chunks(F.col("n") - F.col("top_n"), size), _chunks(F.col("top_n"), size)
+    is_top = F.col("label") == F.col("top")
+    chunk = F.when(is_top, F.col("others") + F.pmod(F.xxhash64("node"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
+    partners = F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("tops"))
+    other = F.explode(F.array_remove(F.sequence(F.lit(0).cast("bigint"), F.col("partners") - 1), F.col("chunk"))).alias("other")
+    low, high = F.least("other", "chunk"), F.greatest("other", "chunk")
+    return (members.withColumns({"others": others, "tops": tops, "_group": group}).where("others > 0")
+            .withColumns({"chunk": chunk, "partners": partners}).select("*", other)
+            .select(F.struct(F.col("_group").alias("group"), low.alias("i"), high.alias("j")).alias("block"),
+                    F.when(high == F.col("others"), F.lit(0).cast("bigint")).otherwise(F.col("chunk")).alias("side"),
+                    "label", "node", *[c for c in ("odd",) if c in members.columns]))
+
+
+def _label_counts(rows: DataFrame, group: str) -> DataFrame:
+    """(group, n, top, top_n) and, of the group's nodes, ``sum`` and ``xor`` of their hashes; one
+    row per group with rows of several labels."""
+    per_label = rows.groupBy(group, "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"),
+                                                 F.expr("bit_xor(xxhash64(node))").alias("xor"))
+    return (per_label.groupBy(group).agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"),
+                                         F.sum("sum").cast("decimal(38,0)").alias("sum"), F.bit_xor("xor").alias("xor"))
+            .where("labels > 1").select(group, "n", F.col("most.label").alias("top"), F.col("most.n").alias("top_n"), "sum", "xor"))
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,12 +363,10 @@ def _open(star: DataFrame, classes: DataFrame, roots: DataFrame, name: str) -> D
     of equal classes are taken once."""
     label = F.xxhash64(F.coalesce("root", "node"))
     labelled = star.join(roots, "node", "left").select("bucket", "node", label.alias("label"))
-    mixed = written(
-        labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"),
-                                       F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.expr("bit_xor(xxhash64(node))").alias("xor"))
-        .where("low != high").groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), f"{name}-open")
+    mixed = written(_label_counts(labelled, "bucket").groupBy("n", "sum", "xor").agg(F.min(F.struct("bucket", "top", "top_n")).alias("b"))
+                    .select("b.*", "n"), f"{name}-open")
     rows = labelled.join(mixed, "bucket").join(classes.select("node", "odd"), "node")
-    return _in_blocks(rows, F.col("bucket"), F.ceil(F.col("n") / CHUNK), F.col("label"))
+    return _in_blocks(rows, F.col("bucket"), CHUNK)
 
 
 def _blocked(blocks: DataFrame, run, schema: str) -> DataFrame:
@@ -371,9 +395,9 @@ def linked_edges(docs: DataFrame, sketch: DataFrame, classes: DataFrame) -> Data
     if left.isEmpty():
         return edges
     groups = written(components(left, "odd-groups").withColumnRenamed("root", "grp"), "odd-grouped")
-    sizes = written(groups.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK_SETS).alias("parts")), "odd-sizes")
-    members = groups.join(sizes, "grp").join(roots, "node", "left")
-    placed = _in_blocks(members, F.col("grp"), F.col("parts"), F.xxhash64(F.coalesce("root", "node")))
+    members = written(groups.join(roots, "node", "left").select("node", "grp", F.xxhash64(F.coalesce("root", "node")).alias("label")), "odd-members")
+    sizes = written(_label_counts(members, "grp").drop("sum", "xor"), "odd-sizes")
+    placed = _in_blocks(members.join(sizes, "grp"), F.col("grp"), CHUNK_SETS)
     return edges.unionAll(_confirm(docs, classes, placed, "odd-rest"))
 
 

@@ -5,6 +5,8 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from helpers import SF, clashing, docs, rows
 
 from pathlens.llm import odd_sketch as o
@@ -124,3 +126,23 @@ def test_registered_query(spark):
     data = [(r["doc_id"], r["text"], None, None, None) for r in table(spark, SF, "documents").collect()]
     got = sorted((tuple(r) for r in o.op13_odd_sketch(spark, SF).collect()), key=repr)
     assert got == brute(data)
+
+
+def test_blocks_of_a_large_component_grow_with_its_rows(spark):
+    """Every pair of different labels is compared in exactly one block; a group's large component is not
+    copied to a block per pair of its own chunks (105 rows in 11 chunks of 10: 1,155 rows before)."""
+    labels = [0] * 100 + [1, 1, 2, 3, 4]
+    nodes = spark.createDataFrame([(i, label) for i, label in enumerate(labels)], "node long, label long").withColumn("grp", F.lit(1))
+    members = nodes.join(o._label_counts(nodes, "grp").drop("sum", "xor"), "grp")
+    rows = o._in_blocks(members, F.col("grp"), 10).collect()
+    assert len(rows) <= 2 * len(labels)
+    compared = []
+    blocks = {r.block: [x for x in rows if x.block == r.block] for r in rows}
+    for own in blocks.values():
+        two = len({r.side for r in own}) > 1
+        compared += [tuple(sorted((a.node, b.node))) for n, a in enumerate(own) for b in own[n + 1:] if a.label != b.label and (not two or a.side != b.side)]
+    assert sorted(compared) == [(i, j) for i in range(105) for j in range(i + 1, 105) if labels[i] != labels[j]]
+    many = nodes.withColumn("label", F.col("node") % 4)                  # and with several chunks of the others
+    members = many.join(o._label_counts(many, "grp").drop("sum", "xor"), "grp")
+    seen = [(r.block, r.node) for r in o._in_blocks(members, F.col("grp"), 10).collect()]
+    assert len(seen) == len(set(seen))
