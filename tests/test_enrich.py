@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +185,22 @@ def test_asof_across_days_and_gap_days(spark):
     ], "id string, timestamp timestamp")
     got = {r.id: r.v for r in asof_join(ev, rd, values=[("v", "v")]).collect()}
     assert got == {"a": 1.0, "b": 2.0, "c": 3.0, "d": 3.0, "e": None, "f": 4.0}
+
+
+def test_weather_reports_as_dense_as_events_are_not_paired(spark):
+    """As many reports as events in one bucket: sorted together, not each event joined with each report of the bucket."""
+    first, n = t("2024-01-01 00:00:00"), 2000
+    at = lambda ms: first + dt.timedelta(milliseconds=ms)
+    ev = spark.createDataFrame([(str(i), "X" if i % 9 else None, at(i * 140 - 5000)) for i in range(n)], "interaction_id string, city string, timestamp timestamp")
+    rd = spark.createDataFrame([("X" if i % 7 else "Y", at(i * 130), float(i), "Clear", i) for i in range(n)],
+                               "city string, factor_time timestamp, temperature double, weather_condition string, humidity long")
+    got = EN.enrich_weather(ev, rd)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    known = [(i * 130, float(i)) for i in range(n) if i % 7]
+    want = {}
+    for i in range(n):
+        before = [v for ms, v in known if ms <= i * 140 - 5000]
+        want[str(i)] = before[-1] if i % 9 and before and i * 140 - 5000 - before[-1] * 130 <= 300_000 else None
+    assert {r.interaction_id: r.weather_temperature for r in got.collect()} == want
+    prepared = EN.enrich_weather(ev, EN.weather_intervals(rd))
+    assert {r.interaction_id: r.weather_temperature for r in prepared.collect()} == want

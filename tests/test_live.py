@@ -235,3 +235,19 @@ def test_a_stream_runs_once_per_enriched_batch(spark, tmp_dir):
     stream = _stream(spark, src).where(F.udf(counted, "boolean")("interaction_id"))
     ST.start_enriched(stream, lambda: _factors(spark), out, os.path.join(tmp_dir, "ck"), available_now=True).awaitTermination()
     assert ST.enriched_table(spark, out).count() == 50 and seen.value == 50
+
+
+def test_readings_are_derived_once_for_all_batches(spark, monkeypatch):
+    from pathlens.plans import registry
+
+    calls, real = [], registry._tables
+
+    def counted(*a):
+        calls.append(a)
+        return real(*a)
+
+    sf = "/root/testdata/sf0.001"
+    want = {r.weather_condition: r.interaction_count for r in registry.QUERIES["weather_impact"](spark, sf).collect()}
+    monkeypatch.setattr(registry, "_tables", counted)
+    got = registry.QUERIES["live_weather_impact"](spark, sf)
+    assert len(calls) == 1 and {r.weather_condition: r.interaction_count for r in got.collect()} == want
